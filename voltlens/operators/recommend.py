@@ -62,10 +62,14 @@ def aggregate_predictions(predictions: DataFrame) -> DataFrame:
 
 
 def aggregate_history(history: DataFrame) -> DataFrame:
-    """Energy sum and row count per station."""
+    """Energy sum and row count per station; decimal energy is summed exactly."""
     require_columns(history, ["station_id"], "history data")
-    return history.select("station_id", _number(history, VOLUME_NAMES).alias("v")).groupBy("station_id").agg(
-        F.sum("v").alias("historical_volume"), F.count("*").cast("double").alias("historical_frequency")
+    name = first_present(history, VOLUME_NAMES)
+    exact = name is not None and dict(history.dtypes)[name].startswith("decimal")
+    volume = F.coalesce(F.col(name), F.lit(0)) if exact else _number(history, VOLUME_NAMES)
+    return history.select("station_id", volume.alias("v")).groupBy("station_id").agg(
+        F.sum("v").cast("double").alias("historical_volume"),
+        F.count("*").cast("double").alias("historical_frequency"),
     )
 
 

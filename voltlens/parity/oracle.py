@@ -297,7 +297,7 @@ _RULES += [
 
 def _reason_list(rules: list[tuple[str, str]]) -> str:
     cases = ", ".join(f"CASE WHEN {condition} THEN '{name}' END" for condition, name in rules)
-    return f"list_filter([{cases}], x -> x IS NOT NULL)"
+    return f"[x FOR x IN [{cases}] IF x IS NOT NULL]"
 
 
 BASE["checked"] = f"SELECT *, {_reason_list(_RULES)} AS own_issues FROM parsed"
@@ -336,3 +336,743 @@ FROM checked c LEFT JOIN raw_users u ON trim(c.user_id) = u.user_id
 LEFT JOIN raw_stations s ON trim(c.station_id) = s.station_id
 LEFT JOIN raw_devices d ON trim(c.device_id) = d.device_id
 LEFT JOIN good_weather w ON trim(c.weather_id) = w.weather_id"""
+
+# ---- warehouse metrics ----------------------------------------------------
+
+_KWH = "CAST(sum(e_m) AS DOUBLE) / 1000"
+_FEES = "CAST(sum(f_c) AS DOUBLE) / 100"
+_AVG_KWH = half_up("sum(e_m)", "count(*)", 3)
+_AVG_HRS = "round(avg(charge_time_hrs), 4)"
+_SESSIONS = "count(DISTINCT session_id)"
+
+oracle("overall_kpis", f"""
+SELECT {_SESSIONS} AS total_charging_sessions, {_KWH} AS total_kwh, {_FEES} AS total_charging_fees,
+  {_AVG_HRS} AS avg_charge_time_hrs, {half_up('sum(e_m)', _SESSIONS, 3)} AS avg_kwh_per_session FROM charges""")
+
+BASE["per_station"] = f"""
+SELECT station_id, station_name, device_count, coalesce(n, 0) AS charging_sessions,
+  CAST(coalesce(e, 0) AS DOUBLE) / 1000 AS total_kwh, CAST(coalesce(f, 0) AS DOUBLE) / 100 AS total_charging_fees,
+  h AS avg_charge_time_hrs, round(CAST(coalesce(n, 0) AS DOUBLE) / device_count, 3) AS sessions_per_device,
+  {half_up('coalesce(e, 0)', 'device_count', 3)} AS kwh_per_device,
+  {half_up('coalesce(f, 0)', 'device_count', 2)} AS charging_fees_per_device
+FROM stations LEFT JOIN (SELECT station_id AS sid, {_SESSIONS} AS n, sum(e_m) AS e, sum(f_c) AS f, {_AVG_HRS} AS h
+  FROM charges GROUP BY ALL) ON sid = station_id"""
+oracle("station_kpis", "SELECT * FROM per_station")
+oracle("rank_stations_by_energy", "SELECT * FROM per_station ORDER BY total_kwh DESC, station_id LIMIT 10")
+oracle("rank_stations_by_sessions", "SELECT * FROM per_station ORDER BY charging_sessions DESC, station_id LIMIT 10")
+
+oracle("user_kpis", f"""
+SELECT user_id, {_SESSIONS} AS charging_sessions, {_KWH} AS total_kwh, {_FEES} AS total_charging_fees,
+  {_AVG_KWH} AS avg_kwh_per_session, {_AVG_HRS} AS avg_charge_time_hrs FROM charges GROUP BY user_id""")
+oracle("user_summary", f"""
+SELECT count(*) AS total_users, round(avg(n), 3) AS avg_sessions_per_user,
+  {half_up('sum(e)', 'count(*)', 3)} AS avg_kwh_per_user
+FROM (SELECT user_id, {_SESSIONS} AS n, sum(e_m) AS e FROM charges GROUP BY user_id)""")
+oracle("weekday_patterns", f"""
+SELECT CAST(w AS INTEGER) AS start_weekday, ['Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat', 'Sun'][w + 1] AS weekday_name,
+  coalesce(n, 0) AS charging_sessions, coalesce(e, 0) AS total_kwh, coalesce(a, 0) AS avg_kwh_per_session
+FROM range(7) AS t(w) LEFT JOIN (SELECT weekday, {_SESSIONS} AS n, {_KWH} AS e, {_AVG_KWH} AS a
+  FROM charges GROUP BY weekday) ON weekday = w""")
+oracle("holiday_patterns", f"""
+SELECT CASE WHEN is_holiday = 1 THEN 'holiday' WHEN is_workday = 1 THEN 'workday' ELSE 'non_holiday_rest_day' END AS day_type,
+  is_holiday, holiday_name, is_workday, is_weekend, {_SESSIONS} AS charging_sessions, {_KWH} AS total_kwh,
+  {_FEES} AS total_charging_fees, {_AVG_KWH} AS avg_kwh_per_session, {_AVG_HRS} AS avg_charge_time_hrs
+FROM charges GROUP BY ALL""")
+
+
+def _hours_of_day(where: str) -> str:
+    return f"""
+SELECT CAST(h AS INTEGER) AS hour, coalesce(n, 0) AS charging_sessions
+FROM range(24) AS t(h) LEFT JOIN (SELECT start_hour, {_SESSIONS} AS n FROM charges WHERE {where} GROUP BY ALL) ON start_hour = h"""
+
+
+oracle("hourly_distribution", _hours_of_day("true"))
+oracle("filtered_hourly", _hours_of_day("weekday = 2"))
+oracle("weekday_hour_heatmap", f"""
+SELECT CAST(h AS INTEGER) AS hour, CAST(w AS INTEGER) AS weekday, coalesce(n, 0) AS charging_sessions,
+  '[' || h || ',' || w || ',' || coalesce(n, 0) || ']' AS echarts_value
+FROM range(24) AS a(h), range(7) AS b(w)
+LEFT JOIN (SELECT start_hour, weekday AS wd, {_SESSIONS} AS n FROM charges GROUP BY ALL) ON start_hour = h AND wd = w""")
+oracle("session_trend", f"""
+SELECT {day_text('start_date')} AS start_date, {_SESSIONS} AS charging_sessions FROM charges GROUP BY ALL""")
+oracle("station_distribution", """
+SELECT station_id, station_name, address, location_id, facility_type, device_count, latitude, longitude FROM stations""")
+oracle("device_kpis", f"""
+WITH seen AS (SELECT date_diff('day', min(start_date), max(start_date)) + 1 AS days FROM charges)
+SELECT device_id, station_id, device_code, charger_type, CAST(rated_power_kw AS DOUBLE) AS rated_power_kw, connector_count,
+  manufacturer, current_status, coalesce(n, 0) AS charging_sessions, coalesce(dn, 0) AS charging_days,
+  coalesce(e, 0) AS total_kwh, coalesce(h, 0) AS total_charging_hours, a AS avg_kwh_per_session, p AS avg_output_power_kw,
+  round(coalesce(h, 0) / (days * 24.0), 6) AS charging_time_utilization_rate, CAST(days AS INTEGER) AS observation_days
+FROM devices CROSS JOIN seen LEFT JOIN (SELECT device_id AS did, {_SESSIONS} AS n, count(DISTINCT start_date) AS dn,
+    {_KWH} AS e, round(sum(charge_time_hrs), 3) AS h, {_AVG_KWH} AS a,
+    round(avg(CAST(e_m AS DOUBLE) / 1000 / charge_time_hrs), 3) AS p
+  FROM charges GROUP BY ALL) ON did = device_id""")
+oracle("device_operation_kpis", """
+SELECT d.device_id, s.station_id, device_code, charger_type, CAST(rated_power_kw AS DOUBLE) AS rated_power_kw, current_status,
+  s.* EXCLUDE (did, station_id)
+FROM devices d LEFT JOIN (SELECT device_id AS did, station_id, count(DISTINCT stat_date) AS observed_days,
+  CAST(sum(online_minutes) AS BIGINT) AS online_minutes, CAST(sum(offline_minutes) AS BIGINT) AS offline_minutes,
+  CAST(sum(fault_minutes) AS BIGINT) AS fault_minutes, CAST(sum(fault_count) AS BIGINT) AS fault_count,
+  CAST(sum(successful_sessions) AS BIGINT) AS successful_sessions, CAST(sum(failed_sessions) AS BIGINT) AS failed_sessions,
+  CAST(sum(maintenance_flag) AS BIGINT) AS maintenance_days,
+  round(sum(online_minutes) / sum(online_minutes + offline_minutes), 6) AS availability_rate,
+  CASE WHEN sum(successful_sessions + failed_sessions) > 0 THEN
+    round(sum(avg_output_power_kw * (successful_sessions + failed_sessions)) / sum(successful_sessions + failed_sessions), 3)
+  END AS avg_output_power_kw,
+  round(avg(health_score), 3) AS avg_health_score, round(min(health_score), 3) AS min_health_score
+  FROM status_log GROUP BY ALL) s ON did = d.device_id""")
+oracle("weather_impact", f"""
+SELECT x.weather_type, x.weather_name, x.is_rain, station_hours, coalesce(n, 0) AS charging_sessions,
+  round(coalesce(n, 0) * 1000.0 / station_hours, 3) AS sessions_per_1000_station_hours,
+  coalesce(e, 0) AS total_kwh, coalesce(f, 0) AS total_charging_fees, a AS avg_kwh_per_session, h AS avg_charge_time_hrs,
+  avg_temperature_c, avg_humidity_pct, avg_precipitation_mm, avg_wind_speed_mps, avg_visibility_km
+FROM (SELECT weather_type, weather_name, is_rain, count(*) AS station_hours, round(avg(temperature_c), 3) AS avg_temperature_c,
+    round(avg(humidity_pct), 3) AS avg_humidity_pct, round(avg(precipitation_mm), 3) AS avg_precipitation_mm,
+    round(avg(wind_speed_mps), 3) AS avg_wind_speed_mps, round(avg(visibility_km), 3) AS avg_visibility_km
+  FROM weather w JOIN stations s ON s.location_id = w.location_id GROUP BY ALL) x
+LEFT JOIN (SELECT weather_type, weather_name, is_rain, {_SESSIONS} AS n, {_KWH} AS e, {_FEES} AS f, {_AVG_KWH} AS a, {_AVG_HRS} AS h
+  FROM charges JOIN weather USING (weather_id) GROUP BY ALL) u
+ON u.weather_type = x.weather_type AND u.weather_name = x.weather_name AND u.is_rain = x.is_rain""")
+
+# ---- dashboard metrics ----------------------------------------------------
+
+BASE["recent_week"] = """
+SELECT * FROM charges WHERE created_at >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY"""
+oracle("recent_orders", f"SELECT session_id, {time_text('created_at')} AS created_at FROM recent_week")
+
+_REVENUE = """
+SELECT CAST(coalesce(sum(f_c) FILTER (start_date = CAST(newest AS DATE)), 0) AS DOUBLE) / 100 AS revenue_today,
+  CAST(coalesce(sum(f_c) FILTER (created_at >= newest - INTERVAL 30 DAY), 0) AS DOUBLE) / 100 AS revenue_30d,
+  CAST(coalesce(sum(f_c), 0) AS DOUBLE) / 100 AS revenue_total
+FROM charges, (SELECT max(ts) AS newest FROM events)"""
+oracle("recent_revenue_totals", _REVENUE)
+for _name, _value, _alias in (
+    ("volume", _KWH, "energy_kwh"), ("revenue", _FEES, "revenue"), ("count", "count(*)", '"count"'),
+):
+    oracle(f"recent_{_name}_trend", f"""
+SELECT {day_text('start_date')} AS date, {_value} AS {_alias} FROM recent_week GROUP BY ALL""")
+oracle("recent_hourly_energy", f"""
+SELECT CAST(h AS INTEGER) AS hour, coalesce(e, 0) AS energy_kwh, coalesce(n, 0) AS sessions
+FROM range(24) AS t(h) LEFT JOIN (SELECT start_hour, {_KWH} AS e, count(*) AS n FROM recent_week GROUP BY ALL) ON start_hour = h""")
+oracle("recent_heatmap_counts", """
+SELECT CAST(w AS INTEGER) AS weekday, CAST(h AS INTEGER) AS hour, coalesce(n, 0) AS count
+FROM range(7) AS a(w), range(24) AS b(h)
+LEFT JOIN (SELECT start_hour, weekday AS wd, count(*) AS n FROM recent_week GROUP BY ALL) ON start_hour = h AND wd = w""")
+oracle("recent_user_metrics", """
+SELECT count(*) AS active_users, round_even(CAST(sum(e) AS DOUBLE) / 1000 / count(*), 3) AS avg_energy_per_user_kwh,
+  round_even(avg(n), 3) AS avg_sessions_per_user
+FROM (SELECT user_id, sum(e_m) AS e, count(*) AS n FROM recent_week GROUP BY user_id)""")
+oracle("recent_weekday_energy", f"""
+SELECT weekday_name AS weekday, {_KWH} AS energy_kwh FROM recent_week GROUP BY ALL""")
+oracle("recent_weather_sessions", f"""
+SELECT weather_type, weather_name, count(*) AS sessions, {_KWH} AS energy_kwh, {_FEES} AS fee_cny,
+  round_even(avg(temperature_c), 3) AS avg_temp_c, round_even(avg(precipitation_mm), 3) AS avg_precip_mm
+FROM recent_week JOIN weather USING (weather_id) GROUP BY ALL""")
+oracle("recent_overview", f"""
+SELECT count(*) AS total_sessions, {_KWH} AS total_energy_kwh, any_value(r.revenue_today) AS revenue_today,
+  any_value(r.revenue_30d) AS revenue_30d, any_value(r.revenue_total) AS revenue_total,
+  count(DISTINCT station_id) AS active_stations, count(DISTINCT user_id) AS active_users,
+  round_even(avg(charge_time_hrs), 3) AS avg_duration_hrs,
+  round_even(CAST(sum(f_c) AS DOUBLE) / 100 / count(*), 3) AS avg_order_fee_cny,
+  CAST(floor(date_diff('microsecond', min(created_at), max(created_at)) / 86400e6) + 1 AS INTEGER) AS span_days
+FROM charges, ({_REVENUE}) r""")
+
+BASE["online_shares"] = """
+SELECT s.station_id, station_name AS name, device_count AS pile_count,
+  CAST(round_even(device_count * coalesce(rate, 0) / 100.0, 0) AS INTEGER) AS free_pile_count,
+  round_even(coalesce(rate, 0), 1) AS online_rate
+FROM stations s LEFT JOIN (SELECT station_id, avg(CAST(current_status = 'online' AS INTEGER)) * 100 AS rate
+  FROM devices GROUP BY ALL) r ON r.station_id = s.station_id"""
+oracle("station_online", "SELECT * FROM online_shares")
+oracle("recent_station_ranking", f"""
+SELECT c.station_id, station_name, {_KWH} AS energy_kwh, count(*) AS sessions, {_FEES} AS revenue_cny
+FROM charges c JOIN stations USING (station_id)
+WHERE created_at >= (SELECT max(ts) FROM events) - INTERVAL 30 DAY
+GROUP BY ALL ORDER BY energy_kwh DESC, c.station_id LIMIT 10""")
+oracle("station_board", """
+SELECT s.station_id, station_name, address, city, latitude, longitude, device_count, station_status,
+  o.name, o.pile_count, o.free_pile_count, o.online_rate
+FROM stations s JOIN online_shares o ON o.station_id = s.station_id""")
+oracle("device_status_by_station", """
+SELECT station_id, round_even(avg(availability_rate), 4) AS avg_availability, CAST(sum(fault_count) AS BIGINT) AS total_faults,
+  CAST(sum(successful_sessions) AS BIGINT) AS successful_sessions, CAST(sum(failed_sessions) AS BIGINT) AS failed_sessions,
+  round_even(avg(health_score), 4) AS avg_health
+FROM status_log WHERE record_time >= (SELECT max(record_time) FROM status_log) - INTERVAL 7 DAY GROUP BY ALL""")
+
+
+def _daily(kept: str) -> str:
+    return f"""
+WITH kept AS ({kept}), ends AS (SELECT min(start_date) AS a, max(start_date) AS b FROM kept)
+SELECT {day_text('day')} AS date, CAST(coalesce(sum(e_m), 0) AS DOUBLE) / 1000 AS energy_kwh,
+  count(session_id) AS sessions, CAST(coalesce(sum(f_c), 0) AS DOUBLE) / 100 AS revenue
+FROM (SELECT CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS day FROM ends)
+LEFT JOIN kept ON start_date = day GROUP BY day"""
+
+
+oracle("filtered_daily", _daily("SELECT * FROM charges WHERE weekday = 2"))
+oracle("filtered_by_weather", _daily(
+    "SELECT * FROM charges WHERE weather_id IN (SELECT weather_id FROM weather WHERE weather_type = 'fog')"))
+oracle("filtered_totals", f"""
+SELECT {_KWH} AS total_energy_kwh, count(*) AS total_sessions, {_FEES} AS total_revenue FROM charges WHERE is_holiday = 1""")
+oracle("device_status_counts", """
+SELECT label, coalesce(n, 0) AS count FROM (VALUES ('online', '在用'), ('idle', '闲置'), ('fault', '故障')) AS t(state, label)
+LEFT JOIN (SELECT current_status, count(*) AS n FROM devices GROUP BY ALL) ON current_status = state""")
+oracle("ops_bundle", f"""
+SELECT 'revenue' AS section, CAST(to_json(r) AS VARCHAR) AS payload FROM ({_REVENUE}) r
+UNION ALL SELECT 'revenue_trend', CAST(to_json(t) AS VARCHAR) FROM (SELECT {day_text('start_date')} AS date, {_FEES} AS revenue FROM recent_week GROUP BY ALL) t
+UNION ALL SELECT 'pile_status', CAST(to_json(p) AS VARCHAR) FROM (SELECT label, coalesce(n, 0) AS count FROM (VALUES ('online', '在用'), ('idle', '闲置'), ('fault', '故障')) AS v(state, label)
+  LEFT JOIN (SELECT current_status, count(*) AS n FROM devices GROUP BY ALL) ON current_status = state) p
+UNION ALL SELECT 'stations', CAST(to_json(o) AS VARCHAR) FROM (SELECT * FROM online_shares) o""")
+
+# ---- operational reports --------------------------------------------------
+
+BASE["newest_day"] = "SELECT CAST(max(o_orderdate) AS DATE) AS today FROM orders"
+BASE["settled"] = "SELECT *, CAST(end_time AS DATE) AS end_day FROM bills WHERE status = '已结算'"
+oracle("revenue_to_date", """
+SELECT CAST(coalesce(sum(fee_c) FILTER (end_day = today), 0) AS DOUBLE) / 100 AS revenue_today,
+  CAST(coalesce(sum(fee_c) FILTER (date_trunc('month', end_day) = date_trunc('month', today)), 0) AS DOUBLE) / 100 AS revenue_this_month,
+  CAST(coalesce(sum(fee_c), 0) AS DOUBLE) / 100 AS revenue_total FROM settled, newest_day""")
+oracle("settled_revenue_trend", f"""
+SELECT {day_text('day')} AS date, CAST(coalesce(sum(fee_c), 0) AS DOUBLE) / 100 AS revenue
+FROM (SELECT CAST(unnest(generate_series(today - 29, today, INTERVAL 1 DAY)) AS DATE) AS day FROM newest_day)
+LEFT JOIN settled ON end_day = day GROUP BY day""")
+oracle("pile_state_counts", "SELECT status, count(*) AS count FROM piles GROUP BY ALL")
+BASE["pile_totals"] = """
+SELECT station_id AS sid, count(*) AS n, count(*) FILTER (status = '闲置') AS free, count(*) FILTER (status <> '故障') AS working
+FROM piles GROUP BY ALL"""
+oracle("free_piles", "SELECT id, coalesce(free, 0) AS free_pile_count FROM depots LEFT JOIN pile_totals ON sid = id")
+oracle("working_rate", "SELECT id, coalesce(working * 100.0 / n, 0) AS online_rate FROM depots LEFT JOIN pile_totals ON sid = id")
+oracle("free_share_board", """
+SELECT id AS station_id, name, pile_count, coalesce(free, 0) AS free_pile_count,
+  CASE WHEN pile_count > 0 THEN CAST(coalesce(free, 0) AS DOUBLE) / pile_count * 100 ELSE 0 END AS online_rate
+FROM depots LEFT JOIN pile_totals ON sid = id""")
+_BILL = f"""id, user_id, pile_id, {time_text('start_time')} AS start_time, {time_text('end_time')} AS end_time,
+  amount, CAST(fee_c AS DOUBLE) / 100 AS fee, status"""
+oracle("user_orders", f"SELECT {_BILL} FROM bills WHERE user_id = 7")
+oracle("find_order", f"SELECT {_BILL} FROM bills WHERE id = 7")
+BASE["named_piles"] = """
+SELECT p.id, p.station_id, d.name AS station_name, p.code, p.type, CAST(p.power AS DOUBLE) AS power, p.status
+FROM piles p JOIN depots d ON d.id = p.station_id"""
+oracle("pile_list", "SELECT * FROM named_piles")
+oracle("piles_of_station", "SELECT * FROM named_piles WHERE station_id = 7")
+oracle("find_pile", "SELECT * FROM named_piles WHERE id = 71")
+oracle("pile_lifetime", """
+SELECT p.id, count(b.id) AS total_sessions,
+  CAST(coalesce(sum(greatest(date_diff('second', start_time, end_time) // 60, 0)), 0) AS BIGINT) AS total_duration
+FROM piles p LEFT JOIN bills b ON b.pile_id = p.id AND b.status IN ('已结算', '待结算') GROUP BY p.id""")
+oracle("pile_count_by_station", """
+SELECT id, name, address, longitude, latitude, CAST(tariff_c AS DOUBLE) / 100 AS price, coalesce(n, 0) AS pile_count
+FROM depots LEFT JOIN pile_totals ON sid = id""")
+_ACCOUNT = f"id, phone, nickname, avatar_path, balance, status, {time_text('created_at')} AS created_at"
+oracle("find_user", f"SELECT {_ACCOUNT} FROM accounts WHERE id = 7")
+oracle("user_list", f"SELECT {_ACCOUNT} FROM accounts")
+oracle("search_users", f"SELECT {_ACCOUNT} FROM accounts WHERE phone LIKE '%07%'")
+_DEPOT = "id, name, address, longitude, latitude, CAST(tariff_c AS DOUBLE) / 100 AS price, pile_count"
+oracle("find_station", f"SELECT {_DEPOT} FROM depots WHERE id = 7")
+oracle("station_list", f"SELECT {_DEPOT} FROM depots")
+oracle("search_stations", f"SELECT {_DEPOT} FROM depots WHERE name ILIKE '%road 1%' OR address ILIKE '%road 1%'")
+BASE["bill_lines"] = f"""
+SELECT b.id, b.user_id, a.phone AS user_phone, b.pile_id, p.station_id, d.name AS station_name,
+  {time_text('b.start_time')} AS start_time, {time_text('b.end_time')} AS end_time, b.amount,
+  CAST(b.fee_c AS DOUBLE) / 100 AS fee, b.status, CAST(coalesce(b.end_time, b.start_time) AS DATE) AS at_day
+FROM bills b JOIN accounts a ON a.id = b.user_id JOIN piles p ON p.id = b.pile_id JOIN depots d ON d.id = p.station_id"""
+oracle("all_orders", "SELECT * EXCLUDE (at_day) FROM bill_lines")
+oracle("search_orders", """
+SELECT * EXCLUDE (at_day) FROM bill_lines WHERE user_phone LIKE '%01%' AND at_day BETWEEN DATE '1997-01-01' AND DATE '1999-12-31'
+AND status = '已结算'""")
+oracle("login_history", f"""
+SELECT id, phone, {time_text('login_time')} AS login_time, ip_address FROM (SELECT * FROM logins ORDER BY login_time DESC, id DESC LIMIT 50)""")
+oracle("operation_history", f"""
+SELECT * REPLACE ({time_text('operation_time')} AS operation_time) FROM (SELECT * FROM actions
+WHERE target_table = 'piles' AND operator_id = 3 ORDER BY operation_time DESC, id DESC LIMIT 50)""")
+oracle("open_orders", "SELECT user_id, min(id) AS order_id FROM bills WHERE status IN ('充电中', '待结算') GROUP BY user_id")
+oracle("open_session_estimate", """
+SELECT b.id AS order_id, b.pile_id, p.station_id, s AS elapsed_seconds, s // 60 AS duration_minutes,
+  round(CAST(p.power AS DOUBLE) * s / 3600, 3) AS estimated_kwh,
+  round(CAST(p.power AS DOUBLE) * s / 3600 * (CAST(d.tariff_c AS DOUBLE) / 100), 3) AS estimated_fee
+FROM (SELECT id, pile_id, greatest(date_diff('second', start_time, (SELECT max(o_orderdate) + INTERVAL 1 DAY FROM orders)), 0) AS s
+      FROM bills WHERE status = '充电中') b
+JOIN piles p ON p.id = b.pile_id JOIN depots d ON d.id = p.station_id""")
+
+
+def _distance(lat_a: str, lon_a: str, lat_b: str, lon_b: str) -> str:
+    chord = (
+        f"(pow(sin(radians({lat_b} - ({lat_a})) / 2), 2) + cos(radians({lat_a})) * cos(radians({lat_b}))"
+        f" * pow(sin(radians({lon_b} - ({lon_a})) / 2), 2))"
+    )
+    return f"(12742.0 * atan2(sqrt({chord}), sqrt(1 - {chord})))"
+
+
+oracle("nearest_stations", f"""
+SELECT {_DEPOT}, round({_distance('30.3', '110.4', 'latitude', 'longitude')}, 6) AS distance_km
+FROM depots ORDER BY {_distance('30.3', '110.4', 'latitude', 'longitude')}, id LIMIT 5""")
+oracle("route_plausibility", f"""
+SELECT CASE WHEN m <= 0 THEN '路线距离无效' WHEN s <= 0 THEN '路线时长无效（不能为负或零）' WHEN line = '' THEN '路线缺少折线数据'
+  WHEN m / 1000.0 + 0.5 < {_distance('a', 'b', 'c', 'd')} THEN '路线距离与起终点严重不符'
+  WHEN m / 1000.0 / (s / 3600.0) > 300 THEN '路线时长与距离矛盾（速度不现实）'
+  WHEN s < 60 AND m / 1000.0 > 1 THEN '路线时长与距离矛盾（例如7公里不可能在1分钟内到达）' ELSE '' END AS reason, count(*) AS routes
+FROM (SELECT CAST(CASE WHEN l_partkey % 31 = 0 THEN 0 ELSE l_quantity * 1000 END AS INTEGER) AS m,
+  CAST(CASE WHEN l_partkey % 29 = 0 THEN 0 WHEN l_partkey % 23 = 0 THEN 30 ELSE l_quantity * 90 END AS INTEGER) AS s,
+  CASE WHEN l_partkey % 37 = 0 THEN '' ELSE 'p' END AS line,
+  30 + CAST(l_suppkey % 97 AS DOUBLE) * 0.01 AS a, 110 + CAST(l_suppkey % 89 AS DOUBLE) * 0.01 AS b,
+  30 + CAST(l_partkey % 97 AS DOUBLE) * 0.01 AS c, 110 + CAST(l_partkey % 89 AS DOUBLE) * 0.01 AS d FROM lineitem)
+GROUP BY ALL""")
+
+# ---- quality --------------------------------------------------------------
+
+oracle("parsed_charging_times", f"""
+SELECT session_id, {time_text('c_at')} AS _created_at, {time_text('e_at')} AS _ended_at, CAST(energy AS DOUBLE) AS _energy_kwh,
+  CAST(fee AS DOUBLE) AS _fee_amount_cny, hrs AS _charge_time_hrs, sh AS _start_hour, wd AS _weekday,
+  CAST(wd_name AS INTEGER) AS _weekday_from_name, wd_time AS _weekday_from_timestamp, actual_hrs AS _actual_duration_hrs FROM parsed""")
+oracle("order_quality_issues", """
+SELECT session_id, created_at, station_id, array_to_string(own_issues, '|') AS quality_issues FROM checked""")
+oracle("order_reference_issues", """
+SELECT session_id, created_at, array_to_string(issues, '|') AS quality_issues FROM referenced""")
+_CLEAN = f"""
+SELECT trim(session_id) AS session_id, trim(user_id) AS user_id, trim(station_id) AS station_id, trim(device_id) AS device_id,
+  trim(location_id) AS location_id, trim(weather_id) AS weather_id, {time_text('c_at')} AS created_at, {time_text('e_at')} AS ended_at,
+  hrs AS charge_time_hrs, sh AS start_hour, wd AS weekday, trim(weekday_name) AS weekday_name, we AS is_weekend, ho AS is_holiday,
+  trim(holiday_name) AS holiday_name, wo AS is_workday, CAST(energy AS DOUBLE) AS energy_kwh, CAST(fee AS DOUBLE) AS fee_amount_cny,
+  lower(trim(platform)) AS platform, lower(trim(order_status)) AS order_status, lower(trim(payment_status)) AS payment_status"""
+oracle("clean_orders", f"{_CLEAN} FROM referenced WHERE len(issues) = 0")
+oracle("order_facts", f"""
+SELECT * EXCLUDE (weekday, energy_kwh, fee_amount_cny), energy_kwh AS kwh_total, fee_amount_cny AS charging_fees,
+  weekday AS start_weekday, CAST(hour(strptime(ended_at, '%Y-%m-%d %H:%M:%S')) AS INTEGER) AS end_hour, left(created_at, 10) AS start_date
+FROM ({_CLEAN} FROM referenced WHERE len(issues) = 0)""")
+oracle("rejected_orders", """
+SELECT r.session_id, r.user_id, r.station_id, r.device_id, r.location_id, r.weather_id, r.created_at, r.ended_at, r.charge_time_hrs,
+  r.start_hour, r.weekday, r.weekday_name, r.is_weekend, r.is_holiday, r.holiday_name, r.is_workday, r.energy_kwh,
+  r.fee_amount_cny, r.platform, r.order_status, r.payment_status, r._corrupt_record, array_to_string(issues, '|') AS quality_issues
+FROM referenced r WHERE len(issues) > 0""")
+oracle("quality_summary", """
+SELECT 'total_rows' AS metric, count(*) AS count FROM referenced
+UNION ALL SELECT 'valid_rows', count(*) FROM referenced WHERE len(issues) = 0
+UNION ALL SELECT 'rejected_rows', count(*) FROM referenced WHERE len(issues) > 0
+UNION ALL SELECT 'issue:' || i, count(*) FROM (SELECT unnest(issues) AS i FROM referenced) GROUP BY i""")
+oracle("rejected_count", "SELECT count(*) AS rejected_order_rows FROM referenced WHERE len(issues) > 0")
+oracle("plausible_measurements", """
+SELECT session_id, created_at, CAST(energy AS DOUBLE) AS energy_kwh, CAST(fee AS DOUBLE) AS fee_amount_cny, hrs AS charge_time_hrs,
+  sh AS start_hour, wd AS weekday FROM parsed
+WHERE energy >= 0 AND fee >= 0 AND hrs > 0 AND hrs <= 24 AND sh BETWEEN 0 AND 23 AND wd BETWEEN 0 AND 6""")
+oracle("trimmed_orders", """
+SELECT trim(session_id) AS session_id, trim(platform) AS platform, trim(created_at) AS created_at, trim(start_hour) AS start_hour
+FROM raw_orders""")
+oracle("repeated_sessions", f"""
+SELECT user_id, event_id, {time_text('ts')} AS ts,
+  CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) > 1 AS INTEGER) AS repeated FROM events""")
+oracle("clean_users", f"""
+SELECT user_id, {time_text('registered_at')} AS registered_at, city, lower(trim(member_level)) AS member_level, vehicle_type,
+  battery_capacity_kwh, preferred_platform, registration_channel, user_status
+FROM raw_users WHERE lower(trim(member_level)) IN ('bronze', 'silver', 'gold', 'platinum')""")
+oracle("clean_stations", f"""
+SELECT station_id, location_id, station_name, address, city, try_cast(latitude AS DOUBLE) AS latitude, longitude, facility_type,
+  device_count, '00:00-24:00' AS open_time, CAST(price_c AS DOUBLE) / 100 AS electricity_price_cny_kwh,
+  CAST(service_c AS DOUBLE) / 100 AS service_fee_cny_kwh, station_status, {day_text('updated_on')} AS updated_on
+FROM raw_stations WHERE try_cast(latitude AS DOUBLE) BETWEEN -90 AND 90""")
+oracle("clean_devices", f"""
+SELECT device_id, station_id, device_code, charger_type, CAST(rated_power_kw AS DOUBLE) AS rated_power_kw, connector_count,
+  manufacturer, {day_text('commissioned_at')} AS commissioned_at, last_maintenance_at, current_status
+FROM raw_devices WHERE try_strptime(last_maintenance_at, '%Y-%m-%d') >= commissioned_at""")
+oracle("clean_weather", f"""
+SELECT * REPLACE (CAST(location_id AS VARCHAR) AS location_id, {time_text('weather_time')} AS weather_time) FROM good_weather""")
+oracle("clean_device_status", f"""
+SELECT status_id, CAST(device_id AS VARCHAR) AS device_id, CAST(station_id AS VARCHAR) AS station_id,
+  {time_text('record_time')} AS record_time, CAST(online_minutes AS INTEGER) AS online_minutes,
+  CAST(offline_minutes AS INTEGER) AS offline_minutes, CAST(fault_minutes AS INTEGER) AS fault_minutes,
+  CAST(fault_count AS INTEGER) AS fault_count, CAST(successful_sessions AS INTEGER) AS successful_sessions,
+  CAST(failed_sessions AS INTEGER) AS failed_sessions, primary_fault_code, avg_output_power_kw, availability_rate,
+  health_score, maintenance_flag FROM status_log WHERE device_id % 7 <> 0""")
+oracle("one_order_per_user_and_day", f"""
+SELECT user_id, {day_text('d')} AS day, event_type, event_id FROM (SELECT user_id, CAST(ts AS DATE) AS d, event_type, event_id,
+  row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_type, event_id) AS place FROM events) WHERE place = 1""")
+oracle("distinct_times", f"SELECT DISTINCT {time_text(chr(100) + 'ate_trunc(' + repr('hour') + ', ts)')} AS datetime FROM events")
+
+# ---- integrity ------------------------------------------------------------
+
+_DEVICE = f"""device_id, station_id, device_code, charger_type, CAST(rated_power_kw AS DOUBLE) AS rated_power_kw, connector_count,
+  manufacturer, {day_text('commissioned_at')} AS commissioned_at, {day_text('last_maintenance_at')} AS last_maintenance_at, current_status"""
+oracle("valid_devices", f"""
+SELECT {_DEVICE} FROM devices WHERE station_id IN (SELECT station_id FROM stations WHERE station_status = 'active')""")
+oracle("valid_weather", f"""
+SELECT * REPLACE ({time_text('weather_time')} AS weather_time) FROM weather
+WHERE location_id IN (SELECT location_id FROM stations WHERE station_status = 'active')""")
+oracle("valid_device_status", """
+SELECT s.status_id, s.device_id, s.station_id FROM status_log s JOIN devices d ON d.device_id = s.device_id
+WHERE s.station_id = d.station_id + CAST(d.device_id % 10 = 2 AS INTEGER)""")
+_RAW_NAMES = """session_id user_id station_id device_id location_id weather_id created_at ended_at charge_time_hrs start_hour
+weekday weekday_name is_weekend is_holiday holiday_name is_workday energy_kwh fee_amount_cny platform order_status
+payment_status _corrupt_record""".split()
+oracle("null_counts", "\nUNION ALL ".join(
+    f"SELECT '{n}' AS column_name, count(*) FILTER (coalesce(trim({n}), '') = '') AS missing FROM raw_orders" for n in _RAW_NAMES))
+oracle("orphan_count", """
+SELECT count(*) AS unmatched FROM raw_orders WHERE station_id IS NOT NULL AND station_id NOT IN (SELECT station_id FROM raw_stations)""")
+
+_TABLES = {
+    "charging_orders": ("charges", "session_id", _RAW_NAMES[:-1], "session_id user_id station_id device_id location_id weather_id created_at ended_at charge_time_hrs start_hour weekday is_weekend is_holiday is_workday energy_kwh fee_amount_cny order_status".split()),
+    "stations": ("stations", "station_id", "station_id location_id station_name address city latitude longitude facility_type device_count open_time electricity_price_cny_kwh service_fee_cny_kwh station_status updated_on".split(), "station_id location_id facility_type device_count electricity_price_cny_kwh service_fee_cny_kwh station_status".split()),
+    "devices": ("devices", "device_id", "device_id station_id device_code charger_type rated_power_kw connector_count manufacturer commissioned_at last_maintenance_at current_status".split(), "device_id station_id charger_type rated_power_kw connector_count current_status".split()),
+    "users": ("members", "user_id", "user_id registered_at city member_level vehicle_type battery_capacity_kwh preferred_platform registration_channel user_status".split(), "user_id vehicle_type battery_capacity_kwh member_level user_status".split()),
+    "weather_hourly": ("weather", "weather_id", "weather_id location_id weather_time weather_type weather_name temperature_c humidity_pct precipitation_mm wind_speed_mps visibility_km is_rain".split(), "weather_id location_id weather_time weather_type temperature_c humidity_pct precipitation_mm wind_speed_mps visibility_km is_rain".split()),
+    "device_status_log": ("status_log", "status_id", "status_id device_id station_id record_time online_minutes offline_minutes fault_minutes fault_count primary_fault_code successful_sessions failed_sessions avg_output_power_kw availability_rate health_score maintenance_flag".split(), "status_id device_id station_id online_minutes offline_minutes fault_minutes fault_count avg_output_power_kw availability_rate health_score".split()),
+}
+# The columns kept under another name, or as a constant, by the base tables.
+_STORED = {"energy_kwh": "e_m", "fee_amount_cny": "f_c", "electricity_price_cny_kwh": "price_c",
+           "service_fee_cny_kwh": "service_c", "open_time": "station_id"}
+_report: list[str] = []
+for _table, (_base, _key, _have, _want) in _TABLES.items():
+    _report += [f"SELECT 'extra_column' AS section, '{_table}' AS table_name, '{n}' AS item, CAST(1 AS BIGINT) AS value" for n in _have if n not in _want]
+    _report += [f"SELECT 'missing_values', '{_table}', '{n}', count(*) - count({_STORED.get(n, n)}) FROM {_base}" for n in _have]
+    _report.append(f"SELECT 'row_count', '{_table}', 'rows', count(*) FROM {_base}")
+    _report.append(f"SELECT 'duplicate_keys', '{_table}', '{_key}', count(*) - count(DISTINCT {_key}) FROM {_base}")
+_LINKS = (
+    ("order_user_fk", "charging_orders", "charges", "user_id", "members"),
+    ("order_station_fk", "charging_orders", "charges", "station_id", "stations"),
+    ("order_device_fk", "charging_orders", "charges", "device_id", "devices"),
+    ("order_weather_fk", "charging_orders", "charges", "weather_id", "weather"),
+    ("device_station_fk", "devices", "devices", "station_id", "stations"),
+    ("status_device_fk", "device_status_log", "status_log", "device_id", "devices"),
+)
+_report += [
+    f"SELECT 'foreign_key', '{_table}', '{_name}_unmatched', count(*) FROM {_child} WHERE {_key} NOT IN (SELECT {_key} FROM {_parent})"
+    for _name, _table, _child, _key, _parent in _LINKS
+]
+oracle("validate_tables", "\nUNION ALL ".join(_report))
+
+BASE["rates_by_weather"] = """
+SELECT weather_type, count(*) AS station_hours, CAST(coalesce(sum(n), 0) AS BIGINT) AS orders,
+  round_even(CAST(coalesce(sum(n), 0) AS DOUBLE) / count(*) * 1000, 3) AS orders_per_1000_station_hours
+FROM weather w JOIN stations s ON s.location_id = w.location_id
+LEFT JOIN (SELECT station_id, at_hour, count(*) AS n FROM charges GROUP BY ALL) c ON c.station_id = s.station_id AND at_hour = weather_time
+GROUP BY weather_type"""
+oracle("demand_rate_by_weather", "SELECT * FROM rates_by_weather")
+
+_checks = [
+    (f"unique_{key}", f"SELECT count(*) - count(DISTINCT {key}) AS v FROM {base}")
+    for base, key in (("members", "user_id"), ("stations", "station_id"), ("devices", "device_id"),
+                      ("weather", "weather_id"), ("charges", "session_id"), ("status_log", "status_id"))
+]
+_checks += [
+    (name, f"SELECT count(*) AS v FROM {child} WHERE {key} NOT IN (SELECT {key} FROM {parent})")
+    for name, _, child, key, parent in _LINKS if name != "device_station_fk"
+]
+_checks += [
+    ("order_device_belongs_to_station", "SELECT count(*) AS v FROM charges c LEFT JOIN devices d ON d.device_id = c.device_id WHERE c.station_id IS DISTINCT FROM d.station_id"),
+    ("station_device_count_matches", "SELECT count(*) AS v FROM stations s FULL JOIN (SELECT station_id, count(*) AS n FROM devices GROUP BY ALL) d ON d.station_id = s.station_id WHERE device_count IS DISTINCT FROM n"),
+    ("users_registered_before_orders", "SELECT count(*) AS v FROM charges c LEFT JOIN members m ON m.user_id = c.user_id WHERE NOT coalesce(registered_at <= created_at, false)"),
+    ("orders_end_after_start", "SELECT count(*) AS v FROM charges WHERE NOT ended_at > created_at"),
+    ("order_holiday_fields_match_calendar", "SELECT count(*) AS v FROM charges WHERE is_holiday <> 0 OR is_weekend <> CAST(isodow(created_at) >= 6 AS INTEGER) OR is_workday <> CAST(isodow(created_at) < 6 AS INTEGER)"),
+    ("rain_reduces_demand", "SELECT count(*) FILTER (NOT coalesce(l < s AND h < l, false)) AS v FROM (SELECT max(orders_per_1000_station_hours) FILTER (weather_type = 'sunny') AS s, max(orders_per_1000_station_hours) FILTER (weather_type = 'light_rain') AS l, max(orders_per_1000_station_hours) FILTER (weather_type = 'heavy_rain') AS h FROM rates_by_weather)"),
+]
+oracle("cross_table_assertions", "\nUNION ALL ".join(
+    f"SELECT '{name}' AS check_name, CAST(v = 0 AS INTEGER) AS passed, CAST(v AS BIGINT) AS violations FROM ({sql})" for name, sql in _checks))
+
+# ---- features and splits --------------------------------------------------
+
+oracle("time_features", f"""
+SELECT session_id, {time_text('at_hour')} AS datetime, start_hour AS hour, CAST(day(created_at) AS INTEGER) AS day,
+  CAST(month(created_at) AS INTEGER) AS month, weekday AS weekday_number, is_weekend, is_holiday, is_workday FROM charges""")
+_WEATHER_CODE = "CAST(list_position(['sunny', 'cloudy', 'overcast', 'fog', 'light_rain', 'heavy_rain', 'snow'], weather_type) - 1 AS INTEGER)"
+oracle("weather_features", f"""
+SELECT weather_id, location_id, {time_text('weather_time')} AS weather_time, weather_type, temperature_c, humidity_pct,
+  precipitation_mm, wind_speed_mps, visibility_km, is_rain, {time_text('weather_time')} AS datetime,
+  {_WEATHER_CODE} AS weather_type_code FROM weather""")
+BASE["site_features"] = """
+SELECT station_id, location_id, CAST(device_count AS DOUBLE) AS device_count, CAST(facility_type AS DOUBLE) AS facility_type_code,
+  CAST(price_c AS DOUBLE) / 100 AS electricity_price_cny_kwh, CAST(service_c AS DOUBLE) / 100 AS service_fee_cny_kwh,
+  CAST(CASE station_status WHEN 'active' THEN 1 WHEN 'maintenance' THEN 0.5 ELSE 0 END AS DOUBLE) AS station_status_code FROM stations"""
+oracle("station_features", "SELECT * FROM site_features")
+BASE["fleet_features"] = """
+SELECT a.*, round(avg_availability_rate, 6) AS avg_availability_rate, total_fault_count, total_fault_minutes,
+  round(avg_health_score, 6) AS avg_health_score, round(avg_output_power_kw, 6) AS avg_output_power_kw
+FROM (SELECT station_id, CAST(count(*) FILTER (charger_type = 'DC_FAST') AS DOUBLE) AS dc_fast_device_count,
+  CAST(count(*) FILTER (charger_type = 'AC_SLOW') AS DOUBLE) AS ac_slow_device_count,
+  round(avg(rated_power_kw), 6) AS avg_rated_power_kw, round(avg(connector_count), 6) AS avg_connector_count FROM devices GROUP BY ALL) a
+LEFT JOIN (SELECT station_id, avg(availability_rate) AS avg_availability_rate, CAST(sum(fault_count) AS BIGINT) AS total_fault_count,
+  CAST(sum(fault_minutes) AS BIGINT) AS total_fault_minutes, avg(health_score) AS avg_health_score,
+  avg(avg_output_power_kw) AS avg_output_power_kw FROM status_log GROUP BY ALL) b ON b.station_id = a.station_id"""
+oracle("device_features", "SELECT * FROM fleet_features")
+BASE["member_features"] = """
+SELECT user_id, vehicle_type, CAST(list_position(['sedan', 'suv', 'mpv', 'commercial'], vehicle_type) - 1 AS DOUBLE) AS vehicle_type_code,
+  CAST(battery_capacity_kwh AS DOUBLE) AS battery_capacity_kwh, member_level,
+  CAST(list_position(['bronze', 'silver', 'gold', 'platinum'], member_level) - 1 AS DOUBLE) AS member_level_code FROM members"""
+oracle("user_features", "SELECT * FROM member_features")
+oracle("merged_orders", f"""
+SELECT session_id, {time_text('at_hour')} AS datetime, s.device_count, s.station_status_code, f.dc_fast_device_count,
+  f.total_fault_minutes, u.vehicle_type, u.member_level_code, {_WEATHER_CODE} AS weather_type_code, w.temperature_c
+FROM charges c LEFT JOIN site_features s ON s.station_id = c.station_id LEFT JOIN fleet_features f ON f.station_id = c.station_id
+LEFT JOIN member_features u ON u.user_id = c.user_id LEFT JOIN weather w ON w.weather_id = c.weather_id""")
+_SHARES = ", ".join(
+    f"round(avg(CAST({field} = '{kind}' AS INTEGER)), 6) AS {kind}_share"
+    for field, kinds in (("vehicle_type", "sedan suv mpv commercial"), ("member_level", "bronze silver gold platinum"))
+    for kind in kinds.split()
+)
+BASE["mix_by_hour"] = f"""
+SELECT station_id, at_hour AS datetime, round(avg(battery_capacity_kwh), 6) AS avg_battery_capacity_kwh,
+  round(avg(vehicle_type_code), 6) AS avg_vehicle_type_code, round(avg(member_level_code), 6) AS avg_member_level_code, {_SHARES}
+FROM charges LEFT JOIN member_features USING (user_id) GROUP BY ALL"""
+oracle("user_mix", f"SELECT * REPLACE ({time_text('datetime')} AS datetime) FROM mix_by_hour")
+BASE["targets_by_hour"] = """
+SELECT station_id, at_hour AS datetime, CAST(sum(e_m) AS DOUBLE) / 1000 AS energy_kwh, count(*) AS session_count,
+  sum(charge_time_hrs) AS charge_time_hrs, round(avg(charge_time_hrs), 6) AS avg_charge_time_hrs,
+  count(*) FILTER (order_status = 'completed') AS completed_order_count,
+  count(*) FILTER (order_status = 'interrupted') AS interrupted_order_count,
+  count(*) FILTER (order_status = 'failed') AS failed_order_count FROM charges GROUP BY ALL"""
+oracle("station_hour_targets", f"SELECT * REPLACE ({time_text('datetime')} AS datetime) FROM targets_by_hour")
+oracle("station_hour_grid", f"SELECT * REPLACE ({time_text('datetime')} AS datetime) FROM station_hours")
+BASE["day_flags"] = """
+SELECT start_date AS date, max(is_weekend) AS calendar_is_weekend, max(is_holiday) AS calendar_is_holiday,
+  max(is_workday) AS calendar_is_workday FROM charges GROUP BY ALL"""
+oracle("calendar_rollup", f"SELECT * REPLACE ({day_text('date')} AS date) FROM day_flags")
+
+
+def _filled(alias: str, names: str, default: str = "0") -> str:
+    return ", ".join(f"coalesce({alias}.{n}, {default}) AS {n}" for n in names.split())
+
+
+_LAGS = ", ".join(
+    f"lag(kwh, {n}) OVER (PARTITION BY station_id ORDER BY datetime) AS load_lag_{n}h" for n in (1, 2, 3, 24)
+)
+oracle("station_hour_features", f"""
+SELECT g.station_id, g.location_id, {time_text('g.datetime')} AS datetime, l.kwh AS energy_kwh,
+  {_filled('t', 'session_count charge_time_hrs completed_order_count interrupted_order_count failed_order_count')},
+  CAST(hour(g.datetime) AS INTEGER) AS hour, CAST(day(g.datetime) AS INTEGER) AS day, CAST(month(g.datetime) AS INTEGER) AS month,
+  CAST(isodow(g.datetime) - 1 AS INTEGER) AS weekday_number,
+  coalesce(d.calendar_is_weekend, CAST(isodow(g.datetime) >= 6 AS INTEGER)) AS is_weekend,
+  coalesce(d.calendar_is_holiday, 0) AS is_holiday,
+  coalesce(d.calendar_is_workday, CAST(isodow(g.datetime) < 6 AS INTEGER)) AS is_workday,
+  coalesce({_WEATHER_CODE}, -1) AS weather_type_code,
+  {_filled('w', 'temperature_c humidity_pct precipitation_mm wind_speed_mps visibility_km is_rain')},
+  s.device_count, s.facility_type_code, s.electricity_price_cny_kwh, s.service_fee_cny_kwh, s.station_status_code,
+  {_filled('f', 'dc_fast_device_count ac_slow_device_count avg_rated_power_kw avg_connector_count avg_availability_rate total_fault_count total_fault_minutes avg_health_score avg_output_power_kw')},
+  {_filled('m', 'avg_battery_capacity_kwh')}, {_filled('m', 'avg_vehicle_type_code avg_member_level_code', '-1')},
+  {_filled('m', 'sedan_share suv_share mpv_share commercial_share bronze_share silver_share gold_share platinum_share')},
+  l.load_lag_1h, l.load_lag_2h, l.load_lag_3h, l.load_lag_24h
+FROM station_hours g
+JOIN (SELECT *, {_LAGS} FROM dense_load) l ON l.station_id = g.station_id AND l.datetime = g.datetime
+LEFT JOIN targets_by_hour t ON t.station_id = g.station_id AND t.datetime = g.datetime
+LEFT JOIN mix_by_hour m ON m.station_id = g.station_id AND m.datetime = g.datetime
+LEFT JOIN site_features s ON s.station_id = g.station_id
+LEFT JOIN fleet_features f ON f.station_id = g.station_id
+LEFT JOIN day_flags d ON d.date = CAST(g.datetime AS DATE)
+LEFT JOIN weather w ON w.location_id = g.location_id AND w.weather_time = g.datetime""")
+_ALIASES = ", ".join(f"load_lag_{n}h AS lag_{n}h, load_lag_{n}h AS lag_{n}" for n in (1, 2, 3, 24))
+oracle("lag_features", f"""
+SELECT station_id, {time_text('datetime')} AS datetime, kwh AS energy_kwh, load_lag_1h, load_lag_2h, load_lag_3h, load_lag_24h, {_ALIASES}
+FROM (SELECT *, {_LAGS} FROM dense_load)""")
+oracle("global_lag_features", f"""
+SELECT {time_text('created_at')} AS datetime, kwh AS energy_kwh, session_id, a AS load_lag_1h, a AS lag_1h, a AS lag_1,
+  b AS load_lag_24h, b AS lag_24h, b AS lag_24
+FROM (SELECT *, lag(kwh, 1) OVER (ORDER BY created_at) AS a, lag(kwh, 24) OVER (ORDER BY created_at) AS b
+      FROM (SELECT *, CAST(e_m AS DOUBLE) / 1000 AS kwh FROM charges))""")
+BASE["time_places"] = "SELECT t, row_number() OVER (ORDER BY t) - 1 AS i FROM (SELECT DISTINCT created_at AS t FROM charges)"
+oracle("time_index", f"SELECT {time_text('t')} AS created_at, i AS time_index FROM time_places")
+oracle("time_split", f"""
+WITH n AS (SELECT count(*) AS n FROM time_places)
+SELECT session_id, {time_text('created_at')} AS datetime,
+  CASE WHEN i < CAST(floor(n * 0.7) AS BIGINT) THEN 'train'
+       WHEN i < CAST(floor(n * 0.7) AS BIGINT) + CAST(floor(n * 0.15) AS BIGINT) THEN 'validation' ELSE 'test' END AS split
+FROM charges JOIN time_places ON t = created_at, n""")
+oracle("newest_orders_per_station", f"""
+SELECT station_id, session_id, {time_text('created_at')} AS created_at FROM (SELECT *, row_number() OVER
+  (PARTITION BY station_id ORDER BY created_at DESC, session_id DESC) AS place FROM charges) WHERE place <= 24""")
+oracle("load_by_station_hour", f"""
+SELECT station_id, {time_text('datetime')} AS datetime, CAST(e_m AS DOUBLE) / 1000 AS energy_kwh FROM hour_load""")
+oracle("load_by_hour", f"""
+SELECT {time_text('datetime')} AS datetime, CAST(sum(e_m) AS DOUBLE) / 1000 AS energy_kwh FROM hour_load GROUP BY ALL""")
+oracle("load_by_station", "SELECT station_id, CAST(sum(e_m) AS DOUBLE) / 1000 AS energy_kwh FROM hour_load GROUP BY ALL")
+oracle("demand_weight", f"""
+SELECT station_id, {time_text('datetime')} AS datetime, CAST(e_m AS DOUBLE) / 1000 AS energy_kwh,
+  CAST(CASE WHEN e_m > 0 THEN 41 ELSE 1 END AS DOUBLE) AS sample_weight FROM hour_load""")
+oracle("prepared_training_rows", """
+SELECT session_id AS id, created_at AS datetime, CAST(energy AS DOUBLE) AS energy_kwh, CAST(fee AS DOUBLE) AS fee_amount_cny,
+  hrs AS charge_time_hrs FROM parsed WHERE energy IS NOT NULL AND fee IS NOT NULL AND hrs IS NOT NULL""")
+
+# ---- demand ---------------------------------------------------------------
+
+oracle("calendar_dimension", f"""
+WITH days AS (SELECT CAST(unnest(generate_series(min(o_orderdate) + INTERVAL 15 YEAR, max(o_orderdate) + INTERVAL 15 YEAR, INTERVAL 1 DAY)) AS DATE) AS d FROM orders),
+named AS (SELECT d, coalesce(name, '非节假日') AS name FROM days LEFT JOIN (VALUES
+  (DATE '2015-01-01', DATE '2015-01-03', '元旦'), (DATE '2015-02-18', DATE '2015-02-24', '春节'),
+  (DATE '2015-04-04', DATE '2015-04-06', '清明节'), (DATE '2015-05-01', DATE '2015-05-03', '劳动节'),
+  (DATE '2015-06-20', DATE '2015-06-22', '端午节'), (DATE '2015-09-03', DATE '2015-09-05', '抗战胜利纪念日'),
+  (DATE '2015-09-26', DATE '2015-09-27', '中秋节'), (DATE '2015-10-01', DATE '2015-10-07', '国庆节')) AS h(a, b, name) ON d BETWEEN a AND b)
+SELECT {day_text('d')} AS calendar_date, CAST(isodow(d) >= 6 AS INTEGER) AS is_weekend, CAST(name <> '非节假日' AS INTEGER) AS is_holiday,
+  name AS holiday_name, CAST((isodow(d) < 6 AND name = '非节假日') OR d IN (DATE '2015-01-04', DATE '2015-02-15', DATE '2015-02-28',
+  DATE '2015-09-06', DATE '2015-10-10') AS INTEGER) AS is_workday FROM named""")
+
+BASE["factor_station"] = """
+SELECT station_id, least(greatest(v / avg(v) OVER (), 0.25), 4.0) AS factor
+FROM (SELECT s.station_id, count(c.session_id) + 4.0 AS v FROM stations s LEFT JOIN charges c ON c.station_id = s.station_id GROUP BY ALL)"""
+BASE["factor_hour"] = """
+SELECT h, least(greatest(v / avg(v) OVER (), 0.22), 2.8) AS factor
+FROM (SELECT h, count(session_id) + 3.0 AS v FROM range(24) AS t(h) LEFT JOIN charges ON start_hour = h GROUP BY ALL)"""
+BASE["factor_weekday"] = """
+SELECT w, least(greatest(v / avg(v) OVER (), 0.72), 1.35) AS factor
+FROM (SELECT w, (count(session_id) + 1.0) / any_value(coalesce(n, 1)) AS v FROM range(7) AS t(w)
+  LEFT JOIN charges ON weekday = w
+  LEFT JOIN (SELECT isodow(d) - 1 AS wd, count(*) AS n FROM (SELECT unnest(generate_series(date_trunc('day', first_hour),
+    date_trunc('day', last_hour), INTERVAL 1 DAY)) AS d FROM span) GROUP BY ALL) ON wd = w GROUP BY w)"""
+oracle("station_factors", "SELECT station_id, round(factor, 9) AS station_factor FROM factor_station")
+oracle("hour_factors", "SELECT CAST(h AS INTEGER) AS hour, round(factor, 9) AS hour_factor FROM factor_hour")
+oracle("weekday_factors", "SELECT CAST(w AS INTEGER) AS weekday, round(factor, 9) AS weekday_factor FROM factor_weekday")
+oracle("expected_demand", f"""
+WITH scores AS (SELECT s.station_id, w.weather_time, fs.factor
+  * least(greatest(sqrt(s.device_count / (SELECT avg(device_count) FROM stations)), 0.55), 2.2) * fh.factor * fw.factor
+  * CASE weather_type WHEN 'sunny' THEN 1.0 WHEN 'cloudy' THEN 0.94 WHEN 'overcast' THEN 0.84 WHEN 'fog' THEN 0.70
+      WHEN 'light_rain' THEN 0.64 WHEN 'heavy_rain' THEN 0.36 ELSE 0.48 END
+  * CASE WHEN temperature_c < -5 THEN 0.72 WHEN temperature_c > 36 THEN 0.78 WHEN temperature_c > 32 THEN 0.90 ELSE 1.0 END AS score
+  FROM weather w JOIN stations s ON s.location_id = w.location_id JOIN factor_station fs ON fs.station_id = s.station_id
+  JOIN factor_hour fh ON fh.h = hour(weather_time) JOIN factor_weekday fw ON fw.w = isodow(weather_time) - 1)
+SELECT station_id, {time_text('weather_time')} AS datetime, round(score * 24000.0 / (SELECT sum(score) FROM scores), 6) AS expected_orders FROM scores""")
+BASE["device_days"] = """
+SELECT g.device_id, g.station_id, g.commissioned_at, g.day AS stat_date,
+  count(session_id) FILTER (order_status = 'completed') AS successful_sessions,
+  count(session_id) FILTER (order_status = 'failed') AS failed_sessions, count(session_id) AS total_sessions,
+  coalesce(avg(CAST(e_m AS DOUBLE) / 1000 / charge_time_hrs), 0) AS avg_output_power_kw
+FROM (SELECT device_id, station_id, commissioned_at, CAST(unnest(generate_series(date_trunc('day', first_hour), date_trunc('day', last_hour), INTERVAL 1 DAY)) AS DATE) AS day
+      FROM devices, span) g LEFT JOIN charges c ON c.device_id = g.device_id AND c.start_date = g.day GROUP BY ALL"""
+oracle("device_day_rollup", f"""
+SELECT * REPLACE ({day_text('stat_date')} AS stat_date, {day_text('commissioned_at')} AS commissioned_at,
+  round(avg_output_power_kw, 6) AS avg_output_power_kw) FROM device_days""")
+BASE["weather_days"] = """
+SELECT location_id, CAST(weather_time AS DATE) AS stat_date, sum(precipitation_mm) AS daily_precipitation_mm,
+  avg(humidity_pct) AS daily_avg_humidity_pct, avg(temperature_c) AS daily_avg_temperature_c FROM weather GROUP BY ALL"""
+oracle("weather_day_rollup", f"""
+SELECT * REPLACE ({day_text('stat_date')} AS stat_date, round(daily_avg_humidity_pct, 6) AS daily_avg_humidity_pct,
+  round(daily_avg_temperature_c, 6) AS daily_avg_temperature_c) FROM weather_days""")
+oracle("fault_risk", f"""
+SELECT device_id, {day_text('d.stat_date')} AS stat_date, total_sessions, round(least(greatest(
+  0.0025 + greatest(date_diff('day', commissioned_at, d.stat_date), 0) / 365.25 * 0.0025
+  + CASE WHEN daily_precipitation_mm >= 5 THEN 0.007 ELSE 0 END + CASE WHEN daily_avg_humidity_pct >= 85 THEN 0.004 ELSE 0 END
+  + least(total_sessions / 7.0, 1.0) * 0.006, 0.002), 0.12), 9) AS fault_probability
+FROM device_days d JOIN stations s ON s.station_id = d.station_id
+LEFT JOIN weather_days w ON w.location_id = s.location_id AND w.stat_date = d.stat_date""")
+oracle("current_device_state", """
+SELECT d.device_id, d.station_id, CASE WHEN fault_count > 0 THEN 'fault' WHEN availability_rate < 0.95 THEN 'offline' ELSE 'online' END AS current_status
+FROM devices d LEFT JOIN (SELECT * FROM status_log QUALIFY row_number() OVER (PARTITION BY device_id ORDER BY record_time DESC) = 1) s
+ON s.device_id = d.device_id""")
+
+# ---- forecasts ------------------------------------------------------------
+
+oracle("persistence_forecast", f"""
+SELECT station_id, {time_text('datetime')} AS datetime, horizon_hour, round(load, 6) AS predicted_load_kwh FROM predicted""")
+oracle("persistence_forecast_from_orders", f"""
+SELECT station_id, {time_text('last_hour + to_hours(CAST(h AS INTEGER))')} AS datetime, CAST(h AS INTEGER) AS horizon_hour,
+  round(kwh, 6) AS predicted_load_kwh
+FROM (SELECT station_id, max(datetime) AS last_hour, CAST(arg_max(e_m, datetime) AS DOUBLE) / 1000 AS kwh FROM hour_load GROUP BY station_id),
+  generate_series(1, 6) AS t(h)""")
+BASE["steady"] = "SELECT station_id, datetime, round(load, 6) AS load FROM predicted"
+BASE["slots"] = "SELECT datetime, sum(load) AS load, count(DISTINCT station_id) AS n, avg(load) AS mean FROM predicted GROUP BY ALL"
+oracle("forecast_totals", f"SELECT {time_text('datetime')} AS datetime, round(load, 4) AS load FROM slots")
+oracle("forecast_by_station", f"""
+SELECT station_id, round(sum(load), 4) AS total_load, round(max(load), 4) AS peak_load,
+  {time_text('min(datetime) FILTER (load = top)')} AS peak_time
+FROM (SELECT *, max(load) OVER (PARTITION BY station_id) AS top FROM steady) GROUP BY station_id""")
+oracle("forecast_summary", f"""
+SELECT round(sum(load), 3) AS total_load, round(max(load), 3) AS peak_load, round(avg(load), 3) AS avg_load,
+  {time_text('arg_max(datetime, load)')} AS peak_time, any_value(n) AS station_count FROM slots""")
+oracle("standard_forecast_rows", f"""
+SELECT 'global' AS station_id, {time_text('datetime')} AS datetime, round(load, 6) AS predicted_load_kwh, horizon_hour
+FROM predicted WHERE horizon_hour <= 6""")
+oracle("peak_periods", f"""
+SELECT CAST(row_number() OVER (ORDER BY load DESC, datetime) AS INTEGER) AS rank, {time_text('datetime')} AS datetime,
+  CAST(hour(datetime) AS INTEGER) AS hour, round(load, 4) AS predicted_load_kwh, n AS station_count,
+  round(t, 4) AS peak_threshold_kwh, CAST(load >= t AS INTEGER) AS is_peak
+FROM slots, (SELECT quantile_cont(load, 0.9) AS t FROM slots)""")
+oracle("top_peak_periods", f"""
+SELECT CAST(row_number() OVER (ORDER BY mean DESC, datetime) AS INTEGER) AS rank, {time_text('datetime')} AS datetime,
+  CAST(hour(datetime) AS INTEGER) AS hour, round(mean, 4) AS predicted_load_kwh, n AS station_count,
+  100.0::DOUBLE AS peak_threshold_kwh, CAST(mean >= 100 AS INTEGER) AS is_peak
+FROM (SELECT * FROM slots ORDER BY mean DESC, datetime LIMIT 3)""")
+oracle("peak_periods_per_station", f"""
+SELECT station_id, CAST(place AS INTEGER) AS rank, {time_text('datetime')} AS datetime, CAST(hour(datetime) AS INTEGER) AS hour,
+  round(load, 4) AS predicted_load_kwh, CAST(1 AS BIGINT) AS station_count, round(t, 4) AS peak_threshold_kwh, CAST(load >= t AS INTEGER) AS is_peak
+FROM (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY load DESC, datetime) AS place,
+        quantile_cont(load, 0.9) OVER (PARTITION BY station_id) AS t FROM steady) WHERE place <= 3""")
+
+# ---- recommendation -------------------------------------------------------
+
+BASE["ahead"] = """
+SELECT station_id, avg(load) AS predicted_load, min(datetime) FILTER (load = top) AS peak_time, max(load) AS peak
+FROM (SELECT *, max(load) OVER (PARTITION BY station_id) AS top FROM steady) GROUP BY station_id"""
+BASE["past"] = "SELECT station_id, CAST(sum(e_m) AS DOUBLE) / 1000 AS volume, CAST(count(*) AS DOUBLE) AS frequency FROM charges GROUP BY ALL"
+BASE["spare"] = "SELECT station_id, count(*) FILTER (current_status = 'online') AS available_chargers FROM devices GROUP BY ALL"
+BASE["score_inputs"] = """
+SELECT s.station_id, s.station_name, s.address, s.station_status, f.available_chargers, coalesce(a.predicted_load, 0) AS load,
+  a.peak_time, coalesce(p.volume, 0) AS volume, coalesce(p.frequency, 0) AS frequency,
+  coalesce(a.predicted_load, 0) / s.device_count AS congestion, CAST(f.available_chargers AS DOUBLE) AS free,
+  CAST(price_c AS DOUBLE) / 100 + CAST(service_c AS DOUBLE) / 100 AS price, CAST(station_status = 'active' AS INTEGER) AS status
+FROM stations s JOIN spare f ON f.station_id = s.station_id LEFT JOIN ahead a ON a.station_id = s.station_id
+LEFT JOIN past p ON p.station_id = s.station_id"""
+
+
+def _share(name: str, down: bool) -> str:
+    low, high = f"min({name}) OVER ()", f"max({name}) OVER ()"
+    share = f"CASE WHEN {low} = {high} THEN 1.0 ELSE ({name} - {low}) / ({high} - {low}) END"
+    return f"(1.0 - {share})" if down else f"({share})"
+
+
+BASE["scored"] = f"""
+SELECT *, round_even(100 * (0.14 * status + 0.28 * {_share('load', True)} + 0.20 * {_share('congestion', True)}
+  + 0.18 * {_share('free', False)} + 0.08 * {_share('price', True)} + 0.06 * {_share('volume', False)}
+  + 0.06 * {_share('frequency', False)}), 2) AS score,
+  CASE WHEN status < 1 THEN 'Station is not in normal operating status'
+    WHEN free > 0 AND load <= free * 4 THEN 'Low predicted congestion'
+    WHEN free > 0 THEN 'Available chargers remain despite forecast load'
+    ELSE 'Ranked by prediction and station capacity' END AS reason FROM score_inputs"""
+oracle("aggregated_predictions", f"SELECT station_id, round(predicted_load, 4) AS predicted_load, {time_text('peak_time')} AS peak_time FROM ahead")
+oracle("aggregated_history", "SELECT station_id, volume AS historical_volume, frequency AS historical_frequency FROM past")
+oracle("scoring_frame", f"""
+SELECT station_id, available_chargers, round(load, 4) AS predicted_load, {time_text('peak_time')} AS peak_time, volume AS historical_volume,
+  frequency AS historical_frequency FROM score_inputs""")
+oracle("station_score", f"""
+SELECT station_id, score, reason, round(load, 4) AS predicted_load, {time_text('peak_time')} AS peak_time FROM scored""")
+oracle("recommend_low_load", f"""
+SELECT station_id, score, reason, round(load, 4) AS predicted_load, {time_text('peak_time')} AS peak_time, station_name, address
+FROM scored WHERE status >= 1 ORDER BY score DESC, station_id LIMIT 5""")
+oracle("recommended_stations", f"""
+SELECT {_DEPOT}, round(km, 6) AS distance_km, coalesce(score, -1) AS recommend_score, coalesce(free, 0) AS free_pile_count,
+  coalesce(working * 100.0 / n, 0) AS online_rate
+FROM (SELECT d.*, s.score, {_distance('30.3', '110.4', 'd.latitude', 'd.longitude')} AS km FROM depots d
+  LEFT JOIN (SELECT station_id, score FROM scored WHERE station_id % 2 = 0) s ON s.station_id = d.id
+  ORDER BY coalesce(s.score, -1) DESC, km, d.id LIMIT 5)
+LEFT JOIN pile_totals ON sid = id""")
+
+
+def _alerts(limit: str, kept: str) -> str:
+    return f"""
+SELECT station_id, {time_text('datetime')} AS peak_time, round(load, 3) AS predicted_load,
+  CASE WHEN load / lim >= 1.25 THEN 'critical' WHEN load / lim >= 1 THEN 'high' WHEN load / lim >= 0.85 THEN 'medium' ELSE 'low' END AS alert_level
+FROM (SELECT *, CAST(e_m AS DOUBLE) / 1000 AS load, CAST({limit} AS DOUBLE) AS lim FROM hour_load) WHERE {kept}"""
+
+
+oracle("detect_peaks", _alerts("CASE station_id WHEN 3 THEN 100 WHEN 5 THEN 900 ELSE 300 END", "load / lim >= 0.85"))
+oracle("load_alerts", _alerts("250", "load >= lim"))
+oracle("ops_advice", """
+SELECT CAST(station_id AS VARCHAR) AS station_id, round_even(peak, 2) AS predicted_load, CAST(300 AS DOUBLE) AS threshold,
+  CASE WHEN peak >= 300 THEN 'high' WHEN peak >= 300 * 0.85 THEN 'medium' ELSE 'low' END AS priority,
+  free AS available_chargers, round_even(volume, 2) AS historical_volume_kwh, frequency AS historical_frequency,
+  concat_ws('|',
+    CASE WHEN peak >= 300 THEN '立即启动高峰前运维：疏导可用充电桩、提醒用户错峰充电，并检查站内设备温度和供电状态。'
+      WHEN peak >= 300 * 0.85 THEN '关注站点负荷上升：提前调度备用桩、通知用户选择相邻站点充电。'
+      ELSE '正常运营，继续监控负荷变化并保留备用充电资源。' END,
+    CASE WHEN free > 0 THEN '当前可用桩数为 ' || printf('%.1f', free) || '，建议保留至少 ' || greatest(1, CAST(floor(free * 0.3) AS INTEGER)) || ' 个桩作为备用。'
+      ELSE '当前站点无可用备桩，建议启动跨站协同调度或引导用户前往邻近站点。' END,
+    CASE WHEN station_status <> 'active' THEN '站点状态为 ' || station_status || '，建议优先检查设备在线状态与安全巡检。' END,
+    CASE WHEN volume > 0 THEN '历史充电量为 ' || printf('%.1f', round_even(volume, 1)) || ' kWh，近峰值时段已表现出较高使用强度。' END) AS advice
+FROM (SELECT i.*, coalesce(a.peak, 0) AS peak FROM score_inputs i LEFT JOIN ahead a ON a.station_id = i.station_id)""")
+
+# ---- metrics --------------------------------------------------------------
+
+BASE["guesses"] = """
+SELECT model, kwh AS y, CASE model WHEN 'previous_hour' THEN a ELSE b END AS p
+FROM (SELECT *, lag(kwh, 1) OVER w AS a, lag(kwh, 24) OVER w AS b FROM dense_load WINDOW w AS (PARTITION BY station_id ORDER BY datetime)),
+  (VALUES ('previous_hour'), ('previous_day')) AS t(model)"""
+BASE["scores_by_model"] = """
+SELECT model, count(*) AS n, round(avg(abs(p - y)), 6) AS mae, round(sqrt(avg((p - y) * (p - y))), 6) AS rmse,
+  round(coalesce(avg(abs((p - y) / y)) FILTER (abs(y) > 1e-12) * 100, 0), 4) AS mape,
+  round(1 - sum((p - y) * (p - y)) / (var_pop(y) * count(*)), 6) AS r2 FROM guesses WHERE p IS NOT NULL GROUP BY model"""
+oracle("regression_metrics", "SELECT * EXCLUDE (model) FROM scores_by_model WHERE model = 'previous_hour'")
+oracle("compare_models", """
+SELECT CAST(row_number() OVER (ORDER BY mae, model) AS INTEGER) AS rank, model, mae, rmse, mape, r2,
+  CAST(row_number() OVER (ORDER BY mae, model) = 1 AS INTEGER) AS is_best FROM scores_by_model""")
