@@ -82,7 +82,7 @@ def clean_table(
         verdict = verdict & field.accept(F.col(field.name))
     if across is not None:
         verdict = verdict & across()
-    return one_per_key(typed.where(verdict), TABLE_KEYS[table])
+    return one_per_key(typed, TABLE_KEYS[table], eligible=verdict)
 
 
 # The choices and limits below are fixed values of the data contract.

@@ -16,6 +16,7 @@ from voltlens.functions.codes import (
 )
 from voltlens.operators.keys import one_per_key
 from voltlens.operators.series import lag_features
+from voltlens.session import task_count
 
 # The column contract of the feature table.
 IDENTIFIERS = ("station_id", "location_id", "datetime")
@@ -196,20 +197,31 @@ def station_hour_targets(merged: DataFrame) -> DataFrame:
 def station_hour_grid(stations: DataFrame, orders: DataFrame, at: str = "created_at") -> DataFrame:
     """(station_id, location_id, datetime): every station in every hour of the order span.
 
-    The span is a scalar subquery and the hours are exploded per station row:
-    no join and nothing fetched by the driver.  Without orders the query fails.
+    The span is a scalar subquery: no join and nothing fetched by the driver.
+    Stations are exploded to days, the few station-days spread over the
+    cluster, and the hours exploded there, so that a small station file or a
+    handful of stations does not confine the grid to a few tasks.  Without
+    orders the query fails.
     """
     clock = wall_clock(orders, at)
     span = orders.agg(
         F.struct(hour_floor(F.min(clock)).alias("first"), hour_floor(F.max(clock)).alias("last")).alias("s")
     ).scalar()
-    hours = F.sequence(F.col("_span.first"), F.col("_span.last"), F.expr("interval 1 hour"))
-    guarded = F.when(F.col("_span.first").isNotNull(), hours).otherwise(
+    first, last = F.col("_span.first"), F.col("_span.last")
+    dates = F.sequence(F.to_date(first), F.to_date(last), F.expr("interval 1 day"))
+    guarded = F.when(first.isNotNull(), dates).otherwise(
         F.raise_error(F.lit("no valid charging orders to build features from"))
     )
-    return stations.select("station_id", "location_id", span.alias("_span")).select(
-        "station_id", "location_id", F.explode(guarded).alias("datetime")
+    days = stations.select("station_id", "location_id", span.alias("_span")).select(
+        "*", F.explode(guarded).alias("_day")
+    ).repartition(task_count(stations.sparkSession), "station_id", "_day")
+    midnight = F.col("_day").cast("timestamp_ntz")
+    hours = F.sequence(
+        F.greatest(first, midnight),
+        F.least(last, midnight + F.expr("interval 23 hours")),
+        F.expr("interval 1 hour"),
     )
+    return days.select("station_id", "location_id", F.explode(hours).alias("datetime"))
 
 
 def calendar_rollup(merged: DataFrame) -> DataFrame:

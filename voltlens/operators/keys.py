@@ -12,17 +12,26 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def one_per_key(df: DataFrame, keys: str | Sequence[str]) -> DataFrame:
-    """Keep the smallest row, in column order, of every key.
+def one_per_key(
+    df: DataFrame, keys: str | Sequence[str], eligible: Column | None = None
+) -> DataFrame:
+    """Keep the smallest eligible row, in column order, of every key.
 
     A plain aggregate: each input partition reduces its copies to one row
     before anything is shuffled, and the winner does not depend on row order.
+    ``eligible`` is judged inside the aggregate: a filter below it would be
+    pushed under the projection that parses the columns and parse them again.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     rest = [name for name in df.columns if name not in keys]
     if not rest:
-        return df.distinct()
-    best = df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row"))
+        return (df if eligible is None else df.where(eligible)).distinct()
+    row = F.struct(*rest)
+    if eligible is not None:
+        row = F.when(eligible, row)
+    best = df.groupBy(*keys).agg(F.min(row).alias("_row"))
+    if eligible is not None:
+        best = best.where(F.col("_row").isNotNull())
     return best.select(
         *[F.col(name) if name in keys else F.col(f"_row.{name}").alias(name) for name in df.columns]
     )

@@ -630,7 +630,7 @@ def lag_features(d):
         "station_id", F.date_trunc("hour", "created_at").cast("timestamp_ntz").alias("datetime")
     ).agg(F.sum("energy_kwh").alias("energy_kwh"))
     dense = grid.join(load, ["station_id", "datetime"], "left").na.fill(0, ["energy_kwh"])
-    return series.lag_features(dense.select("station_id", "datetime", "energy_kwh"))
+    return series.lag_features(dense.select("station_id", "datetime", "energy_kwh"), hourly=True)
 
 
 @query

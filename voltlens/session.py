@@ -14,13 +14,42 @@ def build_session(app: str, master: str | None = None, **settings: str) -> Spark
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.parquet.filterPushdown", "true")
     )
     if master:
         builder = builder.master(master)
     for key, value in settings.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    return tune(builder.getOrCreate())
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Keep generated methods below the size the JVM refuses to compile.
+
+    Wide projections (thirty rules, fifty features) otherwise end up in one
+    method above 8000 bytes of bytecode, which then runs interpreted.  Beyond
+    this limit Spark evaluates the projection in split methods instead.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    return spark
+
+
+def task_count(spark: SparkSession) -> int:
+    """As many tasks as the cluster runs at once, and no fewer than a shuffle would use."""
+    return max(
+        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    )
+
+
+def spread_scan(scan: DataFrame, key: str) -> DataFrame:
+    """Redistribute a plain table scan that has fewer splits than the cluster has cores.
+
+    Heavy work per row above a few small files would run in as many tasks as
+    there are files.  A large table has more splits than cores and stays as is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores, key)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
