@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from voltlens.functions import hour_floor, monday_index, ratio
 from voltlens.operators.calendar import calendar_columns
+from voltlens.operators.features import explode_hours, hour_span
 from voltlens.session import task_count
 
 # Relative demand by weather, limits and smoothing of the factors.
@@ -82,8 +83,8 @@ def expected_demand(
     """(station_id, datetime, expected_orders) over all station-hours with weather.
 
     The seven factors of a station-hour are multiplied and scaled so that all
-    station-hours add up to ``target_orders``.  The grid is the equi-join of
-    stations and hourly weather on location.
+    station-hours add up to ``target_orders``.  The grid meets the weather on
+    location and hour: a location with many stations is spread over its hours.
     """
     scaled = stations.select(
         "station_id", "location_id",
@@ -129,7 +130,9 @@ def expected_demand(
         .agg(F.sum(F.col("hours_score") * F.col("station_score")).alias("total"))
         .scalar()
     )
-    grid = hours.join(scaled, "location_id")
+    grid = explode_hours(scaled, hour_span(weather, F.col("weather_time")), "station_id").join(
+        hours, ["location_id", "datetime"]
+    )
     score = F.col("station_factor") * F.col("capacity_factor") * F.col("hour_score")
     return grid.select(
         "station_id", "datetime", (score * (F.lit(float(target_orders)) / total)).alias("expected_orders")

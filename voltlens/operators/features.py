@@ -194,34 +194,41 @@ def station_hour_targets(merged: DataFrame) -> DataFrame:
     return _per_station_hour(merged, _target_columns())
 
 
-def station_hour_grid(stations: DataFrame, orders: DataFrame, at: str = "created_at") -> DataFrame:
-    """(station_id, location_id, datetime): every station in every hour of the order span.
+def hour_span(df: DataFrame, at: Column) -> Column:
+    """First and last hour of ``at`` as a scalar subquery; nothing is fetched by the driver."""
+    return df.agg(
+        F.struct(hour_floor(F.min(at)).alias("first"), hour_floor(F.max(at)).alias("last")).alias("s")
+    ).scalar()
+
 
-    The span is a scalar subquery: no join and nothing fetched by the driver.
-    Stations are exploded to days, the few station-days spread over the
-    cluster, and the hours exploded there, so that a small station file or a
-    handful of stations does not confine the grid to a few tasks.  Without
-    orders the query fails.
+def explode_hours(rows: DataFrame, span: Column, key: str, name: str = "datetime") -> DataFrame:
+    """Every row once per hour of ``span``; an empty span fails the query.
+
+    Rows are exploded to days, the few row-days spread over the cluster, and
+    the hours exploded there, so that a small dimension file or a handful of
+    stations does not confine the grid to a few tasks.  No join is involved.
     """
-    clock = wall_clock(orders, at)
-    span = orders.agg(
-        F.struct(hour_floor(F.min(clock)).alias("first"), hour_floor(F.max(clock)).alias("last")).alias("s")
-    ).scalar()
     first, last = F.col("_span.first"), F.col("_span.last")
     dates = F.sequence(F.to_date(first), F.to_date(last), F.expr("interval 1 day"))
     guarded = F.when(first.isNotNull(), dates).otherwise(
         F.raise_error(F.lit("no valid charging orders to build features from"))
     )
-    days = stations.select("station_id", "location_id", span.alias("_span")).select(
-        "*", F.explode(guarded).alias("_day")
-    ).repartition(task_count(stations.sparkSession), "station_id", "_day")
+    days = rows.withColumn("_span", span).select("*", F.explode(guarded).alias("_day")).repartition(
+        task_count(rows.sparkSession), key, "_day"
+    )
     midnight = F.col("_day").cast("timestamp_ntz")
     hours = F.sequence(
         F.greatest(first, midnight),
         F.least(last, midnight + F.expr("interval 23 hours")),
         F.expr("interval 1 hour"),
     )
-    return days.select("station_id", "location_id", F.explode(hours).alias("datetime"))
+    return days.select(*rows.columns, F.explode(hours).alias(name))
+
+
+def station_hour_grid(stations: DataFrame, orders: DataFrame, at: str = "created_at") -> DataFrame:
+    """(station_id, location_id, datetime): every station in every hour of the order span."""
+    span = hour_span(orders, wall_clock(orders, at))
+    return explode_hours(stations.select("station_id", "location_id"), span, "station_id")
 
 
 def calendar_rollup(merged: DataFrame) -> DataFrame:

@@ -63,13 +63,17 @@ def valid_device_status(status: DataFrame, devices: DataFrame) -> DataFrame:
     return status.join(pairs, ["device_id", "station_id"], "left_semi")
 
 
-def null_counts(df: DataFrame) -> DataFrame:
-    """(column_name, missing) for every column; blank text counts as missing.  One aggregate."""
+def _missing_counts(df: DataFrame) -> dict[str, Column]:
     def missing(name: str, kind: str) -> Column:
         absent = F.col(name).isNull()
         return absent | (F.trim(F.col(name)) == "") if kind == "string" else absent
 
-    counts = df.agg(*[F.count_if(missing(n, kind)).alias(n) for n, kind in df.dtypes])
+    return {name: F.count_if(missing(name, kind)) for name, kind in df.dtypes}
+
+
+def null_counts(df: DataFrame) -> DataFrame:
+    """(column_name, missing) for every column; blank text counts as missing.  One aggregate."""
+    counts = df.agg(*[count.alias(name) for name, count in _missing_counts(df).items()])
     return counts.unpivot([], df.columns, "column_name", "missing")
 
 
@@ -94,32 +98,38 @@ def validate_tables(tables: Mapping[str, DataFrame]) -> DataFrame:
     if absent:
         raise ValueError("missing tables: " + ", ".join(absent))
 
-    def fact(df: DataFrame, section: str, table: str, item, value: Column) -> DataFrame:
-        return df.select(
-            F.lit(section).alias("section"),
-            F.lit(table).alias("table_name"),
-            (item if isinstance(item, Column) else F.lit(item)).alias("item"),
-            value.cast("bigint").alias("value"),
-        )
+    def facts(df: DataFrame, table: str, values: list[tuple[str, str, Column]]) -> DataFrame:
+        """The given (section, item, value) of a frame, one report row each."""
+        entries = F.array(*[
+            F.struct(
+                F.lit(section).alias("section"), F.lit(table).alias("table_name"),
+                F.lit(item).alias("item"), value.cast("bigint").alias("value"),
+            )
+            for section, item, value in values
+        ])
+        return df.select(F.inline(entries))
 
     parts: list[DataFrame] = []
     for table, expected in EXPECTED_COLUMNS.items():
         frame, key = tables[table], TABLE_KEYS[table]
-        header = [("missing_column", name) for name in sorted(set(expected) - set(frame.columns))]
-        header += [("extra_column", name) for name in sorted(set(frame.columns) - set(expected))]
-        one = frame.sparkSession.range(1)
-        parts += [fact(one, section, table, name, F.lit(1)) for section, name in header]
-        parts.append(fact(null_counts(frame), "missing_values", table, F.col("column_name"), F.col("missing")))
-        # Group by key instead of a distinct count beside count(*): no row is expanded.
-        per_key = frame.groupBy(key).agg(F.count("*").alias("n"))
-        sizes = per_key.agg(
-            F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count("*").alias("distinct_keys")
+        header = [("missing_column", n, F.lit(1)) for n in sorted(set(expected) - set(frame.columns))]
+        header += [("extra_column", n, F.lit(1)) for n in sorted(set(frame.columns) - set(expected))]
+        # One pass for the row and null counts, one narrow pass for the keys.
+        counts = frame.agg(
+            F.count("*").alias("rows"), *[c.alias(f"_{n}") for n, c in _missing_counts(frame).items()]
+        )
+        keys = frame.groupBy(key).agg(F.count("*").alias("n")).agg(
+            F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("surplus")
         )
-        parts.append(fact(sizes, "row_count", table, "rows", F.col("rows")))
-        parts.append(fact(sizes, "duplicate_keys", table, key, F.col("rows") - F.col("distinct_keys")))
+        parts.append(facts(counts, table, [
+            *header,
+            ("row_count", "rows", F.col("rows")),
+            *[("missing_values", n, F.col(f"_{n}")) for n in frame.columns],
+        ]))
+        parts.append(facts(keys, table, [("duplicate_keys", key, F.col("surplus"))]))
     for name, child, key, parent in FOREIGN_KEYS:
         orphans = orphan_count(tables[child], key, tables[parent], TABLE_KEYS[parent])
-        parts.append(fact(orphans, "foreign_key", child, name, F.col("unmatched")))
+        parts.append(facts(orphans, child, [("foreign_key", name, F.col("unmatched"))]))
     return _union(parts)
 
 

@@ -213,11 +213,17 @@ class Dataset:
             "cast((device_id + d) % 30 = 0 AS int) AS maintenance_flag",
         )
 
+    # table name -> attribute
+    TABLES = {
+        "charging_orders": "orders", "users": "users", "stations": "stations", "devices": "devices",
+        "weather_hourly": "weather", "device_status_log": "status",
+    }
+
+    def table(self, name: str) -> DataFrame:
+        return getattr(self, self.TABLES[name])
+
     def tables(self) -> dict[str, DataFrame]:
-        return {
-            "charging_orders": self.orders, "users": self.users, "stations": self.stations,
-            "devices": self.devices, "weather_hourly": self.weather, "device_status_log": self.status,
-        }
+        return {name: self.table(name) for name in self.TABLES}
 
     # ---- raw text copies with damage --------------------------------------
 
@@ -281,7 +287,7 @@ class Dataset:
                                   "CASE m WHEN 0 THEN '1441' WHEN 1 THEN concat(online_minutes, '.0') ELSE online_minutes END"),
         }
         key, field, damaged = damage[table]
-        text = self._texts(self.tables()[table])
+        text = self._texts(self.table(table))
         with_class = text.withColumn("m", F.expr(f"cast({key} AS bigint) % 7"))
         return with_class.selectExpr(
             *[f"{damaged} AS {n}" if n == field else n for n in text.columns]
