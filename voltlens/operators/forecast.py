@@ -166,20 +166,20 @@ def model_forecast(
         load = F.when(
             (F.col("prediction") < FLOOR_KWH) & (F.col("_fallback") > 0), F.col("_fallback")
         ).otherwise(F.greatest(F.lit(0.0), F.col("prediction")))
-        state = predicted.select("_carried", load.alias("_load")).select(
-            *[F.col(f"_carried.{n}").alias(n) for n in state.columns if n not in ("observed", "forecasts")],
-            F.slice(F.concat("_carried.observed", F.array("_load")), -HISTORY_HOURS, HISTORY_HOURS).alias(
-                "observed"
-            ) if step >= HISTORY_HOURS else F.concat("_carried.observed", F.array("_load")).alias("observed"),
-            F.concat(
-                "_carried.forecasts",
-                F.array(F.struct(
-                    F.col("_carried.datetime").alias("datetime"),
-                    F.lit(step).alias("horizon_hour"),
-                    F.col("_load").alias("predicted_load_kwh"),
-                )),
-            ).alias("forecasts"),
+        row = F.struct(
+            F.col("_carried.datetime").alias("datetime"),
+            F.lit(step).alias("horizon_hour"),
+            F.col("_load").alias("predicted_load_kwh"),
         )
+        observed = F.concat("_carried.observed", F.array("_load"))
+        if step >= HISTORY_HOURS:
+            observed = F.slice(observed, -HISTORY_HOURS, HISTORY_HOURS)
+        renewed = {"observed": observed, "forecasts": F.concat("_carried.forecasts", F.array(row))}
+        # inline() of one struct keeps the optimizer from merging the steps into one
+        # expression, which would double with every use of the previous prediction.
+        state = predicted.select("_carried", load.alias("_load")).select(F.inline(F.array(F.struct(*[
+            renewed.get(n, F.col(f"_carried.{n}")).alias(n) for n in state.columns
+        ]))))
         if step % cut_every == 0 and step < horizon:
             state = cut_lineage(state)
     return state.select("station_id", F.inline("forecasts"))
