@@ -26,22 +26,29 @@ def last_days(df: DataFrame, days: int | None, at: str = "created_at") -> DataFr
     return df.where(F.col(at) >= newest - F.make_dt_interval(F.lit(days)))
 
 
-def revenue_totals(orders: DataFrame) -> DataFrame:
-    """One row: fees of the newest day, of the last 30 days and of all time."""
-    newest = orders.agg(F.max("created_at").alias("newest")).scalar()
-    dated = orders.select("created_at", "fee_amount_cny", newest.alias("_newest"))
+def _with_newest(orders: DataFrame) -> DataFrame:
+    """Orders beside the newest order time, a scalar subquery over one column."""
+    return orders.withColumn("_newest", orders.agg(F.max("created_at").alias("newest")).scalar())
+
+
+def _revenue_columns() -> list[Column]:
+    """Fees of the newest day, of the last 30 days and of all time."""
+    newest = F.col("_newest")
+    windows = {
+        "revenue_today": F.to_date("created_at") == F.to_date(newest),
+        "revenue_30d": F.col("created_at") >= newest - F.make_dt_interval(F.lit(MONTH_DAYS)),
+        "revenue_total": F.lit(True),
+    }
     zero = F.lit(0).cast("decimal(14,2)")
+    return [
+        F.coalesce(F.sum(F.when(keep, F.col("fee_amount_cny"))), zero).alias(name)
+        for name, keep in windows.items()
+    ]
 
-    def fees(keep: Column) -> Column:
-        return F.coalesce(F.sum(F.when(keep, F.col("fee_amount_cny"))), zero)
 
-    return dated.agg(
-        fees(F.to_date("created_at") == F.to_date("_newest")).alias("revenue_today"),
-        fees(F.col("created_at") >= F.col("_newest") - F.make_dt_interval(F.lit(MONTH_DAYS))).alias(
-            "revenue_30d"
-        ),
-        fees(F.lit(True)).alias("revenue_total"),
-    )
+def revenue_totals(orders: DataFrame) -> DataFrame:
+    """One row: fees of the newest day, of the last 30 days and of all time."""
+    return _with_newest(orders).agg(*_revenue_columns())
 
 
 def _by_day(orders: DataFrame, days: int | None, value: Column, name: str) -> DataFrame:
@@ -149,34 +156,21 @@ def weather_sessions(orders: DataFrame, weather: DataFrame, days: int | None = N
 def overview(orders: DataFrame) -> DataFrame:
     """One row of totals; no row when there are no orders.
 
-    Distinct stations and users are counted on their own columns, so the wide
-    order rows are not expanded once per distinct column.
+    One pass besides the newest time: both distinct columns have few values
+    against the rows, so their partial aggregates collapse before the shuffle.
     """
     seconds = F.timestamp_diff("SECOND", F.min("created_at"), F.max("created_at"))
-    totals = orders.agg(
+    totals = _with_newest(orders).agg(
         F.count("*").alias("total_sessions"),
         F.sum("energy_kwh").alias("total_energy_kwh"),
+        *_revenue_columns(),
+        F.countDistinct("station_id").alias("active_stations"),
+        F.countDistinct("user_id").alias("active_users"),
         F.bround(F.avg("charge_time_hrs"), 3).alias("avg_duration_hrs"),
         F.bround(F.avg("fee_amount_cny"), 3).alias("avg_order_fee_cny"),
         (F.floor(seconds / F.lit(86400)) + 1).cast("int").alias("span_days"),
     )
-    revenue = revenue_totals(orders)
-
-    def distinct(name: str) -> Column:
-        return orders.select(name).distinct().agg(F.count(name).alias("n")).scalar()
-
-    money = revenue.select(F.struct("*").alias("money")).scalar()
-    return (
-        totals.where(F.col("total_sessions") > 0)
-        .withColumn("_money", money)
-        .select(
-            "total_sessions", "total_energy_kwh",
-            "_money.revenue_today", "_money.revenue_30d", "_money.revenue_total",
-            distinct("station_id").alias("active_stations"),
-            distinct("user_id").alias("active_users"),
-            "avg_duration_hrs", "avg_order_fee_cny", "span_days",
-        )
-    )
+    return totals.where(F.col("total_sessions") > 0)
 
 
 def station_online(stations: DataFrame, devices: DataFrame) -> DataFrame:

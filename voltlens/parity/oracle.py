@@ -1034,7 +1034,7 @@ oracle("recommended_stations", f"""
 SELECT {_DEPOT}, round(km, 6) AS distance_km, coalesce(score, -1) AS recommend_score, coalesce(free, 0) AS free_pile_count,
   coalesce(working * 100.0 / n, 0) AS online_rate
 FROM (SELECT d.*, s.score, {_distance('30.3', '110.4', 'd.latitude', 'd.longitude')} AS km FROM depots d
-  LEFT JOIN (SELECT station_id, score FROM scored WHERE station_id % 2 = 0) s ON s.station_id = d.id
+  LEFT JOIN (SELECT station_id, score FROM scored WHERE status >= 1) s ON s.station_id = d.id
   ORDER BY coalesce(s.score, -1) DESC, km, d.id LIMIT 5)
 LEFT JOIN pile_totals ON sid = id""")
 

@@ -874,7 +874,7 @@ def recommend_low_load(d):
 
 @query
 def recommended_stations(d):
-    scores = recommend.station_score(*_scoring_inputs(d)).where(F.col("station_id") % 2 == 0)
+    scores = recommend.recommend_low_load(*_scoring_inputs(d), top_n=None)
     return rounded(
         ops.recommended_stations(d.op_stations, d.op_piles, scores, 30.3, 110.4), distance_km=6
     )
