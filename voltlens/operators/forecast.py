@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voltlens.functions import require_columns
@@ -132,7 +133,7 @@ def _advance(state: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def model_forecast(
-    model, data: DataFrame, horizon: int, features: Sequence[str], station_id=None, cut_every: int = 6
+    model, data: DataFrame, horizon: int, features: Sequence[str], station_id=None, cut_every: int = 4
 ) -> DataFrame:
     """Recursive forecast with a fitted pipeline.
 
@@ -153,38 +154,49 @@ def model_forecast(
         "forecasts",
         F.array().cast("array<struct<datetime:timestamp_ntz,horizon_hour:int,predicted_load_kwh:double>>"),
     )
-    state = _require_station(state, station_id)
+    # One row per station, so writing it out is cheap, and each hour then plans on a scan.
+    state = cut_lineage(_require_station(state, station_id))
+    options = _keep_all_rows(model)
     for step in range(1, horizon + 1):
         moved = _advance(state, features)
-        kept = {name: F.col(name) for name in moved.columns}
-        ready = moved.withColumns({
-            "_fallback": _fallback(F.col("datetime"), F.element_at("observed", -1)),
-            "_carried": F.struct(*[F.col(n) for n in state.columns]),
-            **{name: F.coalesce(kept[name].cast("double"), F.lit(0.0)) for name in features},
-        })
-        predicted = model.transform(ready)
+        # The state travels beside the feature columns under a prefix; features the
+        # model reads have their nulls replaced, the state keeps them.
+        ready = moved.select(
+            *[F.col(n).alias(f"_state_{n}") for n in state.columns],
+            *[F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(n) for n in features],
+            _fallback(F.col("datetime"), F.element_at("observed", -1)).alias("_fallback"),
+        )
         load = F.when(
             (F.col("prediction") < FLOOR_KWH) & (F.col("_fallback") > 0), F.col("_fallback")
         ).otherwise(F.greatest(F.lit(0.0), F.col("prediction")))
+        predicted = model.transform(ready, options).select(
+            *[F.col(f"_state_{n}").alias(n) for n in state.columns], load.alias("_load")
+        )
         row = F.struct(
-            F.col("_carried.datetime").alias("datetime"),
-            F.lit(step).alias("horizon_hour"),
-            F.col("_load").alias("predicted_load_kwh"),
+            "datetime", F.lit(step).alias("horizon_hour"), F.col("_load").alias("predicted_load_kwh")
         )
-        observed = F.concat("_carried.observed", F.array("_load"))
+        observed = F.concat("observed", F.array("_load"))
         if step >= HISTORY_HOURS:
             observed = F.slice(observed, -HISTORY_HOURS, HISTORY_HOURS)
-        renewed = {"observed": observed, "forecasts": F.concat("_carried.forecasts", F.array(row))}
         # inline() of one struct keeps the optimizer from merging the steps into one
         # expression, which would double with every use of the previous prediction.
-        state = predicted.select("_carried", load.alias("_load")).select(F.inline(F.array(F.struct(*[
-            renewed.get(n, F.col(f"_carried.{n}")).alias(n) for n in state.columns
-        ]))))
+        renewed = F.struct(observed.alias("observed"), F.concat("forecasts", F.array(row)).alias("forecasts"))
+        kept = [n for n in state.columns if n not in ("observed", "forecasts")]
+        state = predicted.select(*kept, F.inline(F.array(renewed)))
         if step % cut_every == 0 and step < horizon:
             state = cut_lineage(state)
     return state.select("station_id", F.inline("forecasts"))
 
 
+def _keep_all_rows(model) -> dict:
+    """Parameters that stop assemblers from filtering rows; no feature is null here."""
+    return {
+        stage.handleInvalid: "keep"
+        for stage in getattr(model, "stages", [])
+        if isinstance(stage, VectorAssembler)
+    }
+
+
 def forecast(model, data: DataFrame, horizon: int, features: Sequence[str] = (), station_id=None) -> DataFrame:
     """The service edge: only 1, 6 or 24 hours."""
     if horizon not in HORIZONS:
