@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltlens.llm import decontam, mixing, simhash
+from voltlens.llm import ann, decontam, langid, mixing, quality, simhash
 from voltlens.llm.common import read_table
 from voltlens.llm.oracle import LLM_SQL as LLM_SQL
 
@@ -35,6 +35,35 @@ def op4_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@register
+def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the predicted language; documents of remainder 2 are held out."""
+    place = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    docs = read_table(spark, folder, "documents").select("doc_id", "text", "lang").withColumn("place", place)
+    model = langid.fit(langid.training_sample(docs.where("place <> 2")))
+    marked = docs.select("doc_id", "text", F.coalesce(F.col("place") == 2, F.lit(False)).alias("held_out"))
+    return langid.identify(marked, model, keep=["doc_id", "held_out"])
+
+
+@register
+def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its quality score; documents of remainder 1 are held out."""
+    place = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    labels = read_table(spark, folder, "labels").where(place != 1)
+    scored = quality.score_quality(read_table(spark, folder, "documents"), labels)
+    return scored.select(
+        "doc_id", F.coalesce(place == 1, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+@register
+def op9_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest vectors of every vector whose id is divisible by 50."""
+    index = ann.build(read_table(spark, folder, "embeddings"))
+    return ann.search(index, index.rows.where("vec_id % 50 = 0"))
+
+
 @register
 def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with the benchmark passages in it."""
