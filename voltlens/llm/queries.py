@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltlens.llm import ann, decontam, langid, mixing, quality, simhash
+from voltlens.llm import ann, decontam, html, langid, mixing, quality, simhash
 from voltlens.llm.common import read_table
 from voltlens.llm.oracle import LLM_SQL as LLM_SQL
 
@@ -74,3 +74,9 @@ def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@register
+def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page with its title and visible text."""
+    return html.extract(read_table(spark, folder, "pages"), keep=["page_id", "url"])
