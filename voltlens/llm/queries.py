@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltlens.llm import ann, decontam, html, langid, mixing, quality, simhash
+from voltlens.llm import ann, decontam, html, langid, mixing, pii, quality, secrets, simhash
 from voltlens.llm.common import read_table
 from voltlens.llm.oracle import LLM_SQL as LLM_SQL
 
@@ -19,6 +19,21 @@ def register(query):
     return query
 
 
+@register
+def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its secrets."""
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    table = secrets.train(secrets.default_samples(docs))
+    return secrets.report(secrets.find_secrets(docs, table), ["doc_id"])
+
+
+@register
+def op2_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its personal data and the terms that give it away."""
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    return pii.report(pii.find_personal(docs), ["doc_id"])
+
+
 @register
 def op3_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with the words the mix takes of it."""
