@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltlens.llm import ann, decontam, html, langid, mixing, pii, quality, secrets, simhash
+from voltlens.llm import ann, decontam, html, langid, lmscore, mixing, pii, quality, secrets, simhash
 from voltlens.llm.common import read_table
 from voltlens.llm.oracle import LLM_SQL as LLM_SQL
 
@@ -50,6 +50,13 @@ def op4_simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@register
+def op5_cross_entropy(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its losses under the models of good documents and of all documents."""
+    good = read_table(spark, folder, "labels").where("quality = 1")
+    return lmscore.score(read_table(spark, folder, "documents"), good)
+
+
 @register
 def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with the predicted language; documents of remainder 2 are held out."""

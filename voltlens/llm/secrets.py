@@ -3,7 +3,8 @@
 Fixed forms: assignments of a password, token or key, access key ids, long hexadecimal strings.  Beyond
 them every run of ``CANDIDATE`` letters is judged by two first-order Markov models over characters, one
 of random strings and one of ordinary identifiers: the run is a secret if the log-likelihood ratio
-favours the random one by ``LEAST_TOTAL`` in all and by ``LEAST_EACH`` per transition.
+favours the random one by ``LEAST_TOTAL`` in all and by ``LEAST_EACH`` per transition; runs of fewer than
+``LEAST_LETTERS`` different characters (rules, padding) are neither.
 
 The models are counted from labelled samples, a table of (value, random).  The default sample takes the
 values that the fixed forms find in at most ``SAMPLE_DOCS`` documents chosen by hash, as many
@@ -39,6 +40,7 @@ MADE_UP = 2000
 SCALE = 1000
 LEAST_TOTAL = 12 * SCALE
 LEAST_EACH = SCALE // 2
+LEAST_LETTERS = 8
 KINDS = ("assign", "access", "hex", "markov")
 
 
@@ -120,7 +122,8 @@ def find_secrets(docs: DataFrame, table: Sequence[int], *, text_col: str = "text
     transitions = lambda m: F.length(m) - 1
 
     def random_looking(m: Column) -> Column:
-        return let(ratio(m, table), lambda r: (r >= LEAST_TOTAL) & (r >= LEAST_EACH * transitions(m)))
+        varied = F.size(F.array_distinct(F.split(m, ""))) >= LEAST_LETTERS
+        return let(ratio(m, table), lambda r: (r >= LEAST_TOTAL) & (r >= LEAST_EACH * transitions(m)) & varied)
 
     found = add_spans(docs, text_col, [*BASE, Kind("markov", CANDIDATE)])
     fixed = F.concat("assign", "access", "hex")
