@@ -8,9 +8,9 @@ order of promise; how many it visits is calibrated: for ``CALIBRATION`` rows cho
 exact neighbours over all rows are found by brute force, and visits are widened until the share of
 these neighbours in visited leaves reaches ``RECALL``.
 
-Search is a join of (query, leaf) with (leaf, row), done per leaf block: a leaf is dealt to blocks of
-about ``BLOCK_ROWS`` rows, so a crowded leaf is many tasks, and each block gives at most ``k`` + 1
-rows per query.  Equal vectors have equal scores, and ties go to smaller ids: of the rows with one
+Search is a join of (query, leaf) with (leaf, row), done in blocks of about ``BLOCK_ROWS`` rows and at most
+some ``BLOCK_QUERIES`` queries: small neighbouring leaves share a block, a crowded leaf is dealt to
+several, a much visited block is searched in slices.  A block gives at most ``k`` + 1 rows per query.  Equal vectors have equal scores, and ties go to smaller ids: of the rows with one
 vector only the ``k`` + 1 smallest ids can be in any result, so a search scores just these, and
 queries with one vector are searched once.  Scores are computed in double precision on the original
 vectors, always in the same order of operations.
@@ -36,6 +36,7 @@ SAMPLE = 20_000
 BRANCH = 8
 LEAF_ROWS = 256
 BLOCK_ROWS = 4096
+BLOCK_QUERIES = 1024
 CALIBRATION = 200
 RECALL = 0.97
 NEIGHBOURS = 5
@@ -136,11 +137,11 @@ def cosines(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return dots / (np.sqrt((rows * rows).sum(axis=1)) * np.sqrt((query * query).sum()))
 
 
-def nearest(queries, rows, ids, k: int, own=None):
+def nearest(queries, rows, ids, k: int, own=None, open_=None):
     """Exact best ``k`` of ``rows`` for each query: (query position, row position, score) triples.
 
     A matrix product finds what can be among the best; these are scored again one by one.  ``own``
-    gives the id that each query must not find.
+    gives the id that each query must not find, ``open_`` which rows it may find.
     """
     if not len(rows):
         return
@@ -148,6 +149,8 @@ def nearest(queries, rows, ids, k: int, own=None):
     rough = (queries / np.sqrt((queries * queries).sum(axis=1))[:, None]) @ unit.T
     if own is not None:
         rough[own[:, None] == ids[None, :]] = -np.inf
+    if open_ is not None:
+        rough[~open_] = -np.inf
     keep = min(k, len(rows))
     limits = -np.partition(-rough, keep - 1, axis=1)[:, keep - 1] - 1e-9
     for i in range(len(queries)):
@@ -233,7 +236,24 @@ def build(
     return Index(tree, leafed, visits, float((depth <= visits).mean()))
 
 
-def search(index: Index, queries: DataFrame, k: int = NEIGHBOURS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def leaf_blocks(counts: dict[int, int], leaves: int, block_rows: int) -> tuple[list[int], list[int]]:
+    """First block and number of blocks of each leaf: small neighbours share one, crowded leaves get several."""
+    first, parts, block, held = [], [], 0, 0
+    for leaf in range(leaves):
+        number = counts.get(leaf, 0)
+        if held and held + number > block_rows:
+            block, held = block + 1, 0
+        first.append(block)
+        parts.append(max(1, -(-number // block_rows)))
+        held += number
+        if parts[-1] > 1:
+            block, held = block + parts[-1], 0
+    return first, parts
+
+
+def search(
+    index: Index, queries: DataFrame, k: int = NEIGHBOURS, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES
+) -> DataFrame:
     """The ``k`` nearest indexed rows of each query (``vec_id``, ``vector``), itself excepted.
 
     Columns ``query_id``, ``rank`` (from 1), ``vec_id``, ``score``.
@@ -245,37 +265,56 @@ def search(index: Index, queries: DataFrame, k: int = NEIGHBOURS, block_rows: in
         .withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1).drop("n"),
         "heads",
     )
-    parts = heads.groupBy("leaf").agg(F.ceil(F.count("*") / block_rows).alias("parts"))
+    counts = dict(heads.groupBy("leaf").count().collect())  # a row per leaf of the tree
+    first_block, parts = leaf_blocks(counts, tree.leaves if tree else 1, block_rows)
+    placed = heads.withColumn("block", (
+        F.get(F.lit(first_block), F.col("leaf"))
+        + F.pmod(F.xxhash64("vec_id", "vector"), F.get(F.lit(parts), F.col("leaf")).cast("long"))
+    ).cast("long"))
 
     def leaves(batches):
+        import pandas as pd
+
         for part in batches:
             m = matrix(part["vector"])
             if tree is None or not len(m):
                 continue
-            unit = m / np.linalg.norm(m, axis=1, keepdims=True)
-            yield part.assign(leaf=[tree.visit(u, visits) for u in unit])
+            rows = []
+            for q, own, unit in zip(part["vector"], part["first"], m / np.linalg.norm(m, axis=1, keepdims=True), strict=True):
+                by_block: dict[int, list[int]] = {}
+                for leaf in tree.visit(unit, visits):
+                    for block in range(first_block[leaf], first_block[leaf] + parts[leaf]):
+                        by_block.setdefault(block, []).append(leaf)
+                rows.extend((own, q, block, mine) for block, mine in by_block.items())
+            yield pd.DataFrame(rows, columns=["first", "query", "block", "leaves"])
 
     distinct = queries.groupBy("vector").agg(F.min("vec_id").alias("first"))
-    wanted = distinct.mapInPandas(leaves, "vector array<double>, first long, leaf array<long>")
-    asked = wanted.select(F.col("vector").alias("query"), "first", F.explode("leaf").alias("leaf")).join(parts, "leaf")
-    asked = asked.select("leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("block"), "first", "query")
-    rows = heads.join(parts, "leaf").select(
-        "leaf", F.pmod(F.xxhash64("vec_id", "vector"), F.col("parts")).alias("block"), "vec_id", "vector"
+    wanted = stored(
+        distinct.mapInPandas(leaves, "first long, query array<double>, block long, leaves array<long>"), "asked"
+    )
+    slices = wanted.groupBy("block").agg(F.ceil(F.count("*") / block_queries).alias("slices"))
+    asked = wanted.join(slices, "block").select(
+        "block", F.pmod(F.xxhash64("first"), F.col("slices")).alias("slice"), "first", "query", "leaves"
+    )
+    rows = placed.join(slices, "block").select(
+        "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), "leaf", "vec_id", "vector"
     )
 
     def block(left, right):
         import pandas as pd
 
         q, r = matrix(left["query"]), matrix(right["vector"])
-        ids, first = right["vec_id"].to_numpy(), left["first"].to_numpy()
+        ids, own, leaf = right["vec_id"].to_numpy(), left["first"].to_numpy(), right["leaf"].to_numpy()
+        kinds, place = np.unique(leaf, return_inverse=True)
+        open_ = np.stack([np.isin(kinds, x)[place] for x in left["leaves"]]) if len(q) else None
         found = [
-            (int(first[at + i]), int(ids[j]), s)
+            (int(own[at + i]), int(ids[j]), s)
             for at in range(0, len(q) if len(r) else 0, 256)
-            for i, j, s in nearest(q[at : at + 256], r, ids, k + 1)
+            for i, j, s in nearest(q[at : at + 256], r, ids, k + 1, open_=open_[at : at + 256])
         ]
         return pd.DataFrame(found, columns=["first", "vec_id", "score"])
 
-    hits = asked.groupBy("leaf", "block").cogroup(rows.groupBy("leaf", "block")).applyInPandas(
+    hits = asked.groupBy("block", "slice").cogroup(rows.groupBy("block", "slice")).applyInPandas(
         block, "first long, vec_id long, score double"
     )
     best = Window.partitionBy("first").orderBy(F.desc("score"), "vec_id")

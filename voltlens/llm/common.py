@@ -6,7 +6,8 @@ import uuid
 from collections.abc import Callable, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voltlens.session import shared_folder
@@ -39,6 +40,11 @@ def discard(df: DataFrame) -> None:
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def text_key(text: Column) -> list[Column]:
+    """Two independent hashes of a text."""
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("voltlens"), text).alias("k2")]
+
+
 def arrow_type(kind: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -7,7 +7,9 @@ automaton, so a text is scanned once whatever the number of items.  Word positio
 to code-point offsets of the original text.
 
 A benchmark is a stated query set of any size: it is taken in blocks of about ``block_bytes`` of
-text, one automaton and one pass each, so neither the driver nor a task holds more than a block.
+text, one automaton and one pass each, so neither the driver nor a task holds more than a block.  One
+block, the usual case, is one narrow pass; the hits of several are written per distinct text, gathered by
+text hash and joined back.
 
 Cases: null and empty texts have no words and are clean; null or word-less items never match; items
 that repeat (or share windows) are all named; an item without an id is named ``null``; an empty
@@ -24,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voltlens.llm.common import add_columns
+from voltlens.llm.common import add_columns, stored, text_key
 
 WINDOW = 10
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 
 #: Bytes to words: A-Z lower-cased, digits, a-z and all bytes beyond ASCII kept, the rest blank.
 WORD_BYTES = bytes(
@@ -104,17 +106,20 @@ def original_spans(text: bytes, ranges: list[tuple[int, int]]) -> list[tuple[int
     return [(int(starts[a]), int(ends[b - 1])) for a, b in ranges]
 
 
-def benchmark_blocks(benchmark: DataFrame, text_col: str, item_col: str, block_bytes: int):
-    """The items in blocks of about ``block_bytes``; each block is fetched when it is asked for."""
-    items = benchmark.select(
-        F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("name"),
-        F.col(text_col).cast("string").cast("binary").alias("text"),
-    ).where("text is not null").distinct()
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    count = -(-total // block_bytes)
-    for block in range(count):
-        rows = items.where(F.pmod(F.xxhash64("name", "text"), F.lit(count)) == block)
-        yield sorted((r["name"], bytes(r["text"])) for r in rows.toLocalIterator())
+class Benchmark:
+    """Items in blocks of about ``block_bytes``; a block is fetched when it is asked for."""
+
+    def __init__(self, table: DataFrame, text_col: str, item_col: str, block_bytes: int):
+        self.items = table.select(
+            F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("name"),
+            F.col(text_col).cast("string").cast("binary").alias("text"),
+        ).where("text is not null").distinct()
+        total = self.items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        self.blocks = max(1, -(-total // block_bytes))
+
+    def block(self, number: int) -> list[tuple[str, bytes]]:
+        rows = self.items.where(F.pmod(F.xxhash64("name", "text"), F.lit(self.blocks)) == number)
+        return sorted((r["name"], bytes(r["text"])) for r in rows.toLocalIterator())
 
 
 _LOADED: dict[str, Matcher] = {}
@@ -144,23 +149,26 @@ def scan_documents(
     ``n_words`` and ``n_hit`` count words, ``items`` names the items found (sorted as strings),
     ``hit_words`` and ``hit_spans`` are the hit passages as word and as code-point ranges.
     """
-    names = [f.name for f in FIELDS]
-    found = None
-    for items in benchmark_blocks(benchmark, benchmark_text_col, item_col, block_bytes):
-        first = found is None
-        source = docs if first else found
-        found = add_columns(
-            source,
-            [text_col] if first else [text_col, "items", "hit_words"],
-            FIELDS,
-            scanner(items, window),
-            None if keep is None or first is False else [*keep, text_col],
-        )
-    if found is None:
-        found = add_columns(docs, [text_col], FIELDS, scanner([], window), keep)
-    if keep is not None:
-        found = found.select(*[c for c in keep if c not in names], *names)
-    return found
+    source = Benchmark(benchmark, benchmark_text_col, item_col, block_bytes)
+    if source.blocks == 1:
+        return add_columns(docs, [text_col], FIELDS, scanner(source.block(0), window), keep)
+    packed = docs.select(
+        F.struct(*[docs[c] for c in (docs.columns if keep is None else keep)]).alias("row"),
+        docs[text_col].alias("text"), *text_key(docs[text_col]),
+    )
+    hits = None
+    for number in range(source.blocks):
+        part = add_columns(packed.select("k1", "k2", "text"), ["text"], FIELDS, scanner(source.block(number), window), ["k1", "k2"])
+        part = stored(part.where("n_hit > 0").select("k1", "k2", "items", "hit_words").dropDuplicates(["k1", "k2"]), "hits")
+        hits = part if hits is None else hits.union(part)
+    hits = hits.groupBy("k1", "k2").agg(
+        F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("hit_words")).alias("hit_words")
+    )
+    joined = packed.join(hits, ["k1", "k2"], "left")
+    found = add_columns(joined, ["text", "items", "hit_words"], FIELDS, scanner([], window), ["row"])
+    new = [f.name for f in FIELDS]
+    old = docs.columns if keep is None else keep
+    return found.select(*[F.col("row")[c].alias(c) for c in old if c.lower() not in new], *new)
 
 
 def scanner(items: Sequence[tuple[str, bytes]], window: int):

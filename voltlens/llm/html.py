@@ -39,10 +39,10 @@ UNSEEN = frozenset(
     "title map meter progress".split()
 )
 SPACED = frozenset(
-    "p h1 h2 h3 h4 h5 h6 ul ol dl menu table blockquote pre figure hr fieldset form details xmp".split()
+    "p h1 h2 h3 h4 h5 h6 ul ol dl menu table blockquote pre figure hr fieldset form xmp".split()
 )
 BLOCK = SPACED | frozenset(
-    "html body div section article aside nav header footer main address li dt dd center summary figcaption legend "
+    "html body div section article aside nav header footer main address li dt dd center summary figcaption legend details "
     "dialog hgroup search caption optgroup".split()
 )
 CLOSES_P = BLOCK - {"html", "body", "optgroup", "caption", "legend"}

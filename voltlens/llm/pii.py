@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltlens.llm.common import stored
+from voltlens.llm.common import stored, text_key
 from voltlens.llm.spans import SPAN, Kind, add_spans, listing, masked, tagged
 
 PART = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
@@ -61,11 +61,6 @@ GENERALISE = 0.7
 REMOVE = 0.95
 
 
-def text_key(text: Column) -> list[Column]:
-    """Two independent hashes of a text."""
-    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("voltlens"), text).alias("k2")]
-
-
 def terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM.pattern), F.lit(0)))
 
