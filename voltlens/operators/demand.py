@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from voltlens.functions import hour_floor, monday_index, ratio
 from voltlens.operators.calendar import calendar_columns
 from voltlens.operators.features import explode_hours, hour_span
-from voltlens.session import task_count
 
 # Relative demand by weather, limits and smoothing of the factors.
 WEATHER_DEMAND = {
@@ -151,9 +150,7 @@ def device_day_rollup(orders: DataFrame, devices: DataFrame) -> DataFrame:
         ),
     )
     span = orders.agg(F.struct(F.min(day).alias("first"), F.max(day).alias("last")).alias("s")).scalar()
-    fleet = devices.select("device_id", "station_id", "commissioned_at").repartition(
-        task_count(devices.sparkSession), "device_id"
-    )
+    fleet = devices.select("device_id", "station_id", "commissioned_at").repartition("device_id")
     grid = fleet.select("*", span.alias("_span")).select(
         "device_id", "station_id", "commissioned_at",
         F.explode(F.sequence("_span.first", "_span.last", F.expr("interval 1 day"))).alias("stat_date"),

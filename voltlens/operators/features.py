@@ -16,7 +16,6 @@ from voltlens.functions.codes import (
 )
 from voltlens.operators.keys import one_per_key
 from voltlens.operators.series import lag_features
-from voltlens.session import task_count
 
 # The column contract of the feature table.
 IDENTIFIERS = ("station_id", "location_id", "datetime")
@@ -213,9 +212,7 @@ def explode_hours(rows: DataFrame, span: Column, key: str, name: str = "datetime
     guarded = F.when(first.isNotNull(), dates).otherwise(
         F.raise_error(F.lit("no valid charging orders to build features from"))
     )
-    days = rows.withColumn("_span", span).select("*", F.explode(guarded).alias("_day")).repartition(
-        task_count(rows.sparkSession), key, "_day"
-    )
+    days = rows.withColumn("_span", span).select("*", F.explode(guarded).alias("_day")).repartition(key, "_day")
     midnight = F.col("_day").cast("timestamp_ntz")
     hours = F.sequence(
         F.greatest(first, midnight),
@@ -249,12 +246,13 @@ DEFAULTS = {
 def station_hour_dataset(tables: Mapping[str, DataFrame]) -> DataFrame:
     """The dense station-hour table with targets, features and lags.
 
-    Order: targets and user mix come from one aggregate; the narrow grid takes
-    them in and is lagged while it is narrow; station and device attributes
+    Order: targets and user mix come from one aggregate over orders and their users
+    (no other attribute of an order is used); the narrow grid takes them in and is lagged while it is narrow; station and device attributes
     then join on the partitioning the lag window left behind, and calendar and
     weather follow.
     """
-    merged = merge_tables(tables)
+    users = user_features(tables["users"])
+    merged = time_features(tables["charging_orders"]).join(users, "user_id", "left")
     hourly = _per_station_hour(merged, {**_target_columns(), **_mix_columns()})
     grid = station_hour_grid(tables["stations"], tables["charging_orders"])
     loaded = grid.join(hourly, ["station_id", "datetime"], "left").na.fill(0, ["energy_kwh"])

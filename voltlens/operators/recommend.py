@@ -10,6 +10,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voltlens.functions import first_present, min_max_share, require_columns
+from voltlens.session import cut_lineage
 
 # Accepted column names, weights, texts and limits.
 LOAD_NAMES = ("predicted_load", "predicted_load_kwh", "prediction", "load")
@@ -154,7 +155,8 @@ def _reason() -> Column:
 
 
 def _scored(predictions, stations, history) -> DataFrame:
-    parts = _parts(scoring_frame(predictions, stations, history))
+    # One row per station, written once: the limits and the shares read it, not the orders again.
+    parts = cut_lineage(_parts(scoring_frame(predictions, stations, history)))
     limits = parts.agg(
         F.struct(*[f(name).alias(f"{label}_{name}") for name in WEIGHTS for label, f in (("low", F.min), ("high", F.max))]).alias("l")
     ).scalar()
@@ -274,7 +276,8 @@ def ops_advice(
     """Priority and advice texts for every station, or for one.
 
     The peak load decides the priority; the texts depend on spare piles, status and
-    past volume.  A station without forecast counts as load 0.
+    past volume.  A station without forecast counts as load 0; a station that only the
+    forecast knows, or that is asked for and known to neither, has no piles and an unknown status.
     """
     require_columns(stations, ["station_id"], "station data")
     if station_id is not None:
@@ -284,17 +287,22 @@ def ops_advice(
     free = F.greatest(devices, F.lit(0.0)) if free_name is None else F.coalesce(F.col(free_name).cast("double"), F.lit(0.0))
     status_name = first_present(stations, ("station_status", "status"))
     status = F.lit("unknown") if status_name is None else F.lower(F.coalesce(F.col(status_name).cast("string"), F.lit("unknown")))
-    board = stations.select("station_id", free.alias("free"), status.alias("state"))
+    board = stations.select(F.col("station_id").cast("string"), free.alias("free"), status.alias("state"))
+    if station_id is not None:
+        asked = stations.sparkSession.createDataFrame([(str(station_id),)], "station_id string")
+        board = asked.join(board, "station_id", "left")
     if predictions is not None:
-        peak = _predicted(predictions).groupBy("station_id").agg(F.max("load").alias("load"))
-        board = board.join(peak, "station_id", "left")
+        ahead = _predicted(predictions).withColumn("station_id", F.col("station_id").cast("string"))
+        peak = ahead.groupBy("station_id").agg(F.max("load").alias("load"))
+        board = board.join(peak, "station_id", "full" if station_id is None else "left")
     else:
         board = board.withColumn("load", F.lit(0.0))
     if history is not None:
-        board = board.join(aggregate_history(history), "station_id", "left")
+        past = aggregate_history(history)
+        board = board.join(past.withColumn("station_id", F.col("station_id").cast("string")), "station_id", "left")
     else:
         board = board.withColumns({"historical_volume": F.lit(0.0), "historical_frequency": F.lit(0.0)})
-    board = board.na.fill(0.0, ["load", "historical_volume", "historical_frequency"])
+    board = board.na.fill(0.0, ["free", "load", "historical_volume", "historical_frequency"]).na.fill("unknown", ["state"])
 
     limit = F.lit(float(threshold))
     load, volume = F.col("load"), F.col("historical_volume")

@@ -12,7 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from voltlens.operators.quality import as_facts
-from voltlens.session import spread_scan, task_count, tune
+from voltlens.session import tune
 
 WEATHER_KINDS = ("sunny", "cloudy", "overcast", "fog", "light_rain", "heavy_rain", "snow")
 WEATHER_NAMES = ("晴", "多云", "阴", "雾", "小雨", "大雨", "雪")
@@ -31,9 +31,9 @@ class Dataset:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def _fact(self, name: str, key: str) -> DataFrame:
-        """A fact table; small test files are spread over the cores."""
-        return spread_scan(self.read(name), key)
+    def _fact(self, name: str) -> DataFrame:
+        """A fact table, dealt evenly over the cluster whatever its files are like."""
+        return self.read(name).hint("rebalance")
 
     # ---- dimensions -------------------------------------------------------
 
@@ -132,7 +132,7 @@ class Dataset:
     def _sessions(self) -> DataFrame:
         """Events with their station; one equi-join, the station count is a scalar subquery."""
         count = self.read("supplier").agg(F.count("*").alias("n")).scalar()
-        keyed = self._fact("events", "event_id").select("*", count.alias("n")).selectExpr(
+        keyed = self._fact("events").select("*", count.alias("n")).selectExpr(
             "event_id", "ts", "user_id", "event_type",
             "cast(value AS decimal(14,3)) AS energy_kwh",
             "cast(get_json_object(props, '$.k') AS int) AS k",
@@ -186,7 +186,7 @@ class Dataset:
     @cached_property
     def status(self) -> DataFrame:
         """Device status log: devices x days of the event span, exploded per device."""
-        days = self.devices.repartition(task_count(self.spark), "device_id").select("device_id", "station_id", self._span.alias("span")).selectExpr(
+        days = self.devices.repartition("device_id").select("device_id", "station_id", self._span.alias("span")).selectExpr(
             "device_id", "station_id", "to_date(span.first) AS first",
             "explode(sequence(to_date(span.first), to_date(span.last), interval 1 day)) AS stat_date",
         ).selectExpr("*", "datediff(stat_date, first) AS d").selectExpr(
@@ -329,7 +329,7 @@ class Dataset:
     @cached_property
     def op_orders(self) -> DataFrame:
         count = self.read("supplier").agg(F.count("*").alias("n")).scalar()
-        keyed = self._fact("orders", "o_orderkey").select("*", count.alias("n")).selectExpr(
+        keyed = self._fact("orders").select("*", count.alias("n")).selectExpr(
             "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate",
             "cast(o_totalprice AS decimal(14,2)) AS total",
             "o_orderkey % n AS site", "o_orderkey div n AS turn",

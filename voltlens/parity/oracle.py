@@ -1060,7 +1060,9 @@ SELECT CAST(station_id AS VARCHAR) AS station_id, round_even(peak, 2) AS predict
       ELSE '当前站点无可用备桩，建议启动跨站协同调度或引导用户前往邻近站点。' END,
     CASE WHEN station_status <> 'active' THEN '站点状态为 ' || station_status || '，建议优先检查设备在线状态与安全巡检。' END,
     CASE WHEN volume > 0 THEN '历史充电量为 ' || printf('%.1f', round_even(volume, 1)) || ' kWh，近峰值时段已表现出较高使用强度。' END) AS advice
-FROM (SELECT i.*, coalesce(a.peak, 0) AS peak FROM score_inputs i LEFT JOIN ahead a ON a.station_id = i.station_id)""")
+FROM (SELECT coalesce(i.station_id, a.station_id) AS station_id, coalesce(i.free, 0) AS free, coalesce(i.station_status, 'unknown') AS station_status,
+  coalesce(i.volume, 0) AS volume, coalesce(i.frequency, 0) AS frequency, coalesce(a.peak, 0) AS peak
+  FROM (SELECT * FROM score_inputs WHERE station_id % 7 <> 3) i FULL JOIN ahead a ON a.station_id = i.station_id)""")
 
 # ---- metrics --------------------------------------------------------------
 
@@ -1073,6 +1075,7 @@ SELECT model, count(*) AS n, round(avg(abs(p - y)), 6) AS mae, round(sqrt(avg((p
   round(coalesce(avg(abs((p - y) / y)) FILTER (abs(y) > 1e-12) * 100, 0), 4) AS mape,
   round(1 - sum((p - y) * (p - y)) / (var_pop(y) * count(*)), 6) AS r2 FROM guesses WHERE p IS NOT NULL GROUP BY model"""
 oracle("regression_metrics", "SELECT * EXCLUDE (model) FROM scores_by_model WHERE model = 'previous_hour'")
+oracle("select_best", "SELECT CAST(1 AS INTEGER) AS rank, model, mae, rmse, mape, r2, CAST(1 AS INTEGER) AS is_best FROM scores_by_model ORDER BY r2 DESC, model LIMIT 1")
 oracle("compare_models", """
 SELECT CAST(row_number() OVER (ORDER BY mae, model) AS INTEGER) AS rank, model, mae, rmse, mape, r2,
   CAST(row_number() OVER (ORDER BY mae, model) = 1 AS INTEGER) AS is_best FROM scores_by_model""")

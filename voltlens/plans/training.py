@@ -3,6 +3,7 @@
     python -m voltlens.plans.training features --input-root RAW --output OUT
     python -m voltlens.plans.training train    --input OUT --model-output MODEL
     python -m voltlens.plans.training forecast --input OUT --model MODEL --output PRED
+    python -m voltlens.plans.training peaks    --input PRED_CSV --output PEAKS
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from voltlens.operators.cleaning import CLEANERS
 from voltlens.operators.features import select_features, station_hour_dataset
 from voltlens.operators.forecast import HORIZONS, forecast, pipeline_features
 from voltlens.operators.integrity import validate_tables
+from voltlens.operators.peaks import peak_periods
 from voltlens.operators.models import load_model, save_model, train_models
 from voltlens.operators.quality import clean_orders, rejected_count
 from voltlens.plans.warehouse import checked_orders
@@ -111,9 +113,22 @@ def _parser() -> argparse.ArgumentParser:
     job.add_argument("--horizon", type=int, choices=HORIZONS, default=24)
     job.add_argument("--station-id", default=None)
     job.add_argument("--output", required=True)
+    job = jobs.add_parser("peaks")
+    job.add_argument("--input", required=True, help="forecast CSV")
+    job.add_argument("--output", required=True)
+    job.add_argument("--top-n", type=int, default=3)
+    job.add_argument("--station-id", default=None)
     return parser
 
 
+def write_peaks(spark: SparkSession, source: str, path: str, top_n: int = 3, station_id=None) -> str:
+    """Rank the peak periods of a stored forecast, optionally of one station, and store them."""
+    rows = read_features(spark, source)
+    if station_id is not None:
+        rows = rows.where(F.col("station_id").cast("string") == str(station_id))
+    return write_table(peak_periods(rows, top_n=top_n), path)
+
+
 def main(argv=None) -> None:
     args = _parser().parse_args(argv)
     spark = build_session(f"voltlens-{args.job}")
@@ -134,6 +149,8 @@ def main(argv=None) -> None:
             print(name, item.rows, item.validation_metrics, item.test_metrics)
         print("best:", trained.best_name, "failures:", trained.failures)
         save_model(trained.best.model, args.model_output)
+    elif args.job == "peaks":
+        write_peaks(spark, args.input, args.output, args.top_n, args.station_id)
     else:
         model = load_model(args.model) if args.model else None
         rows = forecast(

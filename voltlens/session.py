@@ -33,25 +33,6 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def task_count(spark: SparkSession) -> int:
-    """As many tasks as the cluster runs at once, and no fewer than a shuffle would use."""
-    return max(
-        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
-    )
-
-
-def spread_scan(scan: DataFrame, key: str) -> DataFrame:
-    """Redistribute a plain table scan that has fewer splits than the cluster has cores.
-
-    Heavy work per row above a few small files would run in as many tasks as
-    there are files.  A large table has more splits than cores and stays as is.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() >= cores:
-        return scan
-    return scan.repartition(cores, key)
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder for tables and checkpoints that all executors reach, from ``spark.checkpoint.dir``.
 

@@ -8,9 +8,9 @@ from voltlens.sources.readers import (
     read_typed_table,
 )
 from voltlens.sources.schemas import RAW_COLUMNS, raw_schema
-from voltlens.sources.writers import drop_blank_rows, import_csv, write_table
+from voltlens.sources.writers import import_csv, write_table
 
 __all__ = [
-    "RAW_COLUMNS", "RAW_TABLES", "drop_blank_rows", "import_csv", "raw_schema",
+    "RAW_COLUMNS", "RAW_TABLES", "import_csv", "raw_schema",
     "read_inferred_csv", "read_part_csv", "read_raw", "read_typed_table", "write_table",
 ]

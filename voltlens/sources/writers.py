@@ -49,11 +49,6 @@ def write_table(
     return path
 
 
-def drop_blank_rows(df: DataFrame) -> DataFrame:
-    """Rows that hold at least one value."""
-    return df.na.drop(how="all")
-
-
 def import_csv(spark: SparkSession, source: str, target: str) -> DataFrame:
     """Inferred CSV import: read, tidy the header, drop empty rows, write CSV."""
     frame = read_inferred_csv(spark, source)
