@@ -21,7 +21,7 @@ HEADLINE = (
     "settled_revenue_trend", "search_orders", "order_quality_issues", "order_facts",
     "quality_summary", "clean_device_status", "validate_tables", "station_hour_features",
     "lag_features", "time_split", "persistence_forecast", "peak_periods_per_station",
-    "station_score", "ops_advice",
+    "station_score", "ops_advice", "expected_demand", "cross_table_assertions", "fault_risk",
 )
 
 
