@@ -7,8 +7,8 @@ favours the random one by ``LEAST_TOTAL`` in all and by ``LEAST_EACH`` per trans
 ``LEAST_LETTERS`` different characters (rules, padding) are neither.
 
 The models are counted from labelled samples, a table of (value, random).  The default sample takes the
-values that the fixed forms find in at most ``SAMPLE_DOCS`` documents chosen by hash, as many
-made-up keys in usual alphabets (digests of a counter), and as ordinary the words of these documents.
+values that the fixed forms find in about ``SAMPLE_DOCS`` documents chosen by hash (all, if there are
+no more), made-up keys in usual alphabets (digests of a counter), and as ordinary the words of these documents.
 The ratios of all pairs of ASCII characters are one array literal of thousandths of a nat, so sums are
 exact and do not depend on order.
 
@@ -50,8 +50,7 @@ def default_samples(docs: DataFrame, *, text_col: str = "text", limit: int = SAM
     texts = docs.select(docs[text_col].alias("text")).where("text is not null")
     count = texts.count()
     place = F.xxhash64(F.lit(seed), F.col("text"))
-    near = texts.where(F.pmod(place, F.lit(1_000_000)) < F.lit(2_000_000.0 * limit / max(1, count)))
-    picked = near.distinct().orderBy(place, "text").limit(limit)
+    picked = texts.where(F.pmod(place, F.lit(1_000_000)) < F.lit(1_000_000.0 * limit / max(1, count))).distinct()
     found = add_spans(picked, "text", BASE)
     value = F.concat(
         F.transform("assign", lambda s: F.regexp_extract(s["hit"], ASSIGN, 2)),
