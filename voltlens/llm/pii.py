@@ -59,6 +59,7 @@ REACH = 120
 SUPPORT = 3
 GENERALISE = 0.7
 REMOVE = 0.95
+SALTS = 16
 
 
 def terms(text: Column) -> Column:
@@ -142,7 +143,10 @@ def find_personal(
     strong = disclosing_terms(docs, text_col=text_col, **options)
     packed = docs.select(F.struct(*[docs[c] for c in keep]).alias("row"), docs[text_col].alias("text"))
     base = add_spans(packed, "text", BASE).select("row", *(["text"] if with_text else []), *[k.name for k in BASE], *text_key(F.col("text")))
-    joined = base.join(strong, ["k1", "k2"], "left").drop("k1", "k2")
+    # Copies of one text may be a third of all rows: they are dealt to salted keys.
+    salted = base.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)))
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
+    joined = salted.join(strong.select("*", salts), ["k1", "k2", "salt"], "left").drop("k1", "k2", "salt")
     none = F.array().cast(SPAN.replace(">>", ",disclosure:double>>"))
     return joined.withColumn("term", F.coalesce("term", none))
 
