@@ -979,6 +979,26 @@ SELECT CAST(row_number() OVER (ORDER BY load DESC, datetime) AS INTEGER) AS rank
   CAST(hour(datetime) AS INTEGER) AS hour, round(load, 4) AS predicted_load_kwh, n AS station_count,
   round(t, 4) AS peak_threshold_kwh, CAST(load >= t AS INTEGER) AS is_peak
 FROM slots, (SELECT quantile_cont(load, 0.9) AS t FROM slots)""")
+oracle("typed_part_csv", f"""
+SELECT station_id, {time_text('datetime')} AS datetime, horizon_hour, round(load, 6) AS predicted_load_kwh FROM predicted""")
+oracle("stored_forecast", f"""
+SELECT station_id, {time_text('datetime')} AS datetime, horizon_hour, round(load, 6) AS predicted_load_kwh FROM predicted""")
+oracle("forecast_peak_job", f"""
+SELECT CAST(row_number() OVER (ORDER BY load DESC, datetime) AS INTEGER) AS rank, {time_text('datetime')} AS datetime,
+  CAST(hour(datetime) AS INTEGER) AS hour, round(load, 4) AS predicted_load_kwh, n AS station_count,
+  round(t, 4) AS peak_threshold_kwh, CAST(load >= t AS INTEGER) AS is_peak
+FROM slots, (SELECT quantile_cont(load, 0.9) AS t FROM slots) QUALIFY rank <= 5""")
+oracle("raw_lines", f"""
+SELECT CAST(user_id AS VARCHAR) AS user_id, CASE WHEN cut THEN 'broken' ELSE {time_text('registered_at')} END AS registered_at,
+  CASE WHEN NOT cut THEN city END AS city, CASE WHEN NOT cut THEN member_level END AS member_level,
+  CASE WHEN NOT cut THEN vehicle_type END AS vehicle_type,
+  CASE WHEN NOT cut THEN printf('%.1f', CAST(battery_capacity_kwh AS DOUBLE)) END AS battery_capacity_kwh,
+  CASE WHEN NOT cut THEN preferred_platform END AS preferred_platform,
+  CASE WHEN NOT cut THEN registration_channel END AS registration_channel, CASE WHEN NOT cut THEN user_status END AS user_status,
+  CASE WHEN cut THEN user_id || ',broken' END AS _corrupt_record
+FROM (SELECT *, user_id % 7 = 3 AS cut FROM members)""")
+oracle("imported_csv", "SELECT * FROM nation")
+oracle("part_csv", "SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS VARCHAR) AS user_id, event_type, props FROM events")
 oracle("top_peak_periods", f"""
 SELECT CAST(row_number() OVER (ORDER BY mean DESC, datetime) AS INTEGER) AS rank, {time_text('datetime')} AS datetime,
   CAST(hour(datetime) AS INTEGER) AS hour, round(mean, 4) AS predicted_load_kwh, n AS station_count,

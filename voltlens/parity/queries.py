@@ -7,6 +7,7 @@ arrays as JSON) so that they can be compared with another engine's.
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -29,6 +30,9 @@ from voltlens.operators import (
     series,
 )
 from voltlens.parity.datasets import Dataset
+from voltlens.plans import training
+from voltlens.session import shared_folder
+from voltlens.sources import RAW_COLUMNS, import_csv, read_part_csv, read_raw, write_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -900,6 +904,62 @@ def ops_advice(d):
     return recommend.ops_advice(stations, predictions, history, threshold=300.0)
 
 
+# ---- sources and jobs: what Spark derives from the tables, written to the shared folder and read back ----
+
+
+def _target(d) -> str:
+    return f"{shared_folder(d.spark)}/voltlens-{uuid4().hex}"
+
+
+@query
+def raw_lines(d):
+    """User lines of which some break off: the reader keeps them with their text."""
+    names = RAW_COLUMNS["users"]
+    damaged = F.col("user_id").cast("long") % 7 == 3
+    whole = F.concat_ws(",", *[F.col(n).cast("string") for n in names])
+    users = d.users.withColumn("registered_at", F.date_format("registered_at", "yyyy-MM-dd HH:mm:ss"))
+    lines = users.select(F.when(damaged, F.concat_ws(",", "user_id", F.lit("broken"))).otherwise(whole).alias(",".join(names)))
+    path = _target(d)
+    lines.write.option("header", True).option("sep", "\t").csv(path)
+    return read_raw(d.spark, "users", path).drop("_source_file", "_ingested_at")
+
+
+@query
+def imported_csv(d):
+    """Untyped import of a comma-separated copy: header freed of spaces, types inferred."""
+    source = d.read("nation")
+    path = _target(d)
+    write_table(source.toDF(*[f" {c} " for c in source.columns]), path, fmt="csv")
+    return import_csv(d.spark, path, _target(d))
+
+
+@query
+def part_csv(d):
+    path = write_table(d.read("events").select("event_id", "user_id", "event_type", "props"), _target(d), fmt="csv")
+    return read_part_csv(d.spark, path)
+
+
+@query
+def typed_part_csv(d):
+    rows = _forecast(d)
+    path = write_table(rows, _target(d), fmt="csv")
+    return rounded(read_part_csv(d.spark, path, rows.schema), predicted_load_kwh=6)
+
+
+@query
+def stored_forecast(d):
+    path = _target(d)
+    training.write_forecast(_forecast(d), path, 24)
+    return rounded(training.lookup_forecast(d.spark, path, 24), predicted_load_kwh=6)
+
+
+@query
+def forecast_peak_job(d):
+    path = write_table(_forecast(d), _target(d), fmt="csv")
+    found = d.spark.read.parquet(training.write_peaks(d.spark, path, _target(d), top_n=5))
+    return rounded(found, predicted_load_kwh=4, peak_threshold_kwh=4)
+
+
 # ---- models ---------------------------------------------------------------
 
 
