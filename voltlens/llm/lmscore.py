@@ -12,8 +12,8 @@ The score is the mean over its tokens of (target loss - background loss), lower
    frequent ones, at most ``WORDS`` of them, word 0 is everything else.
 2. Documents are written as word numbers, with the target mark joined to these and not to the texts.
 3. Word counts and the counts of head pairs (both among the ``HEAD`` most frequent words) fit every task.
-4. Other pairs go as (pair, row, count) to the partition of their pair; the partition holds all rows of
-   its pairs, counts them and scores them in one pass, so there is no second scan and no join.
+4. Other pairs go in blocks of (pair, row, counts) to the partition of their pair; the partition holds all
+   rows of its pairs, counts them and scores them in one pass, so there is no second scan and no join.
 
 Pairs grow with the corpus and are never gathered; a partition gets about ``PART_TOKENS`` tokens whatever
 the size of the corpus.  The pairs that most documents share are head pairs, which are scored where
@@ -34,13 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voltlens.llm.common import add_columns, chunks, stored
+from voltlens.llm.common import add_columns, chunks, discard, stored
 from voltlens.llm.decontam import words_of
 
-WORDS = 60_000
+WORDS = 60_000  # at most 65,000: word numbers take 16 bits, pairs 32
 HEAD = 512
 MIX = 0.6
-PART_TOKENS = 1_000_000
+PART_TOKENS = 2_000_000
+BUCKETS_PER_PART = 8
 FLUSH_WORDS = 200_000
 
 
@@ -89,14 +90,14 @@ def vocabulary(counts: DataFrame, most: int = WORDS) -> list[bytes]:
 
 
 def encode(docs: DataFrame, text_col: str, words: list[bytes]) -> DataFrame:
-    """``docs`` with ``ids``: the word numbers of the text as little-endian 32-bit integers."""
+    """``docs`` with ``ids``: the word numbers of the text as little-endian 16-bit integers."""
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def start():
         number = {w: i + 1 for i, w in enumerate(shared.value)}
 
         def work(texts):
-            return [[np.fromiter((number.get(w, 0) for w in words_of(t)), "<i4").tobytes() for t in texts]]
+            return [[np.fromiter((number.get(w, 0) for w in words_of(t)), "<u2").tobytes() for t in texts]]
 
         return work
 
@@ -107,14 +108,14 @@ def encode(docs: DataFrame, text_col: str, words: list[bytes]) -> DataFrame:
 class Pairs:
     """Distinct pairs of a document with their numbers, and its own counts of both words."""
 
-    def __init__(self, ids: bytes, size: int):
-        self.words = np.frombuffer(ids, "<i4").astype(np.int64)
+    def __init__(self, ids: bytes, size: int, head: int):
+        self.words = np.frombuffer(ids, "<u2").astype(np.int64)
         before = np.concatenate(([size], self.words[:-1]))  # ``size`` stands for the start of the text
         self.keys, self.numbers = np.unique(before * (size + 1) + self.words, return_counts=True)
         self.first, self.second = np.divmod(self.keys, size + 1)
         self.own_first = counted(before, self.first)
         self.own_second = counted(self.words, self.second)
-        top = min(HEAD, size)
+        top = min(head, size)
         self.head = ((self.first < top) | (self.first == size)) & (self.second < top)
 
 
@@ -134,10 +135,11 @@ def losses(pair, own, first, own_first, second, own_second, total, own_total, si
 class Model:
     """What every task knows: word counts and head pair counts, of the target and of all documents."""
 
-    def __init__(self, size: int, counts: np.ndarray, starts: np.ndarray, head: np.ndarray):
+    def __init__(self, size: int, counts: np.ndarray, ends: np.ndarray, head: np.ndarray):
         self.size, self.counts, self.head = size, counts, head
         self.totals = counts.sum(axis=1)
-        self.contexts = np.concatenate((counts, starts[:, None]), axis=1)
+        # A word that ends a text has no successor; as many texts start as end.
+        self.contexts = np.concatenate((counts - ends, ends.sum(axis=1, keepdims=True)), axis=1)
 
     def both(self, pair, number, first, own_first, second, own_second, marked, tokens):
         """Target and background losses; ``marked`` documents have own counts in the target too."""
@@ -148,9 +150,12 @@ class Model:
         ]
 
 
-def small_counts(coded: DataFrame, size: int) -> Model:
-    """Word counts, text starts and head pairs, summed per chunk before they are combined."""
-    top = min(HEAD, size)
+def small_counts(coded: DataFrame, size: int, head: int) -> Model:
+    """Word counts, last words and head pairs, summed per chunk before they are combined.
+
+    Keys: pairs from 0 on, word w as -1 - w, word w at the end of a text as -1 - size - w.
+    """
+    top = min(head, size)
 
     def count(batches):
         for batch in batches:
@@ -159,10 +164,11 @@ def small_counts(coded: DataFrame, size: int) -> Model:
                 for ids, marked in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     if not ids:
                         continue
-                    p = Pairs(ids, size)
+                    p = Pairs(ids, size, head)
                     keys = [p.keys[p.head], (p.words + 1) * -1]
                     for key, number in zip(*np.unique(np.concatenate(keys[1:]), return_counts=True), strict=True):
                         add(seen, int(key), int(number), marked)
+                    add(seen, -1 - size - int(p.words[-1]), 1, marked)
                     for key, number in zip(keys[0], p.numbers[p.head], strict=True):
                         add(seen, int(key), int(number), marked)
                 yield pa.record_batch(
@@ -178,32 +184,60 @@ def small_counts(coded: DataFrame, size: int) -> Model:
     rows = (
         coded.select("ids", "marked").mapInArrow(count, "key long, target long, every long").groupBy("key")
         .agg(F.sum("target").alias("target"), F.sum("every").alias("every")).toPandas()
-    )  # at most |V| + HEAD squared rows
-    counts, head = np.zeros((2, size)), np.zeros((2, top + 1, top))
+    )  # at most 2 |V| + HEAD squared rows
+    counts, pairs = np.zeros((2, 2 * size)), np.zeros((2, top + 1, top))
     single = rows["key"] < 0
     word = -rows["key"][single].to_numpy(np.int64) - 1
     first, second = np.divmod(rows["key"][~single].to_numpy(np.int64), size + 1)
     first = np.where(first == size, top, first)
     for k, column in enumerate(("target", "every")):
         counts[k][word] = rows[column][single]
-        head[k][first, second] = rows[column][~single]
-    starts = np.array(coded.where(F.length("ids") > 0).agg(F.count_if("marked"), F.count("*")).first(), float)
-    return Model(size, counts, starts, head)
+        pairs[k][first, second] = rows[column][~single]
+    return Model(size, counts[:, :size], counts[:, size:], pairs)
+
+
+FOUND = "rid long, gap double, every float"
 
+#: Columns of a block of pairs; row ids ascend within a block and are kept as differences.
+BLOCK_COLUMNS = (("key", "<u4"), ("rid", "<i8"), ("number", "<u4"), ("own_first", "<u4"), ("own_second", "<u4"), ("tokens", "<u4"), ("marked", "<u1"))
+
+
+def pack(columns: list[np.ndarray]) -> bytes:
+    """Columns one after the other: alike values side by side compress well in the shuffle."""
+    key, rid, *rest = columns
+    return b"".join(
+        c.astype(kind).tobytes()
+        for c, (_, kind) in zip((key, np.diff(rid, prepend=0), *rest), BLOCK_COLUMNS, strict=True)
+    )
 
-FOUND = "rid long, target double, every double"
-OPEN = "key long, rid long, number int, own_first int, own_second int, tokens int, marked boolean"
+
+def unpack(block: bytes) -> list[np.ndarray]:
+    rows = len(block) // sum(np.dtype(kind).itemsize for _, kind in BLOCK_COLUMNS)
+    out, at = [], 0
+    for name, kind in BLOCK_COLUMNS:
+        values = np.frombuffer(block, kind, rows, at)
+        at += values.nbytes
+        out.append(np.cumsum(values) if name == "rid" else values if name == "key" else values.astype(np.int64))
+    return out
+
+
+def mixed(keys: np.ndarray) -> np.ndarray:
+    """Scattered pair keys, so that neighbouring pairs do not share a bucket."""
+    x = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (x >> np.uint64(33)).astype(np.int64)
 
 
 def score(
-    docs: DataFrame, marks: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS
+    docs: DataFrame, marks: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, head: int = HEAD
 ) -> DataFrame:
     """One row per document: ``doc_id``, ``tokens``, ``loss_target``, ``loss_background``, ``score``.
 
     ``marks`` has the ``doc_id`` of the target documents.
     """
     slim = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    chosen = vocabulary(stored(word_counts(slim, "text"), "words"), words)
+    counts = stored(word_counts(slim, "text"), "words")
+    chosen = vocabulary(counts, min(words, 65_000))
+    discard(counts)
     size = len(chosen) + 1
     target = marks.select("doc_id").distinct().withColumn("marked", F.lit(True))
     coded = stored(
@@ -211,8 +245,8 @@ def score(
         .select(F.monotonically_increasing_id().alias("rid"), "doc_id", "ids", F.coalesce("marked", F.lit(False)).alias("marked")),
         "coded",
     )
-    shared = docs.sparkSession.sparkContext.broadcast(small_counts(coded, size))
-    tokens = coded.agg(F.sum(F.length("ids"))).first()[0] or 0
+    shared = docs.sparkSession.sparkContext.broadcast(small_counts(coded, size, head))
+    tokens = (coded.agg(F.sum(F.length("ids"))).first()[0] or 0) // 2
 
     def head_scores(batches):
         model = shared.value
@@ -222,60 +256,75 @@ def score(
                 rows = []
                 for rid, ids, marked in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                     if ids:
-                        p = Pairs(ids, size)
+                        p = Pairs(ids, size, head)
                         h = p.head
                         first = p.first[h]
                         pair = [m[np.where(first == size, top, first), p.second[h]] for m in model.head]
                         both = model.both(pair, p.numbers[h], first, p.own_first[h], p.second[h], p.own_second[h],
                                           int(marked), len(p.words))
-                        rows.append((rid, *(float((x * p.numbers[h]).sum()) for x in both)))
-                yield table(rows, ("rid", "target", "every"), (pa.int64(), pa.float64(), pa.float64()))
+                        rows.append((rid, *sums(both, lambda x: float((x * p.numbers[h]).sum()))))
+                yield table(rows, ("rid", "gap", "every"), (pa.int64(), pa.float64(), pa.float32()))
+
+    parts = max(1, ceil(tokens / PART_TOKENS))
 
     def open_pairs(batches):
         for batch in batches:
             for part in chunks(batch, 0):
+                columns = [[] for _ in BLOCK_COLUMNS]
                 for rid, ids, marked in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                     if ids:
-                        p = Pairs(ids, size)
+                        p = Pairs(ids, size, head)
                         o = ~p.head
                         n = int(o.sum())
-                        yield pa.record_batch([
-                            pa.array(p.keys[o]), pa.array(np.full(n, rid)), pa.array(p.numbers[o].astype(np.int32)),
-                            pa.array(p.own_first[o].astype(np.int32)), pa.array(p.own_second[o].astype(np.int32)),
-                            pa.array(np.full(n, len(p.words), np.int32)), pa.array(np.full(n, marked, bool)),
-                        ], ["key", "rid", "number", "own_first", "own_second", "tokens", "marked"])
+                        row = (p.keys[o], np.full(n, rid), p.numbers[o], p.own_first[o], p.own_second[o],
+                               np.full(n, len(p.words)), np.full(n, marked))
+                        for column, values in zip(columns, row, strict=True):
+                            column.append(values)
+                if not columns[0]:
+                    continue
+                joined = [np.concatenate(c) for c in columns]
+                buckets = mixed(joined[0]) % (parts * BUCKETS_PER_PART)
+                order = np.argsort(buckets, kind="stable")
+                joined, buckets = [c[order] for c in joined], buckets[order]
+                cuts = np.flatnonzero(np.diff(buckets)) + 1
+                edges = [0, *cuts.tolist(), len(buckets)] if len(buckets) else [0]
+                blocks = [pack([c[i:j] for c in joined]) for i, j in zip(edges, edges[1:], strict=False)]
+                yield pa.record_batch([pa.array(buckets[edges[:-1]].astype(np.int64)), pa.array(blocks, pa.binary())], ["bucket", "block"])
 
     def pair_scores(batches):
         model = shared.value
-        parts = list(batches)
-        if not parts:
+        blocks = [unpack(x) for batch in batches for x in batch.column(1).to_pylist()]
+        if not blocks:
             return
-        key, rid, number, own_first, own_second, length, marked = (
-            np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in parts]) for i in range(7)
-        )
-        del parts
+        key, rid, number, own_first, own_second, length, marked = (np.concatenate(c) for c in zip(*blocks, strict=True))
+        del blocks
         kinds, place = np.unique(key, return_inverse=True)
         pair = [np.bincount(place, number * m, len(kinds))[place] for m in (marked, 1)]
-        first, second = np.divmod(key, size + 1)
-        both = model.both(pair, number, first, own_first, second, own_second, marked.astype(np.int64), length)
+        first, second = np.divmod(key.astype(np.int64), size + 1)
+        both = model.both(pair, number, first, own_first, second, own_second, marked, length)
         rids, place = np.unique(rid, return_inverse=True)
-        sums = [np.bincount(place, x * number, len(rids)) for x in both]
-        yield pa.record_batch([pa.array(rids), *map(pa.array, sums)], ["rid", "target", "every"])
+        found = sums(both, lambda x: np.bincount(place, x * number, len(rids)))
+        yield pa.record_batch([pa.array(rids), pa.array(found[0]), pa.array(found[1].astype(np.float32))], ["rid", "gap", "every"])
 
     source = coded.select("rid", "ids", "marked")
-    spread = source.mapInArrow(open_pairs, OPEN).repartition(max(1, ceil(tokens / 4 / PART_TOKENS)), "key")
-    sums = source.mapInArrow(head_scores, FOUND).union(spread.mapInArrow(pair_scores, FOUND)).groupBy("rid").agg(
-        F.sum("target").alias("target"), F.sum("every").alias("every")
+    spread = source.mapInArrow(open_pairs, "bucket long, block binary").repartition(parts, "bucket").select("bucket", "block")
+    losses_ = source.mapInArrow(head_scores, FOUND).union(spread.mapInArrow(pair_scores, FOUND)).groupBy("rid").agg(
+        F.sum("gap").alias("gap"), F.sum("every").alias("every")
     )
-    number = (F.length("ids") / 4).cast("long")
-    named = coded.select("rid", "doc_id", number.alias("tokens")).join(sums, "rid", "left")
-    mean = {n: F.col(c) / F.col("tokens") for n, c in (("loss_target", "target"), ("loss_background", "every"))}
+    number = (F.length("ids") / 2).cast("long")
+    named = coded.select("rid", "doc_id", number.alias("tokens")).join(losses_, "rid", "left")
+    every, gap = F.col("every") / F.col("tokens"), F.col("gap") / F.col("tokens")
     return named.select(
-        "doc_id", "tokens", mean["loss_target"].alias("loss_target"), mean["loss_background"].alias("loss_background"),
-        (mean["loss_target"] - mean["loss_background"]).alias("score"),
+        "doc_id", "tokens", (every + gap).alias("loss_target"), every.alias("loss_background"), gap.alias("score")
     )
 
 
+def sums(both, add):
+    """Sums of (target - background) and of the background loss; the difference is taken before rounding."""
+    target, every = both
+    return add(target - every), add(every)
+
+
 def table(rows: list[tuple], names, kinds) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
     return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], list(names))
