@@ -6,8 +6,8 @@ all its documents as often as its target holds it whole; what remains of the tar
 the documents:
 
 1. documents are counted by exact length (a histogram per source, combined before the shuffle);
-2. most of the remainder is taken in proportion from every length, then from the longest down until
-   at most ``window`` words are open;
+2. all of the remainder but ``window`` words is taken in proportion from every length, then from the longest
+   down until at most ``window`` words are open;
 3. bounded-knapsack dynamic programming over the documents left picks counts per length that come
    nearest to the open rest from below;
 4. within a length, the documents with the smallest seeded hashes are taken.
@@ -80,7 +80,7 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int, window: int =
     budget = max(0, min(int(budget), whole))
     if not budget:
         return taken
-    taken = (counts * (budget / whole)).astype(np.int64)
+    taken = (counts * (max(0, budget - window) / whole)).astype(np.int64)
     while (over := int((taken * sizes).sum()) - budget) > 0:  # only by rounding of the ratio
         at = int(np.flatnonzero((taken > 0) & (sizes > 0))[-1])
         taken[at] -= min(int(taken[at]), -(-over // int(sizes[at])))
