@@ -153,47 +153,37 @@ class Model:
 def small_counts(coded: DataFrame, size: int, head: int) -> Model:
     """Word counts, last words and head pairs, summed per chunk before they are combined.
 
-    Keys: pairs from 0 on, word w as -1 - w, word w at the end of a text as -1 - size - w.
+    Keys: words from 0 on, last words from ``size`` on, then the head pairs.
     """
     top = min(head, size)
+    width = 2 * size + (top + 1) * top
+
+    def tally(texts: list[bytes]) -> np.ndarray:
+        sizes = np.array([len(t) // 2 for t in texts])
+        words = np.frombuffer(b"".join(texts), "<u2").astype(np.int64)
+        before = np.concatenate(([0], words[:-1]))
+        before[np.cumsum(sizes) - sizes] = size
+        head_pair = ((before < top) | (before == size)) & (words < top)
+        first = np.minimum(before[head_pair], top)
+        keys = (words, size + words[np.cumsum(sizes) - 1], 2 * size + first * top + words[head_pair])
+        return np.bincount(np.concatenate(keys), minlength=width)
 
     def count(batches):
         for batch in batches:
             for part in chunks(batch, 0):
-                seen: dict[int, list[int]] = {}
-                for ids, marked in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    if not ids:
-                        continue
-                    p = Pairs(ids, size, head)
-                    keys = [p.keys[p.head], (p.words + 1) * -1]
-                    for key, number in zip(*np.unique(np.concatenate(keys[1:]), return_counts=True), strict=True):
-                        add(seen, int(key), int(number), marked)
-                    add(seen, -1 - size - int(p.words[-1]), 1, marked)
-                    for key, number in zip(keys[0], p.numbers[p.head], strict=True):
-                        add(seen, int(key), int(number), marked)
-                yield pa.record_batch(
-                    [pa.array(seen.keys(), pa.int64()), pa.array([v[0] for v in seen.values()], pa.int64()),
-                     pa.array([v[1] for v in seen.values()], pa.int64())], ["key", "target", "every"])
-
-    def add(seen, key, number, marked):
-        slot = seen.setdefault(key, [0, 0])
-        slot[1] += number
-        if marked:
-            slot[0] += number
+                rows = [(t, m) for t, m in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if t]
+                every, target = (tally(x) if x else np.zeros(width, np.int64) for x in ([t for t, _ in rows], [t for t, m in rows if m]))
+                seen = np.flatnonzero(every)
+                yield pa.record_batch([pa.array(x) for x in (seen, target[seen], every[seen])], ["key", "target", "every"])
 
     rows = (
         coded.select("ids", "marked").mapInArrow(count, "key long, target long, every long").groupBy("key")
         .agg(F.sum("target").alias("target"), F.sum("every").alias("every")).toPandas()
-    )  # at most 2 |V| + HEAD squared rows
-    counts, pairs = np.zeros((2, 2 * size)), np.zeros((2, top + 1, top))
-    single = rows["key"] < 0
-    word = -rows["key"][single].to_numpy(np.int64) - 1
-    first, second = np.divmod(rows["key"][~single].to_numpy(np.int64), size + 1)
-    first = np.where(first == size, top, first)
+    )  # at most ``width`` rows
+    found = np.zeros((2, width))
     for k, column in enumerate(("target", "every")):
-        counts[k][word] = rows[column][single]
-        pairs[k][first, second] = rows[column][~single]
-    return Model(size, counts[:, :size], counts[:, size:], pairs)
+        found[k][rows["key"]] = rows[column]
+    return Model(size, found[:, :size], found[:, size : 2 * size], found[:, 2 * size :].reshape(2, top + 1, top))
 
 
 FOUND = "rid long, gap double, every float"
