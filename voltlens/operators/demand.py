@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from voltlens.functions import hour_floor, monday_index, ratio
 from voltlens.operators.calendar import calendar_columns
 from voltlens.operators.features import explode_hours, hour_span
+from voltlens.session import cut_lineage
 
 # Relative demand by weather, limits and smoothing of the factors.
 WEATHER_DEMAND = {
@@ -28,9 +29,22 @@ def _mean(df: DataFrame, name: str) -> Column:
     return df.agg(F.avg(name).alias("mean")).scalar()
 
 
-def station_factors(orders: DataFrame, stations: DataFrame) -> DataFrame:
+def order_counts(orders: DataFrame) -> DataFrame:
+    """Orders per station, weekday and hour: all three factors are made of these few rows."""
+    at = F.col("created_at")
+    return orders.groupBy("station_id", monday_index(at).alias("weekday"), F.hour(at).alias("hour")).agg(
+        F.count("*").alias("n")
+    )
+
+
+def _by(orders: DataFrame, counts: DataFrame | None, key: str) -> DataFrame:
+    counts = order_counts(orders) if counts is None else counts
+    return counts.groupBy(key).agg(F.sum("n").alias("n"))
+
+
+def station_factors(orders: DataFrame, stations: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """(station_id, station_factor): smoothed order count over its mean, clipped."""
-    counts = orders.groupBy("station_id").agg(F.count("*").alias("n"))
+    counts = _by(orders, counts, "station_id")
     smoothed = stations.select("station_id").join(counts, "station_id", "left").select(
         "station_id", (F.coalesce("n", F.lit(0)) + F.lit(STATION_SMOOTHING)).alias("smoothed")
     )
@@ -38,9 +52,9 @@ def station_factors(orders: DataFrame, stations: DataFrame) -> DataFrame:
     return smoothed.select("station_id", factor.alias("station_factor"))
 
 
-def hour_factors(orders: DataFrame) -> DataFrame:
+def hour_factors(orders: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """(hour, hour_factor) for all 24 hours."""
-    counts = orders.groupBy(F.hour("created_at").alias("hour")).agg(F.count("*").alias("n"))
+    counts = _by(orders, counts, "hour")
     hours = orders.sparkSession.range(24).select(F.col("id").cast("int").alias("hour"))
     smoothed = hours.join(counts, "hour", "left").select(
         "hour", (F.coalesce("n", F.lit(0)) + F.lit(HOUR_SMOOTHING)).alias("smoothed")
@@ -49,11 +63,9 @@ def hour_factors(orders: DataFrame) -> DataFrame:
     return smoothed.select("hour", factor.alias("hour_factor"))
 
 
-def weekday_factors(orders: DataFrame) -> DataFrame:
+def weekday_factors(orders: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """(weekday, weekday_factor): orders per available day of the observed span."""
-    counts = orders.groupBy(monday_index(F.col("created_at")).alias("weekday")).agg(
-        F.count("*").alias("n")
-    )
+    counts = _by(orders, counts, "weekday")
     span = orders.agg(
         F.to_date(F.min("created_at")).alias("first"), F.to_date(F.max("created_at")).alias("last")
     )
@@ -85,12 +97,14 @@ def expected_demand(
     station-hours add up to ``target_orders``.  The grid meets the weather on
     location and hour: a location with many stations is spread over its hours.
     """
+    # One aggregate over the orders, written once: factors, means and the normaliser read its rows.
+    counts = cut_lineage(order_counts(orders))
     scaled = stations.select(
         "station_id", "location_id",
         _clip(
             F.sqrt(F.col("device_count") / _mean(stations, "device_count")), CAPACITY_LIMITS
         ).alias("capacity_factor"),
-    ).join(station_factors(orders, stations), "station_id")
+    ).join(station_factors(orders, stations, counts), "station_id")
 
     def listed(df: DataFrame, key: str, value: str) -> Column:
         # 24 or 7 rows by construction: folded into one literal-sized map.
@@ -109,9 +123,9 @@ def expected_demand(
         "location_id",
         F.col("weather_time").alias("datetime"),
         (
-            F.element_at(listed(hour_factors(orders), "hour", "hour_factor"), F.hour("weather_time"))
+            F.element_at(listed(hour_factors(orders, counts), "hour", "hour_factor"), F.hour("weather_time"))
             * F.element_at(
-                listed(weekday_factors(orders), "weekday", "weekday_factor"),
+                listed(weekday_factors(orders, counts), "weekday", "weekday_factor"),
                 monday_index(F.col("weather_time")),
             )
             * F.coalesce(F.try_element_at(table, F.col("weather_type")), F.lit(1.0))

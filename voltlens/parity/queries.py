@@ -990,40 +990,32 @@ def select_best(d):
     return rounded(metrics.select_best(scores, "r_squared"), mae=6, rmse=6, mape=4, r2=6)
 
 
-MODEL_FEATURES = ("hour", "weekday_number", "device_count", "load_lag_1h", "load_lag_2h", "load_lag_24h")
-
-
 def _training_rows(d):
-    keep = ("station_id", "datetime", "energy_kwh", *MODEL_FEATURES)
-    return features.station_hour_dataset(d.tables()).select(*keep)
+    return features.select_features(features.station_hour_dataset(d.tables()))
 
 
 @query
 def linear_model_predictions(d):
-    trained = models.train_model(_training_rows(d), "linear_regression", MODEL_FEATURES)
+    trained = models.train_model(_training_rows(d), "linear_regression")
     return rounded(trained.predictions, prediction=6)
 
 
 @query
 def forest_model_predictions(d):
-    trained = models.train_model(
-        _training_rows(d), "random_forest", MODEL_FEATURES, weight=40.0, numTrees=10, maxDepth=6
-    )
+    trained = models.train_model(_training_rows(d), "random_forest", weight=40.0)
     return rounded(trained.predictions, prediction=6)
 
 
 @query
 def boosted_model_predictions(d):
-    trained = models.train_model(
-        _training_rows(d), "boosted_trees", MODEL_FEATURES, weight=40.0, maxIter=5, maxDepth=4
-    )
+    trained = models.train_model(_training_rows(d), "boosted_trees", weight=40.0)
     return rounded(trained.predictions, prediction=6)
 
 
 @query
 def model_forecast(d):
     rows = _training_rows(d)
-    trained = models.train_model(rows, "linear_regression", MODEL_FEATURES)
+    trained = models.train_model(rows, "linear_regression")
     return rounded(
-        forecast.model_forecast(trained.model, rows, 6, MODEL_FEATURES), predicted_load_kwh=6
+        forecast.model_forecast(trained.model, rows, 24, trained.features), predicted_load_kwh=6
     )
