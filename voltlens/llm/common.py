@@ -102,12 +102,12 @@ def add_columns(
     )
 
 
-def chunks(batch: pa.RecordBatch, first: int):
-    """Slices of a batch whose input columns stay near ``CHUNK_BYTES`` (one row at least)."""
+def chunks(batch: pa.RecordBatch, first: int, limit: int = CHUNK_BYTES):
+    """Slices of a batch whose input columns stay near ``limit`` bytes (one row at least)."""
     rows = batch.num_rows
     if not rows:
         return
     weight = sum(batch.column(i).nbytes for i in range(first, batch.num_columns))
-    step = max(1, min(rows, rows * CHUNK_BYTES // max(1, weight)))
+    step = max(1, min(rows, rows * limit // max(1, weight)))
     for at in range(0, rows, step):
         yield batch.slice(at, step)

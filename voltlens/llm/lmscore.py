@@ -40,7 +40,8 @@ from voltlens.llm.decontam import words_of
 WORDS = 60_000  # at most 65,000: word numbers take 16 bits, pairs 32
 HEAD = 512
 MIX = 0.6
-PART_TOKENS = 2_000_000
+PART_TOKENS = 1_500_000
+CODED_BYTES = 1 << 20  # of word numbers handled at once
 BUCKETS_PER_PART = 8
 FLUSH_WORDS = 200_000
 
@@ -170,7 +171,7 @@ def small_counts(coded: DataFrame, size: int, head: int) -> Model:
 
     def count(batches):
         for batch in batches:
-            for part in chunks(batch, 0):
+            for part in chunks(batch, 0, CODED_BYTES):
                 rows = [(t, m) for t, m in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if t]
                 every, target = (tally(x) if x else np.zeros(width, np.int64) for x in ([t for t, _ in rows], [t for t, m in rows if m]))
                 seen = np.flatnonzero(every)
@@ -242,7 +243,7 @@ def score(
         model = shared.value
         top = model.head.shape[2]
         for batch in batches:
-            for part in chunks(batch, 0):
+            for part in chunks(batch, 0, CODED_BYTES):
                 rows = []
                 for rid, ids, marked in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                     if ids:
@@ -259,7 +260,7 @@ def score(
 
     def open_pairs(batches):
         for batch in batches:
-            for part in chunks(batch, 0):
+            for part in chunks(batch, 0, CODED_BYTES):
                 columns = [[] for _ in BLOCK_COLUMNS]
                 for rid, ids, marked in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                     if ids:
@@ -268,8 +269,8 @@ def score(
                         n = int(o.sum())
                         row = (p.keys[o], np.full(n, rid), p.numbers[o], p.own_first[o], p.own_second[o],
                                np.full(n, len(p.words)), np.full(n, marked))
-                        for column, values in zip(columns, row, strict=True):
-                            column.append(values)
+                        for column, values, (_, kind) in zip(columns, row, BLOCK_COLUMNS, strict=True):
+                            column.append(values.astype(kind))
                 if not columns[0]:
                     continue
                 joined = [np.concatenate(c) for c in columns]
