@@ -26,7 +26,7 @@ def oracle(name: str, body: str) -> None:
 
     visit(body)
     body = body.strip()
-    tables = [f"{table} AS ({BASE[table].strip()})" for table in needed]
+    tables = [f"{table} AS MATERIALIZED ({BASE[table].strip()})" for table in needed]
     if body.upper().startswith("WITH "):
         body = body[5:]
         ORACLE[name] = "WITH " + ",\n".join([*tables, body])
