@@ -1008,7 +1008,7 @@ def forest_model_predictions(d):
 
 @query
 def boosted_model_predictions(d):
-    trained = models.train_model(_training_rows(d), "boosted_trees", weight=40.0)
+    trained = models.train_model(_training_rows(d), "boosted_trees", weight=40.0, maxIter=10, maxDepth=5)
     return rounded(trained.predictions, prediction=6)
 
 
