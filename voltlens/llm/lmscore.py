@@ -15,8 +15,8 @@ The score is the mean over its tokens of (target loss - background loss), lower
 4. Other pairs go in blocks of (pair, row, counts) to the partition of their pair; the partition holds all
    rows of its pairs, counts them and scores them in one pass, so there is no second scan and no join.
 
-Pairs grow with the corpus and are never gathered; a partition gets about ``PART_TOKENS`` tokens whatever
-the size of the corpus.  The pairs that most documents share are head pairs, which are scored where
+Pairs grow with the corpus and are never gathered; there are ``LEAST_PARTS`` partitions or more, of about
+``PART_TOKENS`` tokens whatever the size of the corpus; each returns a row per document that it has pairs of.  The pairs that most documents share are head pairs, which are scored where
 the document is read; any other pair has one row per document at most.
 
 Cases: null, empty and wordless texts have 0 tokens and null losses; without a target document the target
@@ -40,7 +40,8 @@ from voltlens.llm.decontam import words_of
 WORDS = 60_000  # at most 65,000: word numbers take 16 bits, pairs 32
 HEAD = 512
 MIX = 0.6
-PART_TOKENS = 1_500_000
+PART_TOKENS = 2_000_000
+LEAST_PARTS = 64
 CODED_BYTES = 1 << 20  # of word numbers handled at once
 BUCKETS_PER_PART = 8
 FLUSH_WORDS = 200_000
@@ -256,7 +257,7 @@ def score(
                         rows.append((rid, *sums(both, lambda x: float((x * p.numbers[h]).sum()))))
                 yield table(rows, ("rid", "gap", "every"), (pa.int64(), pa.float64(), pa.float32()))
 
-    parts = max(1, ceil(tokens / PART_TOKENS))
+    parts = max(LEAST_PARTS, ceil(tokens / PART_TOKENS))
 
     def open_pairs(batches):
         for batch in batches:
