@@ -15,26 +15,30 @@ from voltlens.sources.schemas import TABLE_KEYS
 
 # Columns each table must offer to feature engineering.
 EXPECTED_COLUMNS: dict[str, tuple[str, ...]] = {
-    "charging_orders": tuple(
-        """session_id user_id station_id device_id location_id weather_id created_at ended_at
-        charge_time_hrs start_hour weekday is_weekend is_holiday is_workday energy_kwh
-        fee_amount_cny order_status""".split()
+    "charging_orders": (
+        "session_id", "user_id", "station_id", "device_id", "location_id", "weather_id",
+        "created_at", "ended_at", "charge_time_hrs", "start_hour", "weekday", "is_weekend",
+        "is_holiday", "is_workday", "energy_kwh", "fee_amount_cny", "order_status",
     ),
-    "stations": tuple(
-        """station_id location_id facility_type device_count electricity_price_cny_kwh
-        service_fee_cny_kwh station_status""".split()
+    "stations": (
+        "station_id", "location_id", "facility_type", "device_count",
+        "electricity_price_cny_kwh", "service_fee_cny_kwh", "station_status",
     ),
-    "devices": tuple(
-        "device_id station_id charger_type rated_power_kw connector_count current_status".split()
+    "devices": (
+        "device_id", "station_id", "charger_type", "rated_power_kw", "connector_count",
+        "current_status",
     ),
-    "users": tuple("user_id vehicle_type battery_capacity_kwh member_level user_status".split()),
-    "weather_hourly": tuple(
-        """weather_id location_id weather_time weather_type temperature_c humidity_pct
-        precipitation_mm wind_speed_mps visibility_km is_rain""".split()
+    "users": (
+        "user_id", "vehicle_type", "battery_capacity_kwh", "member_level", "user_status",
     ),
-    "device_status_log": tuple(
-        """status_id device_id station_id online_minutes offline_minutes fault_minutes fault_count
-        avg_output_power_kw availability_rate health_score""".split()
+    "weather_hourly": (
+        "weather_id", "location_id", "weather_time", "weather_type", "temperature_c",
+        "humidity_pct", "precipitation_mm", "wind_speed_mps", "visibility_km", "is_rain",
+    ),
+    "device_status_log": (
+        "status_id", "device_id", "station_id", "online_minutes", "offline_minutes",
+        "fault_minutes", "fault_count", "avg_output_power_kw", "availability_rate",
+        "health_score",
     ),
 }
 

@@ -186,9 +186,9 @@ def rank_stations(
 
 
 # Columns of the station map.
-DISTRIBUTION_COLUMNS = tuple(
-    """station_id station_name address location_id facility_type device_count latitude
-    longitude""".split()
+DISTRIBUTION_COLUMNS = (
+    "station_id", "station_name", "address", "location_id", "facility_type", "device_count",
+    "latitude", "longitude",
 )
 
 

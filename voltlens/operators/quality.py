@@ -230,10 +230,11 @@ def clean_orders(df: DataFrame) -> DataFrame:
 
 
 # Column order of the analytic order table, and its renamed columns.
-FACT_COLUMNS = tuple(
-    """session_id kwh_total charging_fees created_at ended_at start_hour end_hour charge_time_hrs
-    start_weekday weekday_name start_date platform user_id station_id device_id location_id
-    weather_id is_weekend is_holiday holiday_name is_workday order_status payment_status""".split()
+FACT_COLUMNS = (
+    "session_id", "kwh_total", "charging_fees", "created_at", "ended_at", "start_hour",
+    "end_hour", "charge_time_hrs", "start_weekday", "weekday_name", "start_date", "platform",
+    "user_id", "station_id", "device_id", "location_id", "weather_id", "is_weekend",
+    "is_holiday", "holiday_name", "is_workday", "order_status", "payment_status",
 )
 FACT_NAMES = {"energy_kwh": "kwh_total", "fee_amount_cny": "charging_fees", "weekday": "start_weekday"}
 
