@@ -18,6 +18,14 @@ number of rows.  No link is lost.
 Copies of a fingerprint meet only in a map-side combined aggregate.  Cases: null and empty texts
 have fingerprint zero and are linked like any other; repeated rows get the same class; a missing id
 never becomes a class id unless its whole class has none.
+
+The stage of the pipeline (``keep_one_per_similar``) has a setting of its own: texts are linked at a Jaccard
+similarity of ``SIMILAR`` = 0.8 or more of their sets of five-word shingles.  A Hamming radius for that is too wide to
+search, so candidates come from ``BANDS`` bands of ``BAND`` minima of hashed shingles, and every candidate is judged by
+its exact shingle sets (64-bit hashes of shingles).  A pair of similarity 0.8 shares no band with probability
+(1 - 0.8^5)^32 = 3e-6, a closer one less often.  The members of a band are first judged against one of them; then all
+pairs of a band that are not joined yet are judged, so a large group of near copies does not give its square of pairs
+and no pair that shares a band is left out.
 """
 
 from __future__ import annotations
@@ -26,6 +34,7 @@ from collections.abc import Sequence
 from itertools import islice
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,6 +47,12 @@ SEED = 42
 MAX_BITS = 2
 BUCKET_ROWS = 256
 BLOCK = 1 << 16
+#: Setting of the pipeline stage: words of a shingle, least Jaccard similarity, bands and minima of a band.
+WIDE = 5
+SIMILAR = (4, 5)
+BANDS = 32
+BAND = 5
+SET_BLOCK = 2048
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -151,15 +166,132 @@ def keep_one_per_class(
 
     Rows that repeat id and fingerprint leave one row, the first by the hash of all columns.
     """
-    packed = docs.select(
+    packed = packed_rows(docs, id_col, text_col)
+    prints = stored(add_fingerprints(packed, keep=["doc_id"]), "prints")
+    known = stored(classes(prints, bucket_rows), "classes")
+    return winners(add_fingerprints(packed, keep=["doc_id", "row"]), known)
+
+
+def packed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(
         docs[id_col].alias("doc_id"), docs[text_col].alias("text"),
         F.struct(*[docs[c] for c in docs.columns]).alias("row"),
     )
-    prints = stored(add_fingerprints(packed, keep=["doc_id"]), "prints")
-    known = stored(classes(prints, bucket_rows), "classes")
+
+
+def winners(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """One of ``rows`` (``doc_id``, ``row``, ``fp``) per class of ``known``."""
     winner = F.min(F.struct(F.col("low").isNull().alias("none"), F.col("low"), F.col("fp"))).alias("w")
     kept = known.groupBy("root").agg(winner).select(F.col("w.low").alias("low"), F.col("w.fp").alias("wfp"))
-    rows = add_fingerprints(packed, keep=["doc_id", "row"])
     chosen = rows.join(kept, (rows["fp"] == kept["wfp"]) & rows["doc_id"].eqNullSafe(kept["low"]), "left_semi")
     first = F.min_by("row", F.xxhash64("row")).alias("row")
     return chosen.groupBy("fp", "doc_id").agg(first).select("row.*")
+
+
+def shingle_set(text: bytes | None, size: int = WIDE, seed: int = SEED) -> np.ndarray:
+    """Distinct hashes of the shingles of a text, ascending; a shorter text is one shingle, none without words."""
+    from xxhash import xxh64_intdigest
+
+    words = text.translate(LOWER).split() if text else []
+    if not words:
+        return np.empty(0, np.uint64)
+    shingles = (b" ".join(s) for s in zip(*(words[i:] for i in range(min(size, len(words)))), strict=False))
+    return np.unique(np.fromiter((xxh64_intdigest(s, seed) for s in shingles), np.uint64))
+
+
+def set_id(hashes: np.ndarray) -> int:
+    from xxhash import xxh64_intdigest
+
+    v = xxh64_intdigest(hashes.tobytes(), SEED)
+    return v - (1 << 64) if v >> 63 else v
+
+
+def add_sets(docs: DataFrame, what: str | None = None, keep: Sequence[str] | None = None) -> DataFrame:
+    """``docs`` with ``fp``, the hash of the shingle set of ``text``, and its ``bands`` (with the set's ``size``) or ``shingles``."""
+
+    def start():
+        rng = np.random.default_rng(SEED)
+        times = rng.integers(1, 1 << 63, BANDS * BAND, dtype=np.uint64) | np.uint64(1)
+        fold = rng.integers(1, 1 << 63, (BANDS, BAND), dtype=np.uint64) | np.uint64(1)
+
+        def bands(hashes):
+            if not len(hashes):
+                return []
+            least = np.full(BANDS * BAND, ~np.uint64(0))
+            for at in range(0, len(hashes), SET_BLOCK):
+                np.minimum(least, (hashes[at : at + SET_BLOCK, None] * times).min(axis=0), out=least)
+            return (least.reshape(BANDS, BAND) * fold).sum(axis=1, dtype=np.uint64).view(np.int64).tolist()
+
+        def work(texts):
+            sets = [shingle_set(t) for t in texts]
+            more = {"bands": lambda: [[len(s) for s in sets], [bands(s) for s in sets]],
+                    "shingles": lambda: [[s.tobytes() for s in sets]]}
+            return [[set_id(s) for s in sets], *(more[what]() if what else [])]
+
+        return work
+
+    fields = {"bands": [T.StructField("size", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))],
+              "shingles": [T.StructField("shingles", T.BinaryType())]}
+    return add_columns(docs, ["text"], [T.StructField("fp", T.LongType()), *fields.get(what, [])], start, keep)
+
+
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) whose shingle sets have a Jaccard similarity of ``SIMILAR`` or more."""
+    up, down = SIMILAR
+
+    def judge(batches):
+        for batch in batches:
+            x, y = (batch.column(i).to_pylist() for i in (2, 3))
+            good = []
+            for i, (one, two) in enumerate(zip(x, y, strict=True)):
+                n = (len(one) + len(two)) // 8
+                if down * min(len(one), len(two)) >= up * max(len(one), len(two)):
+                    one, two = np.frombuffer(one, "<u8"), np.frombuffer(two, "<u8")
+                    both = len(np.intersect1d(one, two, assume_unique=True))
+                    if down * both >= up * (n - both):
+                        good.append(i)
+            yield batch.select([0, 1]).take(pa.array(good, pa.int64()))
+
+    first = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x"))
+    second = sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y"))
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(judge, "a long, b long")
+
+
+def similar_classes(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` -> one row per distinct shingle set: ``fp``, ``root`` and ``low`` (its smallest id)."""
+    prints = stored(add_sets(docs, "bands", ["doc_id"]), "sets")
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    entries = prints.groupBy("fp", "size").agg(F.first("bands").alias("bands")).select("fp", "size", F.posexplode("bands").alias("i", "band"))
+    entries = entries.select(F.xxhash64("i", "band").alias("key"), "fp", "size")
+    # Another member of each band leads, so that no text leads the bands of a whole group.
+    lead = entries.groupBy("key").agg(F.min_by("fp", F.xxhash64("fp", "key")).alias("lead"), F.count("*").alias("n"))
+    shared = stored(entries.join(lead.where("n > 1").drop("n"), "key"), "bands")
+    sets = stored(
+        add_sets(docs, "shingles", []).join(shared.select("fp").distinct(), "fp", "left_semi")
+        .groupBy("fp").agg(F.first("shingles").alias("shingles")),
+        "shingles",
+    )
+    pair = [F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")]
+    led = shared.where("fp <> lead").select(F.col("fp").alias("a"), F.col("lead").alias("b")).select(*pair).distinct()
+    good = stored(similar(led, sets), "similar")
+    roots = stored(star_edges(good), "roots")
+
+    rooted = shared.join(roots, shared["fp"] == roots["node"], "left").select("key", "fp", "size", F.coalesce("root", "fp").alias("root"))
+    rooted = stored(rooted, "rooted")
+    top = rooted.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", "count").alias("top"), F.count("*").alias("n"))
+    open_ = rooted.join(top.where("n > 1").drop("n"), "key")
+    one = open_.where("root <> top").select("key", *[F.col(c).alias(f"{c}_a") for c in ("fp", "size", "root")])
+    rest = (
+        one.join(open_, "key").where("root_a <> root and (root = top or fp_a < fp)")
+        .where(SIMILAR[1] * F.least("size_a", "size") >= SIMILAR[0] * F.greatest("size_a", "size"))
+        .select(F.col("fp_a").alias("a"), F.col("fp").alias("b")).select(*pair).distinct().join(led, ["a", "b"], "left_anti")
+    )
+    every = star_edges(good.union(stored(similar(rest, sets), "similar")))
+    return distinct.join(every, distinct["fp"] == every["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
+
+
+def keep_one_per_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` reduced to one row per class of similar texts, the same one as in ``keep_one_per_class``."""
+    packed = packed_rows(docs, id_col, text_col)
+    known = stored(similar_classes(packed.select("doc_id", "text")), "classes")
+    return winners(add_sets(packed, keep=["doc_id", "row"]), known)
