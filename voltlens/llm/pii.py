@@ -1,15 +1,15 @@
 """Personal data: information-theoretic sanitisation with DataFrame functions.
 
 Protected entities are the e-mail addresses, IP addresses, card and phone numbers in the texts.  Terms
-(words of ``TERM_LETTERS`` letters or more) near an entity may give it away.  How strongly they do is
+(words of ``TERM_LETTERS`` letters or more) in the documents of an entity may give it away.  How strongly they do is
 estimated from co-occurrence over all documents: with n documents, n(e), n(t) and n(e, t) of them holding the
-entity, the term and both within ``REACH`` characters,
+entity, the term and both anywhere,
 
     disclosure = PMI(e, t) / IC(e) = log(n n(e, t) / (n(e) n(t))) / log(n / n(e)),
 
 the share of the information about e that t reveals.  A term is generalised from ``GENERALISE`` on and removed
 from ``REMOVE`` on, in documents that hold the entity; ``SUPPORT`` different texts must show the pair, so a word that
-merely stands once next to a number is no term that gives it away.
+merely stands once in a text with a number is no term that gives it away.
 
 Texts that are copies are handled once, with their number as weight, and joined back by two text hashes.
 Counts per pair, entity and term combine before the shuffle.  Cases: null and empty texts have no spans;
@@ -55,7 +55,6 @@ BASE = (
 KINDS = ("email", "ip", "card", "phone", "term")
 TERM_LETTERS = 4
 TERM = Kind("term", rf"\p{{L}}{{{TERM_LETTERS},}}")
-REACH = 120
 SUPPORT = 3
 GENERALISE = 0.7
 REMOVE = 0.95
@@ -84,15 +83,10 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def surroundings(held: DataFrame) -> DataFrame:
-    """One row per text, entity and term near it: key, ``kind``, ``value``, ``term``, ``copies``."""
-    text = F.col("text")
-    one = held.select("k1", "k2", "text", "copies", F.explode("marks").alias("m"))
-    before = F.substr(text, F.greatest(F.lit(1), F.col("m.start") - REACH + 1).cast("int"), F.least(F.lit(REACH), F.col("m.start")).cast("int"))
-    after = F.substr(text, (F.col("m.end") + 1).cast("int"), F.lit(REACH))
-    near = F.array_union(terms(before), terms(after))
-    return one.select(
-        "k1", "k2", "copies", "m.kind", "m.value", F.explode(near).alias("term")
-    ).distinct()
+    """One row per text, entity and term in the text: key, ``kind``, ``value``, ``term``, ``copies``."""
+    named = F.array_distinct(F.transform("marks", lambda m: F.struct(m["kind"].alias("kind"), m["value"].alias("value"))))
+    one = held.select("k1", "k2", "copies", F.explode(named).alias("m"), terms(F.col("text")).alias("terms"))
+    return one.select("k1", "k2", "copies", "m.kind", "m.value", F.explode("terms").alias("term"))
 
 
 def disclosures(docs: DataFrame, held: DataFrame, near: DataFrame, *, text_col: str = "text", support: int = SUPPORT) -> DataFrame:
@@ -121,7 +115,7 @@ def disclosing_terms(
 ) -> DataFrame:
     """Per distinct text with such terms: key and ``term``, the spans (start, end, hit, ``disclosure``)."""
     held = stored(entities(docs, text_col), "entities")
-    near = stored(surroundings(held), "near")
+    near = surroundings(held)
     strong = disclosures(docs, held, near, text_col=text_col, support=support).where(F.col("disclosure") >= threshold)
     per_text = (
         near.join(strong, ["kind", "value", "term"]).groupBy("k1", "k2", "term")
