@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltlens.llm import ann, decontam, html, langid, lmscore, mixing, pii, quality, secrets, simhash
+from voltlens.llm import ann, decontam, dialogue, html, langid, lmscore, mixing, pieces, pii, quality, secrets, simhash
 from voltlens.llm.common import read_table
 from voltlens.llm.oracle import LLM_SQL as LLM_SQL
 
@@ -102,3 +102,18 @@ def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
     """Every page with its title and visible text."""
     return html.extract(read_table(spark, folder, "pages"), keep=["page_id", "url"])
+
+
+@register
+def op11_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document encoded and decoded with the public vocabulary of 32,000 pieces."""
+    import public_tokenizers
+
+    words = pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
+    return pieces.round_trip(read_table(spark, folder, "documents"), words, keep=["doc_id"])
+
+
+@register
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation, damaged and repaired by the cheapest edits."""
+    return dialogue.repair(dialogue.damage(read_table(spark, folder, "conversations")))
