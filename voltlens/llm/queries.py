@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltlens.llm import ann, decontam, dialogue, html, langid, lmscore, mixing, pieces, pii, quality, secrets, simhash
+from voltlens.llm import ann, decontam, dialogue, html, langid, lmscore, mixing, pieces, pii, quality, ranked, secrets, simhash
 from voltlens.llm.common import read_table
 from voltlens.llm.oracle import LLM_SQL as LLM_SQL
 
@@ -117,3 +117,9 @@ def op11_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     """Every conversation, damaged and repaired by the cheapest edits."""
     return dialogue.repair(dialogue.damage(read_table(spark, folder, "conversations")))
+
+
+@register
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The twenty best documents of every benchmark item."""
+    return ranked.search(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
