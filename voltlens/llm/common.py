@@ -57,26 +57,25 @@ def add_columns(
     fields: Sequence[T.StructField],
     start: Callable[[], Callable[..., list[Sequence]]],
     keep: Sequence[str] | None = None,
+    chunk_bytes: int = CHUNK_BYTES,
 ) -> DataFrame:
     """Append columns computed from ``inputs`` in Arrow batches, in one narrow stage.
 
     ``start`` runs once per task and returns the function for a chunk: it gets one list per input
     column (texts as ``bytes``, missing values as ``None``) and returns one sequence per field.
     Columns of ``df`` with the name of a new field are replaced; ``keep`` names the columns that
-    stay (default: all).
+    stay (default: all).  A column that is read and stays travels once.
     """
     new = {f.name.lower() for f in fields}
     stay = [
         f for f in df.schema.fields
         if f.name.lower() not in new and (keep is None or f.name in keep)
     ]
-    picked = [f"in{i}" for i in range(len(inputs))]
+    kept_at = {f.name: i for i, f in enumerate(stay)}
+    fresh = [c for c in dict.fromkeys(inputs) if c not in kept_at]
+    sources = [kept_at[c] if c in kept_at else len(stay) + fresh.index(c) for c in inputs]
     slim = df.select(
-        *(df[f.name].alias(f"keep{i}") for i, f in enumerate(stay)),
-        *(
-            df[c].cast("binary").alias(p) if df.schema[c].dataType == T.StringType() else df[c].alias(p)
-            for c, p in zip(inputs, picked, strict=True)
-        ),
+        *(df[f.name].alias(f"keep{i}") for i, f in enumerate(stay)), *(df[c].alias(f"in{i}") for i, c in enumerate(fresh))
     )
     kinds = [arrow_type(f.dataType) for f in fields]
     names = [f"keep{i}" for i in range(len(stay))] + [f"new{i}" for i in range(len(fields))]
@@ -88,8 +87,8 @@ def add_columns(
     def run(batches):
         work = start()
         for batch in batches:
-            for part in chunks(batch, len(stay)):
-                columns = [part.column(len(stay) + i).to_pylist() for i in range(len(picked))]
+            for part in chunks(batch, sources, chunk_bytes):
+                columns = [as_bytes(part.column(i)).to_pylist() for i in sources]
                 made = [pa.array(v, kind) for v, kind in zip(work(*columns), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(i) for i in range(len(stay))] + made, names=names
@@ -102,12 +101,28 @@ def add_columns(
     )
 
 
-def chunks(batch: pa.RecordBatch, first: int, limit: int = CHUNK_BYTES):
+def as_bytes(column: pa.Array) -> pa.Array:
+    """Texts as bytes, other columns as they are."""
+    if pa.types.is_string(column.type):
+        return column.cast(pa.binary())
+    return column.cast(pa.large_binary()) if pa.types.is_large_string(column.type) else column
+
+
+def chunks(batch: pa.RecordBatch, inputs: Sequence[int], limit: int = CHUNK_BYTES):
     """Slices of a batch whose input columns stay near ``limit`` bytes (one row at least)."""
-    rows = batch.num_rows
-    if not rows:
-        return
-    weight = sum(batch.column(i).nbytes for i in range(first, batch.num_columns))
-    step = max(1, min(rows, rows * limit // max(1, weight)))
-    for at in range(0, rows, step):
+    rows, at = batch.num_rows, 0
+    while at < rows:
+        weight = sum(batch.column(i).slice(at).nbytes for i in set(inputs))
+        step = max(1, min(rows - at, (rows - at) * limit // max(1, weight)))
+        while step > 1 and sum(batch.column(i).slice(at, step).nbytes for i in set(inputs)) > 2 * limit:
+            step //= 2
         yield batch.slice(at, step)
+        at += step
+
+
+def plain_names(docs: DataFrame, **named: str) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with columns c0, c1, ... that clash with nothing, but the ``named`` ones, and the columns that turn
+    such names back."""
+    own = {column: name for name, column in named.items()}
+    names = [own.get(c, f"c{i}") for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), [F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)]

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voltlens.llm.common import add_columns, stored, text_key
+from voltlens.llm.common import add_columns, plain_names, stored, text_key
 
 WINDOW = 10
 BLOCK_BYTES = 1_000_000
@@ -202,5 +202,5 @@ def scanner(items: Sequence[tuple[str, bytes]], window: int):
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` without any benchmark passage, columns as they came."""
-    packed = docs.select(docs[text_col].alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    return scan_documents(packed, benchmark, **options).where("n_hit = 0").select("row.*")
+    plain, back = plain_names(docs, text=text_col)
+    return scan_documents(plain, benchmark, **options).where("n_hit = 0").select(*back)

@@ -8,8 +8,8 @@ text does; labels are those of the documents the runs come from.
 
 The model is fitted on a bounded sample (``DOCS_PER_LANG`` documents per language, chosen by hash;
 ``SEQUENCES`` chains of ``CHAIN`` words); it has ``BUCKETS`` hashed weights per language.  Prediction
-covers whole texts in one narrow stage: emissions are computed once per distinct word of a task and
-the recursions run over all texts of a chunk side by side.
+covers whole texts in one narrow stage: emissions are computed for slices of words and remembered, and
+the recursions run over groups of texts side by side; neither grows with the number of different words.
 
 Cases: null, empty and letterless texts are ``und`` with score 0 and no words; without labelled
 documents everything is ``und``; ties go to the first language by code point.
@@ -21,14 +21,14 @@ import re
 from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from zlib import crc32
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voltlens.llm.common import add_columns
+from voltlens.llm.common import add_columns, plain_names
 
 BUCKETS = 1 << 16
 DOCS_PER_LANG = 300
@@ -37,7 +37,13 @@ CHAIN = 48
 EPOCHS = 4
 LEXICON_SHARE = 0.8
 LEXICON_COUNT = 3
-CACHE_WORDS = 300_000
+#: Words whose emissions a task remembers, computed for ``SLICE`` words at once.
+CACHE_WORDS = 200_000
+SLICE = 20_000
+#: Words that the recursions hold at once, but for a longer text.
+GROUP_WORDS = 100_000
+CHUNK_BYTES = 2 << 20
+MIX = np.uint64(0x9E3779B97F4A7C15)
 UNKNOWN = "und"
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -49,33 +55,57 @@ def words_of(text: bytes | None) -> list[str]:
     return found if any(c.isalpha() for w in found for c in w) else []
 
 
-def features(word: str, lexicon: dict[str, str]) -> list[int]:
-    """Hashed features of a word."""
-    s = f"^{word}$"
-    names = {s[:2], s[:3], s[:4], s[-2:], s[-3:], s[-4:]}
-    names.update(word)
-    names.update([word[i : i + 2] for i in range(len(word) - 1)])
-    names.update([word[i : i + 3] for i in range(len(word) - 2)])
-    if word in lexicon:
-        names.add("=" + lexicon[word])
-    return [crc32(n.encode("utf-8", "replace")) % BUCKETS for n in names]
+def features(words: Sequence[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of words, end to end, each once per word, and their number per word (at least one).
+
+    A word stands between two marks.  Its features are the grams of one to three letters inside it, the
+    grams of two to four that begin or end with a mark, and the lexicon that holds it.
+    """
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    starts = np.cumsum(sizes) - sizes
+    codes = np.frombuffer("".join([f"^{w}$" for w in words]).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    word = np.repeat(np.arange(len(words)), sizes)
+    at = np.arange(len(codes)) - starts[word]
+    size = sizes[word]
+    parts, gram = [], np.zeros(len(codes), np.uint64)
+    for n in (1, 2, 3, 4):
+        gram = (gram[: len(codes) - n + 1] + codes[n - 1 :] + np.uint64(n)) * MIX
+        gram ^= gram >> np.uint64(29)
+        place, room = at[: len(gram)], size[: len(gram)]
+        edge = (place == 0) | (place == room - n)
+        inside = (place > 0) & (place + n < room)
+        used = inside if n == 1 else edge & (place + n <= room) | inside if n < 4 else edge & (place + n <= room)
+        used = np.flatnonzero(used)
+        parts.append((word[used] << 16) | (gram[used] % np.uint64(BUCKETS)).astype(np.int64))
+    listed = [(i, lexicon[w]) for i, w in enumerate(words) if w in lexicon]
+    if listed:
+        numbers = np.array(listed, np.int64)
+        parts.append((numbers[:, 0] << 16) | numbers[:, 1])
+    found = np.unique(np.concatenate(parts))
+    return found & (BUCKETS - 1), np.bincount(found >> 16, minlength=len(words))
 
 
 @dataclass
 class Field:
-    """A fitted field: languages, hashed emission weights, transition scores, lexicon."""
+    """A fitted field: languages, hashed emission weights, transition scores, lexicon (language numbers)."""
 
     langs: list[str]
     weights: np.ndarray
     moves: np.ndarray
-    lexicon: dict[str, str] = field(default_factory=dict)
+    lexicon: dict[str, int] = field(default_factory=dict)
 
     def emissions(self, words: Sequence[str]) -> np.ndarray:
-        ids = [features(w, self.lexicon) for w in words]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for one in ids for i in one), np.int64, int(sizes.sum()))
-        starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        return np.add.reduceat(self.weights[flat], starts, axis=0) / np.sqrt(sizes)[:, None]
+        """Scores of words per language, and the share of their features that training has seen."""
+        flat, sizes = features(words, self.lexicon)
+        wide = self.wide[flat]
+        sums = np.add.reduceat(wide, np.cumsum(sizes) - sizes, axis=0)
+        sums[:, :-1] /= np.sqrt(sizes)[:, None]
+        sums[:, -1] /= sizes
+        return sums
+
+    @cached_property
+    def wide(self) -> np.ndarray:
+        return np.concatenate((self.weights, self.weights.any(axis=1)[:, None]), axis=1).astype(np.float32)
 
     def posteriors(self, scores: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Word posteriors of texts laid end to end (``sizes`` words each, at least one)."""
@@ -86,6 +116,7 @@ class Field:
         step = np.exp(self.moves)
         ahead = np.empty_like(local)
         last = None
+        step = step.astype(local.dtype)
         alive = np.searchsorted(-ordered, -np.arange(1, int(ordered[0]) + 1), side="right")
         for t, n in enumerate(alive):
             at = starts[:n] + t
@@ -93,11 +124,11 @@ class Field:
             now /= now.sum(axis=1, keepdims=True)
             ahead[at] = last = now
         result = np.empty_like(local)
-        back = np.empty((0, local.shape[1]))
+        back = np.empty((0, local.shape[1]), local.dtype)
         for t in range(len(alive) - 1, -1, -1):
             n, at = alive[t], starts[: alive[t]] + t
             if len(back) < n:
-                back = np.concatenate((back, np.ones((n - len(back), local.shape[1]))))
+                back = np.concatenate((back, np.ones((n - len(back), local.shape[1]), local.dtype)))
             both = ahead[at] * back
             result[at] = both / both.sum(axis=1, keepdims=True)
             back = (back * local[at]) @ step.T
@@ -119,7 +150,7 @@ def fit(samples: Sequence[tuple[str, bytes]], seed: int = 5) -> Field | None:
     for c in counts.values():
         total.update(c)
     lexicon = {
-        w: lang for lang in langs for w, n in counts[lang].items()
+        w: k for k, lang in enumerate(langs) for w, n in counts[lang].items()
         if n >= LEXICON_COUNT and n >= LEXICON_SHARE * total[w]
     }
     rng = np.random.default_rng(seed)
@@ -138,8 +169,8 @@ def fit(samples: Sequence[tuple[str, bytes]], seed: int = 5) -> Field | None:
             chains[row, at : at + run] = [number.setdefault(w, len(number)) for w in words[first : first + run]]
             labels[row, at : at + run] = label
             at += run
-    known = {w: lexicon[w] for w in number if w in lexicon}
-    ids = [np.array(features(w, known), np.int64) for w in number]
+    flat, sizes = features(list(number), lexicon)
+    ids = np.split(flat, np.cumsum(sizes)[:-1])
     model = Field(langs, np.zeros((BUCKETS, len(langs))), np.zeros((len(langs), len(langs))), lexicon)
     pace, pace_moves = np.full_like(model.weights, 1e-6), np.full_like(model.moves, 1e-6)
     eye = np.eye(len(langs))
@@ -209,30 +240,62 @@ def training_sample(
     return [(r["lang"], bytes(r["text"])) for r in rows.select("lang", F.col("text").cast("binary").alias("text")).collect()]
 
 
+class Emissions:
+    """Emissions of words, remembered for the words met lately."""
+
+    def __init__(self, model: Field):
+        self.model = model
+        self.places: dict[str, int] = {}
+        self.table = np.empty((CACHE_WORDS + SLICE, len(model.langs) + 1), np.float32)
+
+    def of(self, words: Sequence[str]) -> np.ndarray:
+        out = np.empty((len(words), self.table.shape[1]), np.float32)
+        for at in range(0, len(words), SLICE):
+            part = words[at : at + SLICE]
+            fresh = sorted(set(part).difference(self.places))
+            if fresh:
+                if len(self.places) + len(fresh) > len(self.table):
+                    self.places.clear()
+                    fresh = sorted(set(part))
+                first = len(self.places)
+                self.places.update(zip(fresh, range(first, first + len(fresh)), strict=True))
+                self.table[first : first + len(fresh)] = self.model.emissions(fresh)
+            out[at : at + len(part)] = self.table[[self.places[w] for w in part]]
+        return out
+
+
 def tagger(model: Field | None, finish):
-    """Chunk function: words and posteriors of each text, given to ``finish(text, words, posteriors)``."""
+    """Chunk function: words, posteriors and evidence (share of features seen in training) of each text, given to
+    ``finish(text, words, posteriors, evidence)``.
+
+    Texts are taken in groups of ``GROUP_WORDS`` words, so what is held at once does not depend on what the words are.
+    """
 
     def start():
-        cache: dict[str, int] = {}
-        table = np.empty((0, len(model.langs) if model else 0))
+        emissions = Emissions(model) if model else None
 
-        def work(texts):
-            nonlocal table
-            split = [words_of(t) if model else [] for t in texts]
-            fresh = sorted({w for words in split for w in words}.difference(cache))
-            if fresh:
-                if len(cache) + len(fresh) > CACHE_WORDS:
-                    cache.clear()
-                    table = table[:0]
-                    fresh = sorted({w for words in split for w in words})
-                cache.update(zip(fresh, range(len(cache), len(cache) + len(fresh)), strict=True))
-                table = np.concatenate((table, model.emissions(fresh)))
+        def group(texts, split):
             sizes = np.array([len(words) for words in split if words], np.int64)
             parts = iter(())
             if len(sizes):
-                ids = np.fromiter((cache[w] for words in split for w in words), np.int64, int(sizes.sum()))
-                parts = iter(np.split(model.posteriors(table[ids], sizes), np.cumsum(sizes)[:-1]))
-            made = [finish(t, words, next(parts) if words else None) for t, words in zip(texts, split, strict=True)]
+                scores = emissions.of([w for words in split for w in words])
+                cuts = np.cumsum(sizes)[:-1]
+                found = model.posteriors(scores[:, :-1], sizes)
+                parts = iter(zip(np.split(found, cuts), np.split(scores[:, -1], cuts), strict=True))
+            for text, words in zip(texts, split, strict=True):
+                yield finish(text, words, *(next(parts) if words else (None, None)))
+
+        def work(texts):
+            made, held, split, count = [], [], [], 0
+            for text in texts:
+                words = words_of(text) if model else []
+                if held and count + len(words) > GROUP_WORDS:
+                    made.extend(group(held, split))
+                    held, split, count = [], [], 0
+                held.append(text)
+                split.append(words)
+                count += len(words)
+            made.extend(group(held, split))
             return [list(column) for column in zip(*made, strict=True)]
 
         return work
@@ -243,17 +306,20 @@ def tagger(model: Field | None, finish):
 def identify(
     docs: DataFrame, model: Field | None, *, text_col: str = "text", keep: Sequence[str] | None = None
 ) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``, the mean posterior of that language over all words."""
+    """``docs`` with ``lang_pred``, ``score`` (the mean posterior of that language over all words) and ``evidence`` (the
+    mean share of the words' features that training has seen in any language)."""
 
-    def finish(text, words, posterior):
+    def finish(text, words, posterior, evidence):
         if posterior is None:
-            return UNKNOWN, 0.0
-        mean = posterior.mean(axis=0)
+            return UNKNOWN, 0.0, 0.0
+        mean = posterior.mean(axis=0, dtype=np.float64)
         best = int(mean.argmax())
-        return model.langs[best], min(1.0, float(mean[best]))
+        return model.langs[best], min(1.0, float(mean[best])), float(evidence.mean(dtype=np.float64))
 
-    fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    return add_columns(docs, [text_col], fields, tagger(model, finish), keep)
+    fields = [
+        T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("evidence", T.DoubleType()),
+    ]
+    return add_columns(docs, [text_col], fields, tagger(model, finish), keep, CHUNK_BYTES)
 
 
 def label_words(
@@ -261,7 +327,7 @@ def label_words(
 ) -> DataFrame:
     """``docs`` with ``words``: start, end (code points), language and posterior of every word."""
 
-    def finish(text, words, posterior):
+    def finish(text, words, posterior, _):
         if posterior is None:
             return ([],)
         original = text.decode("utf-8", "replace")
@@ -278,11 +344,15 @@ def label_words(
         T.StructField("start", T.LongType()), T.StructField("end", T.LongType()),
         T.StructField("lang", T.StringType()), T.StructField("posterior", T.DoubleType()),
     ])
-    return add_columns(docs, [text_col], [T.StructField("words", T.ArrayType(word))], tagger(model, finish), keep)
+    return add_columns(docs, [text_col], [T.StructField("words", T.ArrayType(word))], tagger(model, finish), keep, CHUNK_BYTES)
 
 
 def keep_identified(docs: DataFrame, model: Field | None, *, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose language is known with a score of ``least`` or more, columns as they came."""
-    packed = docs.select(docs[text_col].alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    found = identify(packed, model, keep=["row"])
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")
+    """The rows of ``docs`` with letters whose words look like any known language, columns as they came.
+
+    ``least`` is the mean share of known features a text needs; how the languages share a text does not matter,
+    so code-switched and short texts stay.
+    """
+    plain, back = plain_names(docs, text=text_col)
+    found = identify(plain, model)
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("evidence") >= least)).select(*back)

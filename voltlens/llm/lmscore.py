@@ -60,7 +60,7 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
             return made
 
         for batch in batches:
-            for part in chunks(batch, 0):
+            for part in chunks(batch, range(batch.num_columns)):
                 for text in part.column(0).to_pylist():
                     seen.update(words_of(text))
                 if len(seen) > FLUSH_WORDS:
@@ -172,7 +172,7 @@ def small_counts(coded: DataFrame, size: int, head: int) -> Model:
 
     def count(batches):
         for batch in batches:
-            for part in chunks(batch, 0, CODED_BYTES):
+            for part in chunks(batch, range(batch.num_columns), CODED_BYTES):
                 rows = [(t, m) for t, m in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if t]
                 every, target = (tally(x) if x else np.zeros(width, np.int64) for x in ([t for t, _ in rows], [t for t, m in rows if m]))
                 seen = np.flatnonzero(every)
@@ -244,7 +244,7 @@ def score(
         model = shared.value
         top = model.head.shape[2]
         for batch in batches:
-            for part in chunks(batch, 0, CODED_BYTES):
+            for part in chunks(batch, range(batch.num_columns), CODED_BYTES):
                 rows = []
                 for rid, ids, marked in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                     if ids:
@@ -261,7 +261,7 @@ def score(
 
     def open_pairs(batches):
         for batch in batches:
-            for part in chunks(batch, 0, CODED_BYTES):
+            for part in chunks(batch, range(batch.num_columns), CODED_BYTES):
                 columns = [[] for _ in BLOCK_COLUMNS]
                 for rid, ids, marked in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                     if ids:

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voltlens.llm.common import add_columns, stored
+from voltlens.llm.common import add_columns, plain_names, stored
 from voltlens.llm.components import star_edges
 
 SHINGLE = 3
@@ -166,17 +166,10 @@ def keep_one_per_class(
 
     Rows that repeat id and fingerprint leave one row, the first by the hash of all columns.
     """
-    packed = packed_rows(docs, id_col, text_col)
-    prints = stored(add_fingerprints(packed, keep=["doc_id"]), "prints")
+    plain, back = plain_names(docs, doc_id=id_col, text=text_col)
+    prints = stored(add_fingerprints(plain, keep=["doc_id"]), "prints")
     known = stored(classes(prints, bucket_rows), "classes")
-    return winners(add_fingerprints(packed, keep=["doc_id", "row"]), known)
-
-
-def packed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(
-        docs[id_col].alias("doc_id"), docs[text_col].alias("text"),
-        F.struct(*[docs[c] for c in docs.columns]).alias("row"),
-    )
+    return winners(add_fingerprints(plain).select("doc_id", "fp", F.struct(*back).alias("row")), known)
 
 
 def winners(rows: DataFrame, known: DataFrame) -> DataFrame:
@@ -292,6 +285,6 @@ def similar_classes(docs: DataFrame) -> DataFrame:
 
 def keep_one_per_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` reduced to one row per class of similar texts, the same one as in ``keep_one_per_class``."""
-    packed = packed_rows(docs, id_col, text_col)
-    known = stored(similar_classes(packed.select("doc_id", "text")), "classes")
-    return winners(add_sets(packed, keep=["doc_id", "row"]), known)
+    plain, back = plain_names(docs, doc_id=id_col, text=text_col)
+    known = stored(similar_classes(plain.select("doc_id", "text")), "classes")
+    return winners(add_sets(plain).select("doc_id", "fp", F.struct(*back).alias("row")), known)
