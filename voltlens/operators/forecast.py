@@ -1,7 +1,7 @@
 """Hourly load forecasts that feed their own predictions back.
 
 A station's newest 24 rows are folded into one row: its latest feature values
-and the array of its recent loads.  Every forecast hour is then one narrow
+and the array of its recent loads.  All forecast hours are then one narrow
 projection on that frame, whatever the number of stations.
 """
 
@@ -10,11 +10,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import LinearRegressionModel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voltlens.functions import require_columns
 from voltlens.functions.clock import wall_clock
 from voltlens.operators.keys import newest_rows
+from voltlens.operators.linear import LinearModel
+from voltlens.operators.trees import flatten
 from voltlens.session import cut_lineage
 
 # Fixed values of the forecast contract.
@@ -132,14 +135,66 @@ def _advance(state: DataFrame, features: Sequence[str]) -> DataFrame:
     return state.withColumns(updates)
 
 
+def _exported(model, features: Sequence[str]):
+    """The model as one expression of its features, where it has such a form: own models and pipelines of an
+    assembler and a linear or tree model."""
+    if hasattr(model, "column"):
+        return model
+    last = model.stages[-1] if getattr(model, "stages", None) else None
+    if len(getattr(model, "stages", ())) == 2 and pipeline_features(model) == list(features):
+        if isinstance(last, LinearRegressionModel):
+            return LinearModel(tuple(features), tuple(map(float, last.coefficients)), float(last.intercept))
+        return flatten(model, features)
+    return None
+
+
+def _folded(model, state: DataFrame, horizon: int, features: Sequence[str]) -> DataFrame:
+    """All hours in one projection per station: a fold over the hours carries the recent loads."""
+    lags = {name: lag for lag in LAGS for name in (f"load_lag_{lag}h", f"lag_{lag}h", f"lag_{lag}")}
+
+    def step(done: Column, number: Column) -> Column:
+        at = F.col("datetime") + F.make_dt_interval(F.lit(0), number)
+        weekend = F.weekday(at) >= 5
+        fresh = {
+            "hour": F.hour(at), "day": F.dayofmonth(at), "month": F.month(at), "weekday_number": F.weekday(at),
+            "is_weekend": weekend.cast("int"), "is_workday": (~weekend).cast("int"),
+        }
+        observed = done["observed"]
+
+        def value(name: str) -> Column:
+            if name in lags:
+                known = F.when(F.size(observed) >= lags[name], F.element_at(observed, -lags[name]))
+            else:
+                known = fresh.get(name, F.col(name))
+            return F.coalesce(known.cast("double"), F.lit(0.0))
+
+        guess = F.struct(model.column(value).alias("p"), _fallback(at, F.element_at(observed, -1)).alias("f"))
+        load = F.transform(F.array(guess), lambda g: F.when(
+            (g["p"] < FLOOR_KWH) & (g["f"] > 0), g["f"]).otherwise(F.greatest(F.lit(0.0), g["p"])))
+        return F.get(F.transform(load, lambda kwh: F.struct(
+            F.slice(F.concat(observed, F.array(kwh)), F.greatest(F.lit(-HISTORY_HOURS), -1 - F.size(observed)), F.lit(HISTORY_HOURS))
+            .alias("observed"),
+            F.concat(done["forecasts"], F.array(F.struct(
+                at.alias("datetime"), number.alias("horizon_hour"), kwh.alias("predicted_load_kwh")))).alias("forecasts"),
+        )), F.lit(0))
+
+    start = F.struct(
+        F.col("observed").alias("observed"),
+        F.array().cast("array<struct<datetime:timestamp_ntz,horizon_hour:int,predicted_load_kwh:double>>").alias("forecasts"),
+    )
+    folded = F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), start, step)
+    return state.select("station_id", folded["forecasts"].alias("forecasts")).select("station_id", F.inline("forecasts"))
+
+
 def model_forecast(
     model, data: DataFrame, horizon: int, features: Sequence[str], station_id=None, cut_every: int = 4
 ) -> DataFrame:
-    """Recursive forecast with a fitted pipeline.
+    """Recursive forecast with a fitted model.
 
-    Unknown features count as 0.  A prediction below the floor gives way to a
-    positive fallback.  The frame of station states is checkpointed every
-    ``cut_every`` hours so that the plan does not grow with the horizon.
+    Unknown features count as 0.  A prediction below the floor gives way to a positive fallback.
+    Linear and tree models become one expression and all hours one projection per station.  Other
+    models run hour by hour; the frame of station states is then checkpointed every ``cut_every``
+    hours so that the plan does not grow with the horizon.
     """
     if horizon <= 0:
         raise ValueError("horizon must be positive")
@@ -150,6 +205,9 @@ def model_forecast(
     computed = {f"{form}{lag}{unit}" for lag in LAGS for form, unit in (("load_lag_", "h"), ("lag_", "h"), ("lag_", ""))}
     carried = [name for name in features if name not in computed and name not in CALENDAR]
     require_columns(history, carried, "history")
+    exported = _exported(model, features)
+    if exported is not None:
+        return _folded(exported, _require_station(_states(history, carried), station_id), horizon, features)
     state = _states(history, carried).withColumn(
         "forecasts",
         F.array().cast("array<struct<datetime:timestamp_ntz,horizon_hour:int,predicted_load_kwh:double>>"),
@@ -224,7 +282,9 @@ def forecast_station(data: DataFrame, station_id, model=None, features: Sequence
 
 
 def pipeline_features(model) -> list[str]:
-    """Input columns of the assembler inside a fitted pipeline."""
+    """Input columns of a model of this library, or of the assembler inside a fitted pipeline."""
+    if hasattr(model, "column"):
+        return list(model.features)
     for stage in getattr(model, "stages", []):
         if stage.hasParam("inputCols"):
             return list(stage.getInputCols())

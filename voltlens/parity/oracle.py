@@ -606,6 +606,16 @@ def _distance(lat_a: str, lon_a: str, lat_b: str, lon_b: str) -> str:
 oracle("nearest_stations", f"""
 SELECT {_DEPOT}, round({_distance('30.3', '110.4', 'latitude', 'longitude')}, 6) AS distance_km
 FROM depots ORDER BY {_distance('30.3', '110.4', 'latitude', 'longitude')}, id LIMIT 5""")
+BASE["route_starts"] = """
+SELECT 30 + CAST(l_suppkey % 97 AS DOUBLE) * 0.01 AS latitude, 110 + CAST(l_suppkey % 89 AS DOUBLE) * 0.01 AS longitude,
+  count(*) AS routes FROM lineitem GROUP BY ALL"""
+BASE["route_distances"] = f"""
+SELECT r.latitude, r.longitude, r.routes, d.id, {_distance('r.latitude', 'r.longitude', 'd.latitude', 'd.longitude')} AS km
+FROM route_starts r, depots d"""
+oracle("nearest_stations_per_route", """
+SELECT round(latitude, 6) AS latitude, round(longitude, 6) AS longitude, routes, id, round(km, 6) AS distance_km,
+  CAST(row_number() OVER (PARTITION BY latitude, longitude ORDER BY km, id) AS INTEGER) AS rank
+FROM route_distances QUALIFY rank <= 5""")
 oracle("route_plausibility", f"""
 SELECT CASE WHEN m <= 0 THEN '路线距离无效' WHEN s <= 0 THEN '路线时长无效（不能为负或零）' WHEN line = '' THEN '路线缺少折线数据'
   WHEN m / 1000.0 + 0.5 < {_distance('a', 'b', 'c', 'd')} THEN '路线距离与起终点严重不符'
@@ -832,8 +842,8 @@ def _filled(alias: str, names: str, default: str = "0") -> str:
 _LAGS = ", ".join(
     f"lag(kwh, {n}) OVER (PARTITION BY station_id ORDER BY datetime) AS load_lag_{n}h" for n in (1, 2, 3, 24)
 )
-oracle("station_hour_features", f"""
-SELECT g.station_id, g.location_id, {time_text('g.datetime')} AS datetime, l.kwh AS energy_kwh,
+BASE["feature_rows"] = f"""
+SELECT g.station_id, g.location_id, g.datetime, l.kwh AS energy_kwh,
   {_filled('t', 'session_count charge_time_hrs completed_order_count interrupted_order_count failed_order_count')},
   CAST(hour(g.datetime) AS INTEGER) AS hour, CAST(day(g.datetime) AS INTEGER) AS day, CAST(month(g.datetime) AS INTEGER) AS month,
   CAST(isodow(g.datetime) - 1 AS INTEGER) AS weekday_number,
@@ -854,7 +864,8 @@ LEFT JOIN mix_by_hour m ON m.station_id = g.station_id AND m.datetime = g.dateti
 LEFT JOIN site_features s ON s.station_id = g.station_id
 LEFT JOIN fleet_features f ON f.station_id = g.station_id
 LEFT JOIN day_flags d ON d.date = CAST(g.datetime AS DATE)
-LEFT JOIN weather w ON w.location_id = g.location_id AND w.weather_time = g.datetime""")
+LEFT JOIN weather w ON w.location_id = g.location_id AND w.weather_time = g.datetime"""
+oracle("station_hour_features", f"SELECT * REPLACE ({time_text('datetime')} AS datetime) FROM feature_rows")
 _ALIASES = ", ".join(f"load_lag_{n}h AS lag_{n}h, load_lag_{n}h AS lag_{n}" for n in (1, 2, 3, 24))
 oracle("lag_features", f"""
 SELECT station_id, {time_text('datetime')} AS datetime, kwh AS energy_kwh, load_lag_1h, load_lag_2h, load_lag_3h, load_lag_24h, {_ALIASES}
@@ -1059,6 +1070,13 @@ FROM (SELECT d.*, s.score, {_distance('30.3', '110.4', 'd.latitude', 'd.longitud
 LEFT JOIN pile_totals ON sid = id""")
 
 
+oracle("recommended_stations_per_route", """
+SELECT round(latitude, 6) AS latitude, round(longitude, 6) AS longitude, routes, id, round(km, 6) AS distance_km, recommend_score,
+  CAST(row_number() OVER (PARTITION BY latitude, longitude ORDER BY recommend_score DESC, km, id) AS INTEGER) AS rank
+FROM (SELECT r.*, coalesce(floor(s.score / 10), -1) AS recommend_score FROM route_distances r
+  LEFT JOIN (SELECT station_id, score FROM scored WHERE status >= 1) s ON s.station_id = r.id) QUALIFY rank <= 5""")
+
+
 def _alerts(limit: str, kept: str) -> str:
     return f"""
 SELECT station_id, {time_text('datetime')} AS peak_time, round(load, 3) AS predicted_load,
@@ -1099,3 +1117,95 @@ oracle("select_best", "SELECT CAST(1 AS INTEGER) AS rank, model, mae, rmse, mape
 oracle("compare_models", """
 SELECT CAST(row_number() OVER (ORDER BY mae, model) AS INTEGER) AS rank, model, mae, rmse, mape, r2,
   CAST(row_number() OVER (ORDER BY mae, model) = 1 AS INTEGER) AS is_best FROM scores_by_model""")
+
+# ---- linear model ---------------------------------------------------------
+# Least squares by elimination in feature order; a feature that earlier ones explain gets the coefficient 0.
+
+_CALENDAR = "hour day month weekday_number is_weekend is_workday".split()
+_LAG_NAMES = [f"load_lag_{n}h" for n in (1, 2, 3, 24)]
+_MODEL = (
+    "hour day month weekday_number is_weekend is_holiday is_workday weather_type_code temperature_c humidity_pct precipitation_mm "
+    "wind_speed_mps visibility_km is_rain device_count facility_type_code electricity_price_cny_kwh service_fee_cny_kwh "
+    "station_status_code dc_fast_device_count ac_slow_device_count avg_rated_power_kw avg_connector_count avg_availability_rate "
+    "total_fault_count total_fault_minutes avg_health_score avg_output_power_kw avg_battery_capacity_kwh avg_vehicle_type_code "
+    "avg_member_level_code sedan_share suv_share mpv_share commercial_share bronze_share silver_share gold_share platinum_share"
+).split() + _LAG_NAMES
+_K = len(_MODEL)
+_ALL = [*_MODEL, "energy_kwh"]
+
+
+def _pair(i: int, j: int) -> str:
+    return f"sum(d{min(i, j)} * d{max(i, j)})"
+
+
+BASE["lin_rows"] = f"""
+SELECT station_id, location_id, datetime, {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _ALL)}
+FROM feature_rows WHERE {" AND ".join(f"{c} IS NOT NULL" for c in _ALL)}"""
+BASE["lin_places"] = "SELECT t, row_number() OVER (ORDER BY t) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT datetime AS t FROM lin_rows)"
+BASE["lin_parts"] = """
+SELECT r.*, CASE WHEN i < CAST(floor(n * 0.7) AS BIGINT) THEN 'train'
+  WHEN i < CAST(floor(n * 0.7) AS BIGINT) + CAST(floor(n * 0.15) AS BIGINT) THEN 'validation' ELSE 'test' END AS part
+FROM lin_rows r JOIN lin_places ON t = datetime"""
+BASE["lin_means"] = f"SELECT count(*) AS n, [{', '.join(f'avg({c})' for c in _ALL)}] AS a FROM lin_parts WHERE part = 'train'"
+BASE["lin_moments"] = f"""
+SELECT [{", ".join("[" + ", ".join(_pair(i, j) for j in range(_K + 1)) + "]" for i in range(_K))}] AS m,
+  [{", ".join(_pair(i, i) for i in range(_K + 1))}] AS s
+FROM (SELECT {", ".join(f"{c} - a[{i + 1}] AS d{i}" for i, c in enumerate(_ALL))} FROM lin_parts, lin_means WHERE part = 'train')"""
+BASE["lin_start"] = f"""
+SELECT list_transform(range(1, {_K + 1}), lambda i: list_transform(range(1, {_K + 2}), lambda j:
+    m[i][j] / (CASE WHEN s[i] > 0 THEN sqrt(s[i]) ELSE 1 END * CASE WHEN s[j] > 0 THEN sqrt(s[j]) ELSE 1 END))) AS m,
+  list_transform(range(1, {_K + 1}), lambda i: s[i] / n > 1e-12 * (1 + a[i] * a[i])) AS live
+FROM lin_moments, lin_means"""
+BASE["lin_solved"] = f"""
+SELECT m, used FROM (
+  WITH RECURSIVE e(i, m, live, used) AS (
+    SELECT CAST(1 AS BIGINT), m, live, CAST([] AS BOOLEAN[]) FROM lin_start
+    UNION ALL
+    SELECT i + 1, CASE WHEN live[i] AND m[i][i] > 1e-8 THEN
+        list_transform(range(1, {_K + 1}), lambda r: CASE WHEN r = i THEN list_transform(m[i], lambda v: v / m[i][i])
+          ELSE list_transform(range(1, {_K + 2}), lambda c: m[r][c] - m[r][i] * (m[i][c] / m[i][i])) END) ELSE m END,
+      live, list_append(used, live[i] AND m[i][i] > 1e-8)
+    FROM e WHERE i <= {_K})
+  SELECT * FROM e WHERE i = {_K + 1})"""
+BASE["lin_weights"] = f"""
+SELECT list_transform(range(1, {_K + 1}), lambda i:
+  CASE WHEN used[i] THEN m[i][{_K + 1}] * sqrt(s[{_K + 1}]) / sqrt(s[i]) ELSE 0.0 END) AS b FROM lin_solved, (SELECT s FROM lin_moments)"""
+BASE["lin_model"] = f"""
+SELECT b, a[{_K + 1}] - list_sum(list_transform(range(1, {_K + 1}), lambda i: b[i] * a[i])) AS c FROM lin_weights, lin_means"""
+oracle("linear_model_predictions", f"""
+SELECT station_id, location_id, {time_text('datetime')} AS datetime, energy_kwh,
+  round(c + {" + ".join(f"b[{i + 1}] * {f}" for i, f in enumerate(_MODEL))}, 3) AS prediction
+FROM lin_parts, lin_model WHERE part = 'test'""")
+BASE["lin_states"] = f"""
+SELECT station_id, last_hour, seen, idle, c + {" + ".join(
+    f"b[{i + 1}] * coalesce(CAST(newest.{f} AS DOUBLE), 0)" for i, f in enumerate(_MODEL) if f not in _CALENDAR + _LAG_NAMES)} AS fixed
+FROM (SELECT station_id, max(datetime) AS last_hour, list(energy_kwh ORDER BY datetime) AS seen,
+    arg_max(energy_kwh, datetime) <= 0 AS idle, arg_max(q, datetime) AS newest
+  FROM (SELECT *, q FROM feature_rows q QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY datetime DESC) <= 24) GROUP BY station_id), lin_model"""
+BASE["lin_profile"] = "SELECT station_id, hour AS hr, avg(energy_kwh) AS mean FROM feature_rows GROUP BY ALL"
+
+
+def _weight(name: str) -> str:
+    return f"b[{_MODEL.index(name) + 1}]"
+
+
+_AT = "s.last_hour + to_hours(CAST(f.h + 1 AS INTEGER))"
+oracle("model_forecast", f"""
+WITH rolled AS (
+  WITH RECURSIVE f(station_id, h, seen, load) AS (
+    SELECT station_id, CAST(0 AS INTEGER), seen, CAST(0 AS DOUBLE) FROM lin_states
+    UNION ALL
+    SELECT station_id, h, list_append(seen, load)[-24:], load FROM (
+      SELECT station_id, h, seen, CASE WHEN p < 0.05 AND back > 0 THEN back ELSE greatest(0.0, p) END AS load FROM (
+        SELECT f.station_id, CAST(f.h + 1 AS INTEGER) AS h, f.seen,
+          s.fixed + {_weight('hour')} * hour({_AT}) + {_weight('day')} * day({_AT}) + {_weight('month')} * month({_AT})
+          + {_weight('weekday_number')} * (isodow({_AT}) - 1) + {_weight('is_weekend')} * CAST(isodow({_AT}) >= 6 AS INTEGER)
+          + {_weight('is_workday')} * CAST(isodow({_AT}) < 6 AS INTEGER)
+          + {" + ".join(f"{_weight(f'load_lag_{n}h')} * coalesce(f.seen[-{n}], 0)" for n in (1, 2, 3, 24))} AS p,
+          greatest(0.0, CASE WHEN s.idle THEN coalesce(g.mean, 0.0) ELSE f.seen[-1] END) AS back
+        FROM f JOIN lin_states s ON s.station_id = f.station_id CROSS JOIN lin_model
+        LEFT JOIN lin_profile g ON g.station_id = f.station_id AND g.hr = hour({_AT})
+        WHERE f.h < 24)))
+  SELECT * FROM f WHERE h > 0)
+SELECT a.station_id, {time_text('s.last_hour + to_hours(a.h)')} AS datetime, a.h AS horizon_hour, round(a.load, 3) AS predicted_load_kwh
+FROM rolled a JOIN lin_states s ON s.station_id = a.station_id""")

@@ -22,6 +22,7 @@ from voltlens.operators import (
     kpis,
     metrics,
     models,
+    nearby,
     operations as ops,
     peaks,
     quality,
@@ -31,7 +32,7 @@ from voltlens.operators import (
 )
 from voltlens.parity.datasets import Dataset
 from voltlens.plans import training
-from voltlens.session import shared_folder
+from voltlens.session import shared_folder, written
 from voltlens.sources import RAW_COLUMNS, import_csv, read_part_csv, read_raw, write_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -884,6 +885,26 @@ def recommended_stations(d):
     )
 
 
+def _route_ends(d):
+    """Start points of the routes, with the number of routes from each."""
+    return d.routes.groupBy(F.col("origin_lat").alias("latitude"), F.col("origin_lng").alias("longitude")).agg(
+        F.count("*").alias("routes"))
+
+
+@query
+def nearest_stations_per_route(d):
+    return rounded(nearby.nearest_stations_of(_route_ends(d), d.op_stations, 5), latitude=6, longitude=6, distance_km=6)
+
+
+@query
+def recommended_stations_per_route(d):
+    scores = recommend.recommend_low_load(*_scoring_inputs(d), top_n=None)
+    # Whole scores tie often, so that distance decides.
+    whole = scores.select("station_id", F.floor(F.col("score") / 10).cast("double").alias("score"))
+    found = nearby.recommended_stations_of(_route_ends(d), d.op_stations, whole, 5)
+    return rounded(found, latitude=6, longitude=6, distance_km=6)
+
+
 @query
 def detect_peaks(d):
     load = features.historical_load(d.orders).selectExpr("station_id", "datetime", "energy_kwh AS load")
@@ -990,40 +1011,31 @@ def select_best(d):
     return rounded(metrics.select_best(scores, "r_squared"), mae=6, rmse=6, mape=4, r2=6)
 
 
-MODEL_FEATURES = ("hour", "weekday_number", "device_count", "load_lag_1h", "load_lag_2h", "load_lag_24h")
-
-
 def _training_rows(d):
-    keep = ("station_id", "datetime", "energy_kwh", *MODEL_FEATURES)
-    return features.station_hour_dataset(d.tables()).select(*keep)
+    """The whole feature table, written once: fitting and forecasting read it several times."""
+    table = features.select_features(features.station_hour_dataset(d.tables()))
+    return written(rounded(table, **{n: 6 for n, kind in table.dtypes if kind == "double"}), "features")
 
 
 @query
 def linear_model_predictions(d):
-    trained = models.train_model(_training_rows(d), "linear_regression", MODEL_FEATURES)
-    return rounded(trained.predictions, prediction=6)
+    return rounded(models.train_model(_training_rows(d), "linear_regression").predictions, prediction=3)
 
 
 @query
 def forest_model_predictions(d):
-    trained = models.train_model(
-        _training_rows(d), "random_forest", MODEL_FEATURES, weight=40.0, numTrees=10, maxDepth=6
-    )
+    trained = models.train_model(_training_rows(d), "random_forest", weight=40.0)
     return rounded(trained.predictions, prediction=6)
 
 
 @query
 def boosted_model_predictions(d):
-    trained = models.train_model(
-        _training_rows(d), "boosted_trees", MODEL_FEATURES, weight=40.0, maxIter=5, maxDepth=4
-    )
+    trained = models.train_model(_training_rows(d), "histogram_trees", weight=40.0)
     return rounded(trained.predictions, prediction=6)
 
 
 @query
 def model_forecast(d):
     rows = _training_rows(d)
-    trained = models.train_model(rows, "linear_regression", MODEL_FEATURES)
-    return rounded(
-        forecast.model_forecast(trained.model, rows, 6, MODEL_FEATURES), predicted_load_kwh=6
-    )
+    trained = models.train_model(rows, "linear_regression")
+    return rounded(forecast.forecast_24h(rows, trained.model, trained.features), predicted_load_kwh=3)
