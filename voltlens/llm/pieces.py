@@ -2,7 +2,7 @@
 
 Merging pairs by score gives every text, and so every prefix of a text, one encoding.  The prefix of
 length e ends in the one piece t that is compatible with the last piece of the prefix before t: the
-two, put together, merge to themselves.  So the encoder keeps one table, the length of the last piece
+two, put together, merge to themselves, which a replay of their merges side by side decides.  So the encoder keeps one table, the length of the last piece
 of every prefix.  The pieces that end at e come from an automaton over the vocabulary, the pair test
 is remembered, and the ids are read off the table from its end.  Time is linear in the text whatever
 it holds, also for a text without any space.
@@ -27,6 +27,7 @@ import hashlib
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 from itertools import chain
 
 import ahocorasick
@@ -37,10 +38,12 @@ from pyspark.sql import types as T
 from voltlens.llm.common import add_columns
 
 SPACE = "▁"
-#: Stretches, and pairs of pieces, that a task remembers; both start anew when full.
-MEMORY = 300_000
+#: Stretches and pairs of pieces that a worker remembers: of stretches two generations, the elder dropped when the
+#: younger is full.
+MEMORY = 250_000
 #: Longer stretches are encoded each time.
 LONG = 64
+NEVER = float("-inf")
 UNKNOWN_TEXT = " ⁇ "
 LOST = "�".encode()
 
@@ -57,20 +60,39 @@ class Vocabulary:
     size: int
     stable: list[str] = field(default_factory=list)
 
+    @cached_property
+    def digest(self) -> str:
+        return hashlib.sha256(repr((self.scores, self.bytes_ids, self.unknown, sorted(self.control))).encode()).hexdigest()
+
     def merge(self, text: str) -> list[str]:
         """Best pair first, leftmost among equals: the definition of the encoding."""
         parts = list(text)
         while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                score = self.scores.get(parts[i] + parts[i + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, i
+            at = self.best(parts)[1]
             if at < 0:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def best(self, parts: list[str]) -> tuple[float, int]:
+        """Score and place of the next merge."""
+        best, at = NEVER, -1
+        for i in range(len(parts) - 1):
+            score = self.scores.get(parts[i] + parts[i + 1])
+            if score is not None and score > best:
+                best, at = score, i
+        return best, at
+
+    def merges(self, text: str) -> list[tuple[float, str, str]]:
+        """Before every merge, and at the end: score of the merge, first and last part."""
+        parts, steps = list(text), []
+        while True:
+            score, at = self.best(parts)
+            steps.append((score, parts[0], parts[-1]))
+            if at < 0:
+                return steps
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
 
 def load(path: str) -> Vocabulary:
     """The vocabulary of a model file, read on the driver."""
@@ -93,6 +115,7 @@ def load(path: str) -> Vocabulary:
     bytes_ids = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)] if raw else []
     words = Vocabulary(pieces, scores, bytes_ids, model.unk_id(), control, size)
     words.stable = [p for p in pieces if words.merge(p) == [p]]
+    assert words.digest  # worked out once, here; it travels with the vocabulary
     return words
 
 
@@ -102,9 +125,10 @@ class Codec:
     def __init__(self, words: Vocabulary):
         self.words = words
         self.ending = ahocorasick.Automaton()
-        for piece in words.stable:
+        self.longer = [p for p in words.stable if len(p) > 1]
+        for piece in self.longer:
             self.ending.add_word(piece, len(piece))
-        if words.stable:
+        if self.longer:
             self.ending.make_automaton()
         joined = sorted({c for p in words.pieces if len(p) > 1 for c in p})
         inner = "".join(re.escape(c) for c in joined if c != SPACE)
@@ -116,7 +140,9 @@ class Codec:
         else:
             self.cut = re.compile(f"{SPACE}+|.", re.S)
         self.known: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.old: dict[str, tuple[tuple[int, ...], str]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.histories: dict[str, list[tuple[float, str, str]]] = {}
         self.prints = [b""] * words.size
         for piece, i in words.pieces.items():
             self.prints[i] = piece.replace(SPACE, " ").encode()
@@ -126,6 +152,29 @@ class Codec:
         self.raw = frozenset(words.bytes_ids)
         self.leading = frozenset(i for p, i in words.pieces.items() if p.startswith(SPACE))
 
+    def history(self, piece: str) -> list[tuple[float, str, str]]:
+        """The merges that make a piece: score of the next merge, first and last part before it."""
+        known = self.histories.get(piece)
+        if known is None:
+            known = self.histories[piece] = self.words.merges(piece) if piece in self.words.pieces else [(NEVER, piece, piece)]
+        return known
+
+    def compatible(self, left: str, right: str) -> bool:
+        """Replays the merges of both pieces side by side; the pair fails if a merge across them comes first."""
+        a, b, scores = self.history(left), self.history(right), self.words.scores
+        i = j = 0
+        while True:
+            x, y = a[i][0], b[j][0]
+            across = scores.get(a[i][2] + b[j][1])
+            if across is not None and across > x and across >= y:
+                return False
+            if x >= y:
+                if x == NEVER:
+                    return True
+                i += 1
+            else:
+                j += 1
+
     def fits(self, left: str, right: str) -> bool:
         """Two pieces that, put together, stay these two pieces."""
         pair = (left, right)
@@ -133,25 +182,23 @@ class Codec:
         if known is None:
             if len(self.pairs) >= MEMORY:
                 self.pairs.clear()
-            known = self.pairs[pair] = self.words.merge(left + right) == [left, right]
+            known = self.pairs[pair] = self.compatible(left, right)
         return known
 
     def last_pieces(self, text: str) -> list[int]:
-        """The length of the last piece of every prefix, by its end."""
+        """The length of the last piece of every prefix, by its end; 0 stands for one character."""
         last = [0] * (len(text) + 1)
-        ends: list[list[int]] = [[] for _ in text]
-        if self.words.stable:
-            for end, size in self.ending.iter(text):
-                if size > 1:
-                    ends[end].append(size)
-        for end in range(1, len(text) + 1):
-            for size in ends[end - 1]:
+        known = self.pairs.get
+        for end, size in self.ending.iter(text) if self.longer else ():
+            end += 1
+            if not last[end]:
                 start = end - size
-                if not start or self.fits(text[start - last[start] : start], text[start:end]):
-                    last[end] = size
-                    break
-            else:
-                last[end] = 1
+                if start:
+                    left, right = text[start - (last[start] or 1) : start], text[start:end]
+                    fits = known((left, right))
+                    if not (self.fits(left, right) if fits is None else fits):
+                        continue
+                last[end] = size
         return last
 
     def stretch(self, text: str) -> tuple[int, ...]:
@@ -159,7 +206,8 @@ class Codec:
         found: list[int] = []
         end = len(text)
         while end:
-            piece = text[end - last[end] : end]
+            size = last[end] or 1
+            piece = text[end - size : end]
             number = self.words.pieces.get(piece)
             if number is not None:
                 found.append(number)
@@ -167,23 +215,25 @@ class Codec:
                 found.extend(self.words.bytes_ids[b] for b in reversed(piece.encode("utf-8", "replace")))
             elif not found or found[-1] != self.words.unknown:
                 found.append(self.words.unknown)
-            end -= last[end]
+            end -= size
         return tuple(reversed(found))
 
     def stretches(self, text: str) -> list[tuple[tuple[int, ...], str]]:
         """Ids of the stretches of a text, each with its listing."""
         if not text:
             return []
-        known, made = self.known, []
+        made = []
         for part in self.cut.findall(SPACE + text.replace(" ", SPACE)):
-            one = known.get(part)
+            one = self.known.get(part)
             if one is None:
-                ids = self.stretch(part)
-                one = ids, ",".join(map(str, ids))
+                one = self.old.get(part)
+                if one is None:
+                    ids = self.stretch(part)
+                    one = ids, ",".join(map(str, ids))
                 if len(part) <= LONG:
-                    if len(known) >= MEMORY:
-                        known.clear()
-                    known[part] = one
+                    if len(self.known) >= MEMORY:
+                        self.known, self.old = {}, self.known
+                    self.known[part] = one
             made.append(one)
         return made
 
@@ -236,6 +286,17 @@ class Codec:
         return b"".join(done)
 
 
+_CODECS: dict[str, Codec] = {}
+
+
+def codec_of(words: Vocabulary) -> Codec:
+    """The codec of a vocabulary, built once per Python worker and kept for its next tasks."""
+    if words.digest not in _CODECS:
+        _CODECS.clear()
+        _CODECS[words.digest] = Codec(words)
+    return _CODECS[words.digest]
+
+
 def clear(text: bytes | None) -> str:
     return text.decode("utf-8", "replace") if text else ""
 
@@ -246,7 +307,7 @@ def encode(
     """``docs`` with ``to``, the ids of ``text_col``; a column of that name is replaced."""
 
     def start():
-        codec = Codec(words)
+        codec = codec_of(words)
         return lambda texts: [[codec.encode(clear(t)) for t in texts]]
 
     return add_columns(docs, [text_col], [T.StructField(to, T.ArrayType(T.IntegerType()))], start, keep)
@@ -258,7 +319,7 @@ def decode(
     """``df`` with ``to``, the text of ``ids_col`` (null: empty); a column of that name is replaced."""
 
     def start():
-        codec = Codec(words)
+        codec = codec_of(words)
         return lambda ids: [[codec.decode(i or ()).decode("utf-8") for i in ids]]
 
     return add_columns(df, [ids_col], [T.StructField(to, T.StringType())], start, keep)
@@ -273,7 +334,7 @@ def round_trip(
     """
 
     def start():
-        codec = Codec(words)
+        codec = codec_of(words)
 
         def work(texts):
             counts, ids_hash, text_hash = [], [], []
