@@ -280,21 +280,28 @@ def search(
             if tree is None or not len(m):
                 continue
             rows = []
-            for q, own, unit in zip(part["vector"], part["first"], m / np.linalg.norm(m, axis=1, keepdims=True), strict=True):
+            for q, first, own, unit in zip(part["vector"], part["first"], part["own"], m / np.linalg.norm(m, axis=1, keepdims=True), strict=True):
                 by_block: dict[int, list[int]] = {}
                 for leaf in tree.visit(unit, visits):
                     for block in range(first_block[leaf], first_block[leaf] + parts[leaf]):
                         by_block.setdefault(block, []).append(leaf)
-                rows.extend((own, q, block, mine) for block, mine in by_block.items())
-            yield pd.DataFrame(rows, columns=["first", "query", "block", "leaves"])
-
-    distinct = queries.groupBy("vector").agg(F.min("vec_id").alias("first"))
+                rows.extend((first, own, q, block, mine) for block, mine in by_block.items())
+            yield pd.DataFrame(rows, columns=["first", "own", "query", "block", "leaves"])
+
+    # Equal vectors are searched once, and the one row under a query's own id goes afterwards.  An id with
+    # several vectors is searched for itself, its own rows left out from the start.
+    crowded = heads.groupBy("vec_id").count().where("count > 1").select("vec_id", F.col("vec_id").cast("string").alias("own"))
+    named = queries.select("vec_id", "vector").distinct().join(crowded, "vec_id", "left").select(
+        F.col("vec_id").alias("query_id"), "vector", "own",
+        F.concat_ws(":", F.xxhash64("vector"), F.xxhash64(F.lit("voltlens"), "vector"), "own").alias("first"))
+    named = stored(named, "named")
+    distinct = named.select("vector", "own", "first").distinct()
     wanted = stored(
-        distinct.mapInPandas(leaves, "first long, query array<double>, block long, leaves array<long>"), "asked"
+        distinct.mapInPandas(leaves, "first string, own string, query array<double>, block long, leaves array<long>"), "asked"
     )
     slices = wanted.groupBy("block").agg(F.ceil(F.count("*") / block_queries).alias("slices"))
     asked = wanted.join(slices, "block").select(
-        "block", F.pmod(F.xxhash64("first"), F.col("slices")).alias("slice"), "first", "query", "leaves"
+        "block", F.pmod(F.xxhash64("first"), F.col("slices")).alias("slice"), "first", "own", "query", "leaves"
     )
     rows = placed.join(slices, "block").select(
         "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), "leaf", "vec_id", "vector"
@@ -304,22 +311,24 @@ def search(
         import pandas as pd
 
         q, r = matrix(left["query"]), matrix(right["vector"])
-        ids, own, leaf = right["vec_id"].to_numpy(), left["first"].to_numpy(), right["leaf"].to_numpy()
+        ids, first, leaf = right["vec_id"].to_numpy(), left["first"].to_numpy(), right["leaf"].to_numpy()
         kinds, place = np.unique(leaf, return_inverse=True)
         open_ = np.stack([np.isin(kinds, x)[place] for x in left["leaves"]]) if len(q) else None
+        for i, own in enumerate(left["own"]):
+            if own is not None:
+                open_[i] &= ids != int(own)
         found = [
-            (int(own[at + i]), int(ids[j]), s)
+            (first[at + i], int(ids[j]), s)
             for at in range(0, len(q) if len(r) else 0, 256)
             for i, j, s in nearest(q[at : at + 256], r, ids, k + 1, open_=open_[at : at + 256])
         ]
         return pd.DataFrame(found, columns=["first", "vec_id", "score"])
 
     hits = asked.groupBy("block", "slice").cogroup(rows.groupBy("block", "slice")).applyInPandas(
-        block, "first long, vec_id long, score double"
+        block, "first string, vec_id long, score double"
     )
     best = Window.partitionBy("first").orderBy(F.desc("score"), "vec_id")
     short = hits.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n")
-    named = queries.select(F.col("vec_id").alias("query_id"), "vector").distinct().join(distinct, "vector")
     found = named.select("query_id", "first").join(short, "first").where("query_id <> vec_id")
     last = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).select(
