@@ -258,31 +258,32 @@ def damage(rows: DataFrame, *, conv_col="conv_id", turn_col="turn", role_col="ro
 
 
 def prepared(rows: DataFrame) -> DataFrame:
-    """Counted rows with fault and repeat flags, keys without nulls."""
+    """Counted rows with fault and repeat flags, keys without nulls; dropped rows count 0."""
     gone = F.col("gone")
     keyed = rows.select(
         "conv_id", F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("c"), F.col("conv_id").isNull().alias("cn"),
         F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("turn").cast("long"), F.lit(0)).alias("t"),
         F.col("turn").isNotNull().alias("tn"),
         F.when(gone, "").otherwise(F.coalesce("role", F.lit(" "))).alias("role"),
-        F.when(gone, "").otherwise(F.coalesce("text", F.lit(" "))).alias("text"), "n", "gone",
+        F.when(gone, "").otherwise(F.coalesce("text", F.lit(" "))).alias("text"),
+        F.when(gone, 0).otherwise(F.col("n")).cast("long").alias("n"),
     )
     keyed = keyed.select("*", *text_key(F.col("text")))
-    same = ["c", "cn", "tn", "t", "gone", "role", "k1", "k2"]
+    same = ["c", "cn", "tn", "t", "role", "k1", "k2"]
     counted = keyed.groupBy(*same).agg(
         F.max("conv_id").alias("conv_id"), F.max("text").alias("text"), F.sum("n").alias("n"), F.max("turn").alias("turn")
     )
     kind = ["c", "cn", "role", "k1", "k2"]
     place = F.struct("tn", "t")
-    slim = keyed.where(~gone).select(*kind, "tn", "t").groupBy(*kind, "tn", "t").agg(F.lit(1).alias("one"))
+    slim = keyed.where("n > 0").select(*kind, "tn", "t").groupBy(*kind, "tn", "t").agg(F.lit(1).alias("one"))
     first = slim.groupBy(*kind).agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1")
     later = (
         slim.join(first, kind).where(place > F.col("first")).select(*kind, "tn", "t")
-        .select("*", F.lit(False).alias("gone"), F.lit(True).alias("repeated"))
+        .withColumn("repeated", F.lit(True))
     )
     rest = F.rtrim("text", F.lit(BLANKS))
     return counted.join(later, same, "left").select(
-        "conv_id", "c", "cn", "tn", "t", "turn", "gone", "role", "k1", "k2", "text", "n",
+        "conv_id", "c", "cn", "tn", "t", "turn", "role", "k1", "k2", "text", "n",
         F.coalesce("repeated", F.lit(False)).alias("repeated"),
         F.when(rest == "", 1).when(F.right(rest, F.lit(1)).isin(".", "!", "?"), 0).otherwise(2).alias("fault"),
     )
@@ -337,13 +338,13 @@ def streamed(ordered: DataFrame, id_type: T.DataType) -> DataFrame:
         key, piece, seq, first = None, Piece(), 0, True
         for batch in batches:
             columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-            for conv, c, cn, turn, gone, role, text, n, fault, repeated in zip(*columns, strict=True):
+            for conv, c, cn, turn, role, text, n, fault, repeated in zip(*columns, strict=True):
                 if key is None or (c, cn) != key[1:]:
                     if key is not None:
                         emit(key, piece, seq, first or seq > 0)
                         first = False
                     key, piece, seq = (conv, c, cn), Piece(), 0
-                while not gone and n:
+                while n:
                     if piece.full():
                         emit(key, piece, seq, True)
                         piece, seq = Piece(), seq + 1
@@ -357,7 +358,7 @@ def streamed(ordered: DataFrame, id_type: T.DataType) -> DataFrame:
         if ready:
             yield packed()
 
-    columns = ["conv_id", "c", "cn", "turn", "gone", "role", "text", "n", "fault", "repeated"]
+    columns = ["conv_id", "c", "cn", "turn", "role", "text", "n", "fault", "repeated"]
     return ordered.select(*columns).mapInArrow(run, schema)
 
 
