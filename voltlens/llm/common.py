@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -85,7 +87,12 @@ def add_columns(
     )
 
     def run(batches):
-        work = start()
+        try:
+            yield from computed(batches, start())
+        finally:
+            give_back()
+
+    def computed(batches, work):
         for batch in batches:
             for part in chunks(batch, sources, chunk_bytes):
                 columns = [as_bytes(part.column(i)).to_pylist() for i in sources]
@@ -101,6 +108,15 @@ def add_columns(
     )
 
 
+def give_back() -> None:
+    """Hand freed memory of a Python worker back to the system, since workers live on between tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def as_bytes(column: pa.Array) -> pa.Array:
     """Texts as bytes, other columns as they are."""
     if pa.types.is_string(column.type):

@@ -41,7 +41,9 @@ LEXICON_COUNT = 3
 CACHE_WORDS = 200_000
 SLICE = 20_000
 #: Words that the recursions hold at once, but for a longer text.
-GROUP_WORDS = 100_000
+GROUP_WORDS = 200_000
+#: Words of a text that the recursions take one after the other.
+SEGMENT = 128
 CHUNK_BYTES = 2 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 UNKNOWN = "und"
@@ -108,33 +110,64 @@ class Field:
         return np.concatenate((self.weights, self.weights.any(axis=1)[:, None]), axis=1).astype(np.float32)
 
     def posteriors(self, scores: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Word posteriors of texts laid end to end (``sizes`` words each, at least one)."""
-        order = np.argsort(-sizes, kind="stable")
-        starts = (np.cumsum(sizes) - sizes)[order]
-        ordered = sizes[order]
+        """Word posteriors of texts laid end to end (``sizes`` words each, at least one).
+
+        Texts are cut into segments of ``SEGMENT`` words, which run side by side.  A segment multiplies the message
+        that enters it by one matrix; the matrices of a text, taken in turn, give the messages at all cuts.
+        """
         local = np.exp(scores - scores.max(axis=1, keepdims=True))
-        step = np.exp(self.moves)
-        ahead = np.empty_like(local)
-        last = None
-        step = step.astype(local.dtype)
-        alive = np.searchsorted(-ordered, -np.arange(1, int(ordered[0]) + 1), side="right")
+        step = np.exp(self.moves).astype(local.dtype)
+        parts = -(-sizes // SEGMENT)
+        first = np.cumsum(parts) - parts
+        text = np.repeat(np.arange(len(sizes)), parts)
+        place = np.arange(len(text)) - first[text]
+        lengths = np.minimum(SEGMENT, sizes[text] - place * SEGMENT)
+        starts = (np.cumsum(sizes) - sizes)[text] + place * SEGMENT
+        before, after = np.ones((2, len(text), local.shape[1]), local.dtype)
+        if len(text) > len(sizes):
+            maps = self.segment_maps(local, step, starts, lengths, place)
+            for n in range(1, int(parts.max())):
+                at = first[parts > n] + n
+                before[at] = unit(np.einsum("sk,skj->sj", before[at - 1], maps[at - 1]))
+            for n in range(int(parts.max()) - 1, 0, -1):
+                at = first[parts > n] + n
+                after[at - 1] = unit(np.einsum("skj,sj->sk", maps[at], after[at]))
+        order = np.argsort(-lengths, kind="stable")
+        starts, lengths, before, after = starts[order], lengths[order], before[order], after[order]
+        opens = (place == 0)[order][:, None]
+        alive = np.searchsorted(-lengths, -np.arange(1, int(lengths[0]) + 1), side="right")
+        ahead, last = np.empty_like(local), before
         for t, n in enumerate(alive):
             at = starts[:n] + t
-            now = local[at] if last is None else (last[:n] @ step) * local[at]
-            now /= now.sum(axis=1, keepdims=True)
-            ahead[at] = last = now
-        result = np.empty_like(local)
-        back = np.empty((0, local.shape[1]), local.dtype)
+            moved = last[:n] @ step
+            ahead[at] = last = unit(local[at] * (np.where(opens[:n], 1, moved) if t == 0 else moved))
+        result, back = np.empty_like(local), after[: alive[-1]]
         for t in range(len(alive) - 1, -1, -1):
             n, at = alive[t], starts[: alive[t]] + t
             if len(back) < n:
-                back = np.concatenate((back, np.ones((n - len(back), local.shape[1]), local.dtype)))
-            both = ahead[at] * back
-            result[at] = both / both.sum(axis=1, keepdims=True)
-            back = (back * local[at]) @ step.T
-            back /= back.sum(axis=1, keepdims=True)
+                back = np.concatenate((back, after[len(back) : n]))
+            result[at] = unit(ahead[at] * back)
+            back = unit((back * local[at]) @ step.T)
         return result
 
+    @staticmethod
+    def segment_maps(local, step, starts, lengths, place) -> np.ndarray:
+        """For every segment the matrix from the message before it to the message at its end, up to a factor."""
+        k = local.shape[1]
+        order = np.argsort(-lengths, kind="stable")
+        maps = np.where((place == 0)[order][:, None, None], np.eye(k, dtype=local.dtype), step) * local[starts[order]][:, None, :]
+        for t in range(1, int(lengths[order[0]])):
+            n = int(np.searchsorted(-lengths[order], -(t + 1), side="right"))
+            now = (maps[:n] @ step) * local[starts[order[:n]] + t][:, None, :]
+            maps[:n] = now / now.sum(axis=(1, 2), keepdims=True)
+        out = np.empty_like(maps)
+        out[order] = maps
+        return out
+
+
+def unit(rows: np.ndarray) -> np.ndarray:
+    return rows / rows.sum(axis=1, keepdims=True)
+
 
 def fit(samples: Sequence[tuple[str, bytes]], seed: int = 5) -> Field | None:
     """Fit a field on ``(language, text)`` pairs by stochastic gradient ascent of the likelihood."""
