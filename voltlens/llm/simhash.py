@@ -23,9 +23,10 @@ The stage of the pipeline (``keep_one_per_similar``) has a setting of its own: t
 similarity of ``SIMILAR`` = 0.8 or more of their sets of five-word shingles.  A Hamming radius for that is too wide to
 search, so candidates come from ``BANDS`` bands of ``BAND`` minima of hashed shingles, and every candidate is judged by
 its exact shingle sets (64-bit hashes of shingles).  A pair of similarity 0.8 shares no band with probability
-(1 - 0.8^5)^32 = 3e-6, a closer one less often.  The members of a band are first judged against one of them; then all
-pairs of a band that are not joined yet are judged, so a large group of near copies does not give its square of pairs
-and no pair that shares a band is left out.
+(1 - 0.8^5)^32 = 3e-6, a closer one less often.  The members of a band are first judged against one of them, so a large
+group of near copies does not give its square of pairs.  Texts that then still share a band with others they are not joined
+to are compared by their rarest shingles (``prefix_pairs``), which misses no pair of 0.8 and spares texts that merely
+have common passages.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voltlens.llm.common import add_columns, plain_names, stored
+from voltlens.llm.common import add_columns, chunks, plain_names, stored
 from voltlens.llm.components import star_edges
 
 SHINGLE = 3
@@ -53,6 +54,9 @@ SIMILAR = (4, 5)
 BANDS = 32
 BAND = 5
 SET_BLOCK = 2048
+#: Bytes of shingle sets judged at once, and buckets in which the rarity of shingles is counted.
+PAIR_BYTES = 4 << 20
+RARITY = 1 << 18
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -233,7 +237,7 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     up, down = SIMILAR
 
     def judge(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in chunks(whole, [2, 3], PAIR_BYTES)):
             x, y = (batch.column(i).to_pylist() for i in (2, 3))
             good = []
             for i, (one, two) in enumerate(zip(x, y, strict=True)):
@@ -250,6 +254,56 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(judge, "a long, b long")
 
 
+def prefix_pairs(open_: DataFrame) -> DataFrame:
+    """Pairs of different roots that can be similar: of ``fp, root, shingles``, at least all pairs of ``SIMILAR``.
+
+    Shingles are put in one order, rare ones first.  Two sets of similarity 4/5 share a shingle among the first
+    fifth (and one) of each, so it is enough to look for common shingles there; texts that only have common passages
+    in common do not meet.  Rarity is counted in ``RARITY`` buckets, a table of bounded size; any order is right.
+    """
+    up, down = SIMILAR
+
+    def tally(batches):
+        seen = np.zeros(RARITY, np.int64)
+        for batch in batches:
+            for value in batch.column(0):
+                seen += np.bincount(np.frombuffer(value.as_buffer(), "<u8") & np.uint64(RARITY - 1), minlength=RARITY)
+        used = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(seen[used], pa.int64())], names=["bucket", "n"])
+
+    counted = open_.select("shingles").mapInArrow(tally, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    found = counted.toArrow()  # RARITY rows at most
+    rarity = np.zeros(RARITY, np.int64)
+    rarity[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+
+    def first(batches):
+        for batch in batches:
+            for part in chunks(batch, [2], PAIR_BYTES):
+                rows, shingles, sizes = [], [], []
+                for at, value in enumerate(part.column(2)):
+                    own = np.frombuffer(value.as_buffer(), "<u8")
+                    size = len(own) - -(-up * len(own) // down) + 1
+                    order = np.lexsort((own, rarity[own & np.uint64(RARITY - 1)]))[:size]
+                    shingles.append(own[order].view(np.int64))
+                    rows.append(np.full(len(order), at))
+                    sizes.append(np.full(len(order), len(own)))
+                at = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(at), part.column(1).take(at), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(shingles))],
+                    names=["fp", "root", "size", "shingle"])
+
+    prefixes = stored(
+        open_.select("fp", "root", "shingles").where(F.octet_length("shingles") > 0)
+        .mapInArrow(first, "fp long, root long, size long, shingle long"), "prefixes")
+    meeting = prefixes.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("shingle")
+    left = prefixes.join(meeting, "shingle", "left_semi")
+    right = left.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("fp", "root", "size")])
+    return left.join(right, "shingle").where(
+        (F.col("fp") < F.col("fp_b")) & (F.col("root") != F.col("root_b"))
+        & (down * F.least("size", "size_b") >= up * F.greatest("size", "size_b"))
+    ).select(F.col("fp").alias("a"), F.col("fp_b").alias("b"))
+
+
 def similar_classes(docs: DataFrame) -> DataFrame:
     """``doc_id, text`` -> one row per distinct shingle set: ``fp``, ``root`` and ``low`` (its smallest id)."""
     prints = stored(add_sets(docs, "bands", ["doc_id"]), "sets")
@@ -269,16 +323,12 @@ def similar_classes(docs: DataFrame) -> DataFrame:
     good = stored(similar(led, sets), "similar")
     roots = stored(star_edges(good), "roots")
 
-    rooted = shared.join(roots, shared["fp"] == roots["node"], "left").select("key", "fp", "size", F.coalesce("root", "fp").alias("root"))
-    rooted = stored(rooted, "rooted")
-    top = rooted.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", "count").alias("top"), F.count("*").alias("n"))
-    open_ = rooted.join(top.where("n > 1").drop("n"), "key")
-    one = open_.where("root <> top").select("key", *[F.col(c).alias(f"{c}_a") for c in ("fp", "size", "root")])
-    rest = (
-        one.join(open_, "key").where("root_a <> root and (root = top or fp_a < fp)")
-        .where(SIMILAR[1] * F.least("size_a", "size") >= SIMILAR[0] * F.greatest("size_a", "size"))
-        .select(F.col("fp_a").alias("a"), F.col("fp").alias("b")).select(*pair).distinct().join(led, ["a", "b"], "left_anti")
-    )
+    # Texts in a band with others that they are not joined to yet; what is left between them is found exactly.
+    rooted = shared.join(roots, shared["fp"] == roots["node"], "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+    open_ = rooted.join(mixed, "key", "left_semi").select("fp", "root").distinct()
+    open_ = stored(open_.join(sets, "fp"), "open")
+    rest = prefix_pairs(open_).select(*pair).distinct().join(led, ["a", "b"], "left_anti")
     every = star_edges(good.union(stored(similar(rest, sets), "similar")))
     return distinct.join(every, distinct["fp"] == every["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
 
