@@ -32,8 +32,8 @@ class Dataset:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def _fact(self, name: str) -> DataFrame:
-        """A fact table, dealt evenly over the cluster whatever its files are like."""
-        return self.read(name).hint("rebalance")
+        """A fact table as its files are split; aggregates combine right above the scan."""
+        return self.read(name)
 
     # ---- dimensions -------------------------------------------------------
 
