@@ -617,27 +617,32 @@ SELECT round(latitude, 6) AS latitude, round(longitude, 6) AS longitude, routes,
   CAST(row_number() OVER (PARTITION BY latitude, longitude ORDER BY km, id) AS INTEGER) AS rank
 FROM route_distances QUALIFY rank <= 5""")
 oracle("route_plausibility", f"""
-SELECT CASE WHEN m <= 0 THEN '路线距离无效' WHEN s <= 0 THEN '路线时长无效（不能为负或零）' WHEN line = '' THEN '路线缺少折线数据'
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, m AS distance_meters, s AS duration_seconds, line AS polyline,
+  round(a, 6) AS origin_lat, round(b, 6) AS origin_lng, round(c, 6) AS dest_lat, round(d, 6) AS dest_lng,
+  CASE WHEN m <= 0 THEN '路线距离无效' WHEN s <= 0 THEN '路线时长无效（不能为负或零）' WHEN line = '' THEN '路线缺少折线数据'
   WHEN m / 1000.0 + 0.5 < {_distance('a', 'b', 'c', 'd')} THEN '路线距离与起终点严重不符'
   WHEN m / 1000.0 / (s / 3600.0) > 300 THEN '路线时长与距离矛盾（速度不现实）'
-  WHEN s < 60 AND m / 1000.0 > 1 THEN '路线时长与距离矛盾（例如7公里不可能在1分钟内到达）' ELSE '' END AS reason, count(*) AS routes
-FROM (SELECT CAST(CASE WHEN l_partkey % 31 = 0 THEN 0 ELSE l_quantity * 1000 END AS INTEGER) AS m,
+  WHEN s < 60 AND m / 1000.0 > 1 THEN '路线时长与距离矛盾（例如7公里不可能在1分钟内到达）' ELSE '' END AS reason
+FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(CASE WHEN l_partkey % 31 = 0 THEN 0 ELSE l_quantity * 1000 END AS INTEGER) AS m,
   CAST(CASE WHEN l_partkey % 29 = 0 THEN 0 WHEN l_partkey % 23 = 0 THEN 30 ELSE l_quantity * 90 END AS INTEGER) AS s,
   CASE WHEN l_partkey % 37 = 0 THEN '' ELSE 'p' END AS line,
   30 + CAST(l_suppkey % 97 AS DOUBLE) * 0.01 AS a, 110 + CAST(l_suppkey % 89 AS DOUBLE) * 0.01 AS b,
-  30 + CAST(l_partkey % 97 AS DOUBLE) * 0.01 AS c, 110 + CAST(l_partkey % 89 AS DOUBLE) * 0.01 AS d FROM lineitem)
-GROUP BY ALL""")
+  30 + CAST(l_partkey % 97 AS DOUBLE) * 0.01 AS c, 110 + CAST(l_partkey % 89 AS DOUBLE) * 0.01 AS d FROM lineitem)""")
 
 # ---- quality --------------------------------------------------------------
 
-oracle("parsed_charging_times", f"""
-SELECT session_id, {time_text('c_at')} AS _created_at, {time_text('e_at')} AS _ended_at, CAST(energy AS DOUBLE) AS _energy_kwh,
+_RAW_NAMES = """session_id user_id station_id device_id location_id weather_id created_at ended_at charge_time_hrs start_hour
+weekday weekday_name is_weekend is_holiday holiday_name is_workday energy_kwh fee_amount_cny platform order_status
+payment_status _corrupt_record""".split()
+_TYPED = f"""{time_text('c_at')} AS _created_at, {time_text('e_at')} AS _ended_at, CAST(energy AS DOUBLE) AS _energy_kwh,
   CAST(fee AS DOUBLE) AS _fee_amount_cny, hrs AS _charge_time_hrs, sh AS _start_hour, wd AS _weekday,
-  CAST(wd_name AS INTEGER) AS _weekday_from_name, wd_time AS _weekday_from_timestamp, actual_hrs AS _actual_duration_hrs FROM parsed""")
-oracle("order_quality_issues", """
-SELECT session_id, created_at, station_id, array_to_string(own_issues, '|') AS quality_issues FROM checked""")
-oracle("order_reference_issues", """
-SELECT session_id, created_at, array_to_string(issues, '|') AS quality_issues FROM referenced""")
+  CAST(wd_name AS INTEGER) AS _weekday_from_name, wd_time AS _weekday_from_timestamp, actual_hrs AS _actual_duration_hrs"""
+_FLAGS = "we AS _is_weekend, ho AS _is_holiday, wo AS _is_workday"
+oracle("parsed_charging_times", f"SELECT session_id, {_TYPED} FROM parsed")
+oracle("order_quality_issues", f"""
+SELECT {", ".join(_RAW_NAMES)}, {_TYPED}, {_FLAGS}, array_to_string(own_issues, '|') AS quality_issues FROM checked""")
+oracle("order_reference_issues", f"""
+SELECT {", ".join(_RAW_NAMES)}, {_TYPED}, {_FLAGS}, array_to_string(issues, '|') AS quality_issues FROM referenced""")
 _CLEAN = f"""
 SELECT trim(session_id) AS session_id, trim(user_id) AS user_id, trim(station_id) AS station_id, trim(device_id) AS device_id,
   trim(location_id) AS location_id, trim(weather_id) AS weather_id, {time_text('c_at')} AS created_at, {time_text('e_at')} AS ended_at,
@@ -664,9 +669,7 @@ oracle("plausible_measurements", """
 SELECT session_id, created_at, CAST(energy AS DOUBLE) AS energy_kwh, CAST(fee AS DOUBLE) AS fee_amount_cny, hrs AS charge_time_hrs,
   sh AS start_hour, wd AS weekday FROM parsed
 WHERE energy >= 0 AND fee >= 0 AND hrs > 0 AND hrs <= 24 AND sh BETWEEN 0 AND 23 AND wd BETWEEN 0 AND 6""")
-oracle("trimmed_orders", """
-SELECT trim(session_id) AS session_id, trim(platform) AS platform, trim(created_at) AS created_at, trim(start_hour) AS start_hour
-FROM raw_orders""")
+oracle("trimmed_orders", f"SELECT {', '.join(f'trim({n}) AS {n}' for n in _RAW_NAMES)} FROM raw_orders")
 oracle("repeated_sessions", f"""
 SELECT user_id, event_id, {time_text('ts')} AS ts,
   CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) > 1 AS INTEGER) AS repeated FROM events""")
@@ -706,12 +709,10 @@ SELECT {_DEVICE} FROM devices WHERE station_id IN (SELECT station_id FROM statio
 oracle("valid_weather", f"""
 SELECT * REPLACE ({time_text('weather_time')} AS weather_time) FROM weather
 WHERE location_id IN (SELECT location_id FROM stations WHERE station_status = 'active')""")
-oracle("valid_device_status", """
-SELECT s.status_id, s.device_id, s.station_id FROM status_log s JOIN devices d ON d.device_id = s.device_id
+oracle("valid_device_status", f"""
+SELECT s.* EXCLUDE (stat_date) REPLACE ({time_text('s.record_time')} AS record_time)
+FROM status_log s JOIN devices d ON d.device_id = s.device_id
 WHERE s.station_id = d.station_id + CAST(d.device_id % 10 = 2 AS INTEGER)""")
-_RAW_NAMES = """session_id user_id station_id device_id location_id weather_id created_at ended_at charge_time_hrs start_hour
-weekday weekday_name is_weekend is_holiday holiday_name is_workday energy_kwh fee_amount_cny platform order_status
-payment_status _corrupt_record""".split()
 oracle("null_counts", "\nUNION ALL ".join(
     f"SELECT '{n}' AS column_name, count(*) FILTER (coalesce(trim({n}), '') = '') AS missing FROM raw_orders" for n in _RAW_NAMES))
 oracle("orphan_count", """
@@ -807,8 +808,12 @@ SELECT user_id, vehicle_type, CAST(list_position(['sedan', 'suv', 'mpv', 'commer
   CAST(list_position(['bronze', 'silver', 'gold', 'platinum'], member_level) - 1 AS DOUBLE) AS member_level_code FROM members"""
 oracle("user_features", "SELECT * FROM member_features")
 oracle("merged_orders", f"""
-SELECT session_id, {time_text('at_hour')} AS datetime, s.device_count, s.station_status_code, f.dc_fast_device_count,
-  f.total_fault_minutes, u.vehicle_type, u.member_level_code, {_WEATHER_CODE} AS weather_type_code, w.temperature_c
+SELECT c.* EXCLUDE (e_m, f_c, end_hour, start_date, at_hour) REPLACE ({time_text('c.created_at')} AS created_at, {time_text('c.ended_at')} AS ended_at),
+  CAST(e_m AS DOUBLE) / 1000 AS energy_kwh, CAST(f_c AS DOUBLE) / 100 AS fee_amount_cny, {time_text('at_hour')} AS datetime,
+  CAST(hour(at_hour) AS INTEGER) AS hour, CAST(day(at_hour) AS INTEGER) AS day, CAST(month(at_hour) AS INTEGER) AS month,
+  CAST(isodow(at_hour) - 1 AS INTEGER) AS weekday_number, s.* EXCLUDE (station_id, location_id), f.* EXCLUDE (station_id),
+  u.* EXCLUDE (user_id), w.* EXCLUDE (weather_id, location_id) REPLACE ({time_text('w.weather_time')} AS weather_time),
+  {_WEATHER_CODE} AS weather_type_code
 FROM charges c LEFT JOIN site_features s ON s.station_id = c.station_id LEFT JOIN fleet_features f ON f.station_id = c.station_id
 LEFT JOIN member_features u ON u.user_id = c.user_id LEFT JOIN weather w ON w.weather_id = c.weather_id""")
 _SHARES = ", ".join(
@@ -958,8 +963,10 @@ SELECT device_id, {day_text('d.stat_date')} AS stat_date, total_sessions, round(
   + least(total_sessions / 7.0, 1.0) * 0.006, 0.002), 0.12), 9) AS fault_probability
 FROM device_days d JOIN stations s ON s.station_id = d.station_id
 LEFT JOIN weather_days w ON w.location_id = s.location_id AND w.stat_date = d.stat_date""")
-oracle("current_device_state", """
-SELECT d.device_id, d.station_id, CASE WHEN fault_count > 0 THEN 'fault' WHEN availability_rate < 0.95 THEN 'offline' ELSE 'online' END AS current_status
+oracle("current_device_state", f"""
+SELECT d.* REPLACE (CAST(d.rated_power_kw AS DOUBLE) AS rated_power_kw, {day_text('d.commissioned_at')} AS commissioned_at,
+    {day_text('d.last_maintenance_at')} AS last_maintenance_at,
+    CASE WHEN fault_count > 0 THEN 'fault' WHEN availability_rate < 0.95 THEN 'offline' ELSE 'online' END AS current_status)
 FROM devices d LEFT JOIN (SELECT * FROM status_log QUALIFY row_number() OVER (PARTITION BY device_id ORDER BY record_time DESC) = 1) s
 ON s.device_id = d.device_id""")
 
@@ -1054,8 +1061,10 @@ SELECT *, round_even(100 * (0.14 * status + 0.28 * {_share('load', True)} + 0.20
 oracle("aggregated_predictions", f"SELECT station_id, round(predicted_load, 4) AS predicted_load, {time_text('peak_time')} AS peak_time FROM ahead")
 oracle("aggregated_history", "SELECT station_id, volume AS historical_volume, frequency AS historical_frequency FROM past")
 oracle("scoring_frame", f"""
-SELECT station_id, available_chargers, round(load, 4) AS predicted_load, {time_text('peak_time')} AS peak_time, volume AS historical_volume,
-  frequency AS historical_frequency FROM score_inputs""")
+SELECT s.* EXCLUDE (price_c, service_c) REPLACE (round(s.latitude, 6) AS latitude, round(s.longitude, 6) AS longitude, {day_text('s.updated_on')} AS updated_on),
+  '00:00-24:00' AS open_time, CAST(price_c AS DOUBLE) / 100 AS electricity_price_cny_kwh, CAST(service_c AS DOUBLE) / 100 AS service_fee_cny_kwh,
+  i.available_chargers, round(i.load, 4) AS predicted_load, {time_text('i.peak_time')} AS peak_time, i.volume AS historical_volume,
+  i.frequency AS historical_frequency FROM score_inputs i JOIN stations s ON s.station_id = i.station_id""")
 oracle("station_score", f"""
 SELECT station_id, score, reason, round(load, 4) AS predicted_load, {time_text('peak_time')} AS peak_time FROM scored""")
 oracle("recommend_low_load", f"""
@@ -1209,3 +1218,37 @@ WITH rolled AS (
   SELECT * FROM f WHERE h > 0)
 SELECT a.station_id, {time_text('s.last_hour + to_hours(a.h)')} AS datetime, a.h AS horizon_hour, round(a.load, 3) AS predicted_load_kwh
 FROM rolled a JOIN lin_states s ON s.station_id = a.station_id""")
+
+# ---- what jobs write, read back -------------------------------------------
+
+oracle("loaded_table", f"""
+SELECT user_id, {time_text('registered_at')} AS registered_at, city, lower(trim(member_level)) AS member_level, vehicle_type,
+  battery_capacity_kwh, preferred_platform, registration_channel, user_status
+FROM raw_users WHERE lower(trim(member_level)) IN ('bronze', 'silver', 'gold', 'platinum')""")
+oracle("stored_features", f"SELECT * REPLACE ({time_text('datetime')} AS datetime) FROM feature_rows")
+# The warehouse checks orders against cleaned parents; a broken line does not outlive its rewriting as CSV.
+BASE["sound_users"] = "SELECT * FROM raw_users WHERE lower(trim(member_level)) IN ('bronze', 'silver', 'gold', 'platinum')"
+BASE["sound_stations"] = "SELECT * FROM raw_stations WHERE try_cast(latitude AS DOUBLE) BETWEEN -90 AND 90"
+BASE["sound_devices"] = """
+SELECT * FROM raw_devices WHERE try_strptime(last_maintenance_at, '%Y-%m-%d') >= commissioned_at
+  AND station_id IN (SELECT station_id FROM sound_stations)"""
+BASE["sound_weather"] = "SELECT * FROM good_weather WHERE CAST(location_id AS VARCHAR) IN (SELECT location_id FROM sound_stations)"
+BASE["warehouse_checked"] = f"""
+SELECT list_concat([x FOR x IN own_issues IF x <> 'corrupt_csv_row'], {_reason_list(_REFERENCE_RULES)}) AS issues
+FROM checked c LEFT JOIN sound_users u ON trim(c.user_id) = u.user_id
+LEFT JOIN sound_stations s ON trim(c.station_id) = s.station_id
+LEFT JOIN sound_devices d ON trim(c.device_id) = d.device_id
+LEFT JOIN sound_weather w ON trim(c.weather_id) = w.weather_id"""
+oracle("warehouse_quality", """
+SELECT 'total_rows' AS metric, count(*) AS count FROM warehouse_checked
+UNION ALL SELECT 'valid_rows', count(*) FROM warehouse_checked WHERE len(issues) = 0
+UNION ALL SELECT 'rejected_rows', count(*) FROM warehouse_checked WHERE len(issues) > 0
+UNION ALL SELECT 'issue:' || i, count(*) FROM (SELECT unnest(issues) AS i FROM warehouse_checked) GROUP BY i""")
+BASE["lin_guesses"] = f"""
+SELECT station_id, datetime, energy_kwh AS y, c + {" + ".join(f"b[{i + 1}] * {f}" for i, f in enumerate(_MODEL))} AS p
+FROM lin_parts, lin_model WHERE part = 'test'"""
+oracle("reloaded_model", f"SELECT station_id, {time_text('datetime')} AS datetime, round(p, 3) AS prediction FROM lin_guesses")
+oracle("trained_models", """
+SELECT CAST(1 AS INTEGER) AS rank, 'linear_regression' AS model, CAST(1 AS INTEGER) AS is_best, round(avg(abs(p - y)), 4) AS mae,
+  round(sqrt(avg((p - y) * (p - y))), 4) AS rmse, round(coalesce(avg(abs((p - y) / y)) FILTER (abs(y) > 1e-12) * 100, 0), 2) AS mape,
+  round(1 - sum((p - y) * (p - y)) / (var_pop(y) * count(*)), 4) AS r2 FROM lin_guesses""")

@@ -31,7 +31,7 @@ from voltlens.operators import (
     series,
 )
 from voltlens.parity.datasets import Dataset
-from voltlens.plans import training
+from voltlens.plans import load, snapshot, training, warehouse
 from voltlens.session import shared_folder, written
 from voltlens.sources import RAW_COLUMNS, import_csv, read_part_csv, read_raw, write_table
 
@@ -392,7 +392,7 @@ def open_session_estimate(d):
 
 @query
 def route_plausibility(d):
-    return ops.route_plausibility(d.routes).groupBy("reason").agg(F.count("*").alias("routes"))
+    return rounded(ops.route_plausibility(d.routes), origin_lat=6, origin_lng=6, dest_lat=6, dest_lng=6)
 
 
 @query
@@ -426,12 +426,12 @@ def parsed_charging_times(d):
 
 @query
 def order_quality_issues(d):
-    return _checked(d).select("session_id", "created_at", "station_id", quality.ISSUES)
+    return _checked(d)
 
 
 @query
 def order_reference_issues(d):
-    return _referenced(d).select("session_id", "created_at", quality.ISSUES)
+    return _referenced(d)
 
 
 @query
@@ -470,7 +470,7 @@ def plausible_measurements(d):
 
 @query
 def trimmed_orders(d):
-    return quality.trim_text_columns(d.raw_orders).select("session_id", "platform", "created_at", "start_hour")
+    return quality.trim_text_columns(d.raw_orders)
 
 
 @query
@@ -535,7 +535,7 @@ def valid_weather(d):
 @query
 def valid_device_status(d):
     moved = d.devices.withColumn("station_id", F.expr("station_id + cast(device_id % 10 = 2 AS int)"))
-    return integrity.valid_device_status(d.status, moved).select("status_id", "device_id", "station_id")
+    return integrity.valid_device_status(d.status, moved)
 
 
 @query
@@ -594,9 +594,9 @@ def user_features(d):
 
 @query
 def merged_orders(d):
-    return features.merge_tables(d.tables()).select(
-        "session_id", "datetime", "device_count", "station_status_code", "dc_fast_device_count",
-        "total_fault_minutes", "vehicle_type", "member_level_code", "weather_type_code", "temperature_c",
+    return rounded(
+        features.merge_tables(d.tables()), avg_rated_power_kw=6, avg_connector_count=6, avg_availability_rate=6,
+        avg_health_score=6, avg_output_power_kw=6,
     )
 
 
@@ -745,7 +745,7 @@ def fault_risk(d):
 
 @query
 def current_device_state(d):
-    return demand.current_device_state(d.devices, d.status).select("device_id", "station_id", "current_status")
+    return demand.current_device_state(d.devices, d.status)
 
 
 @query
@@ -858,11 +858,8 @@ def aggregated_history(d):
 
 @query
 def scoring_frame(d):
-    frame = recommend.scoring_frame(*_scoring_inputs(d)).select(
-        "station_id", "available_chargers", "predicted_load", "peak_time", "historical_volume",
-        "historical_frequency",
-    )
-    return rounded(frame, predicted_load=4, historical_volume=3)
+    frame = recommend.scoring_frame(*_scoring_inputs(d))
+    return rounded(frame, latitude=6, longitude=6, predicted_load=4, historical_volume=3)
 
 
 @query
@@ -981,6 +978,56 @@ def forecast_peak_job(d):
     return rounded(found, predicted_load_kwh=4, peak_threshold_kwh=4)
 
 
+def _raw_inputs(d) -> dict[str, str]:
+    """The damaged text copies as CSV files, one folder per raw table."""
+    inputs = {}
+    for name, columns in RAW_COLUMNS.items():
+        copy = d.raw_orders.drop("_corrupt_record") if name == "charging_orders" else d.raw_copy(name)
+        inputs[name] = write_table(copy.select(*columns), f"{_target(d)}/{name}.csv", fmt="csv")
+    return inputs
+
+
+@query
+def loaded_table(d):
+    """One job of the load: users from CSV, trimmed, cleaned, written and read back."""
+    path = f"{_target(d)}/users"
+    load.load_table(d.spark, "users", _raw_inputs(d)["users"], path, fmt="parquet")
+    return d.spark.read.parquet(path)
+
+
+@query
+def warehouse_quality(d):
+    """The whole warehouse from CSV files; its account of rejected rows read back."""
+    root = _target(d)
+    warehouse.build_warehouse(d.spark, _raw_inputs(d), root)
+    return d.spark.read.parquet(f"{root}/ads/data_quality")
+
+
+@query
+def warehouse_snapshot(d):
+    """The snapshot of a warehouse, written as JSON lines; rows per section and the overall figures."""
+    root = _target(d)
+    warehouse.build_warehouse(d.spark, _raw_inputs(d), root)
+    target = snapshot.write_snapshot(d.spark, root, f"{root}/snapshot")
+    names = [r["s"]["section"] for r in d.spark.read.json(f"{target}/manifest").select(F.explode("sections").alias("s")).collect()]
+    parts = [
+        d.spark.read.text(f"{target}/{n}").groupBy().agg(F.count("*").alias("rows")).select(F.lit(n).alias("section"), "rows") for n in names
+    ]
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.union(part)
+    return found
+
+
+@query
+def stored_features(d):
+    """The feature table as CSV parts, read back with its types."""
+    table = features.select_features(features.station_hour_dataset(d.tables()))
+    path = write_table(table, _target(d), fmt="csv")
+    back = read_part_csv(d.spark, path, table.schema)
+    return rounded(back, **{n: 6 for n, kind in back.dtypes if kind == "double"})
+
+
 # ---- models ---------------------------------------------------------------
 
 
@@ -1039,3 +1086,22 @@ def model_forecast(d):
     rows = _training_rows(d)
     trained = models.train_model(rows, "linear_regression")
     return rounded(forecast.forecast_24h(rows, trained.model, trained.features), predicted_load_kwh=3)
+
+
+@query
+def reloaded_model(d):
+    """A saved linear model, loaded again and applied to the test rows."""
+    trained = models.train_model(_training_rows(d), "linear_regression")
+    model = models.load_model(models.save_model(trained.model, _target(d)))
+    test = trained.predictions.select("station_id", "datetime")
+    return rounded(model.transform(_training_rows(d).join(test, ["station_id", "datetime"], "left_semi")).select(
+        "station_id", "datetime", "prediction"), prediction=3)
+
+
+@query
+def trained_models(d):
+    """Several models trained on one table; one that is not installed is left out, the rest compared."""
+    found = models.train_models(_training_rows(d), ("linear-regression", "xgboost"))
+    assert found.failures.keys() == {"xgboost"} or "xgboost" in found.models
+    own = {"linear_regression": found.models["linear_regression"]}
+    return rounded(models.comparison(d.spark, own), mae=4, rmse=4, mape=2, r2=4)
