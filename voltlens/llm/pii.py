@@ -5,11 +5,14 @@ Protected entities are the e-mail addresses, IP addresses, card and phone number
 estimated from co-occurrence over all documents: with n documents, n(e), n(t) and n(e, t) of them holding the
 entity, the term and both anywhere,
 
-    disclosure = PMI(e, t) / IC(e) = log(n n(e, t) / (n(e) n(t))) / log(n / n(e)),
+    disclosure = PMI(e, t) / IC(e) = log(n n(e, t) (1 - DISCOUNT / k) / (n(e) n(t))) / log(n / n(e)),
 
-the share of the information about e that t reveals.  A term is generalised from ``GENERALISE`` on and removed
-from ``REMOVE`` on, in documents that hold the entity; ``SUPPORT`` different texts must show the pair, so a word that
-merely stands once in a text with a number is no term that gives it away.
+the share of the information about e that t reveals.  The pair is seen in k different texts; the discount takes
+off the more, the fewer they are, so a pair seen once is judged, but not trusted in full.  A term is generalised
+from ``GENERALISE`` on and removed from ``REMOVE`` on, in documents that hold the entity.
+
+Entities that stand in exactly the same texts have the same counts with every term.  They form a class and are
+judged as one, so a list of thousands of contacts costs its words once, not once per contact.
 
 Texts that are copies are handled once, with their number as weight, and joined back by two text hashes.
 Counts per pair, entity and term combine before the shuffle.  Cases: null and empty texts have no spans;
@@ -55,7 +58,7 @@ BASE = (
 KINDS = ("email", "ip", "card", "phone", "term")
 TERM_LETTERS = 4
 TERM = Kind("term", rf"\p{{L}}{{{TERM_LETTERS},}}")
-SUPPORT = 3
+DISCOUNT = 0.5
 GENERALISE = 0.7
 REMOVE = 0.95
 SALTS = 16
@@ -82,43 +85,50 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
-def surroundings(held: DataFrame) -> DataFrame:
-    """One row per text, entity and term in the text: key, ``kind``, ``value``, ``term``, ``copies``."""
+CLASS = ["c1", "c2", "n_texts", "n_entity"]
+
+
+def classes(held: DataFrame) -> DataFrame:
+    """One row per text and class of entities in it: key, ``copies``, ``CLASS`` and one ``kind, value`` of the class."""
     named = F.array_distinct(F.transform("marks", lambda m: F.struct(m["kind"].alias("kind"), m["value"].alias("value"))))
-    one = held.select("k1", "k2", "copies", F.explode(named).alias("m"), terms(F.col("text")).alias("terms"))
-    return one.select("k1", "k2", "copies", "m.kind", "m.value", F.explode("terms").alias("term"))
-
-
-def disclosures(docs: DataFrame, held: DataFrame, near: DataFrame, *, text_col: str = "text", support: int = SUPPORT) -> DataFrame:
-    """Pairs ``kind, value, term`` with the ``disclosure`` that the corpus shows, where ``support`` texts show them."""
-    count = docs.count()
-    together = near.groupBy("kind", "value", "term").agg(
-        F.sum("copies").alias("n_both"), F.count("*").alias("texts")
-    ).where(F.col("texts") >= support)
-    entity = (
-        held.select("k1", "k2", "copies", F.explode("marks").alias("m")).select("k1", "k2", "copies", "m.kind", "m.value")
-        .distinct().groupBy("kind", "value").agg(F.sum("copies").alias("n_entity"))
-    )
+    one = held.select("k1", "k2", "copies", F.explode(named).alias("m")).select("k1", "k2", "copies", "m.kind", "m.value")
+    alike = one.groupBy("kind", "value").agg(
+        F.bit_xor(F.xxhash64("k1", "k2")).alias("c1"), F.bit_xor(F.xxhash64("k2", F.lit(7), "k1")).alias("c2"),
+        F.count("*").alias("n_texts"), F.sum("copies").alias("n_entity"))
+    return one.join(alike, ["kind", "value"]).groupBy("k1", "k2", "copies", *CLASS).agg(
+        F.min(F.struct("kind", "value")).alias("e")).select("k1", "k2", "copies", *CLASS, "e.kind", "e.value")
+
+
+def surroundings(held: DataFrame) -> DataFrame:
+    """One row per text, class and term in the text: key, ``copies``, ``CLASS``, ``kind, value``, ``term``."""
+    words = held.select("k1", "k2", terms(F.col("text")).alias("terms"))
+    return classes(held).join(words, ["k1", "k2"]).select(
+        "k1", "k2", "copies", *CLASS, "kind", "value", F.explode("terms").alias("term"))
+
+
+def disclosures(docs: DataFrame, near: DataFrame, *, text_col: str = "text", discount: float = DISCOUNT) -> DataFrame:
+    """Class (with one ``kind, value`` of it) and ``term`` with the ``disclosure`` that the corpus shows."""
+    n = F.lit(float(docs.count()))
+    together = near.groupBy(*CLASS, "term").agg(
+        F.sum("copies").alias("n_both"), F.count("*").alias("texts"), F.min(F.struct("kind", "value")).alias("e"))
     term = (
         docs.select(F.explode(terms(docs[text_col])).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     )
-    n = F.lit(float(count))
-    share = F.log(n * F.col("n_both") / (F.col("n_entity") * F.col("n_term"))) / F.log(n / F.col("n_entity"))
-    return (
-        together.join(term, "term").join(entity, ["kind", "value"])
-        .select("kind", "value", "term", F.when(F.col("n_entity") < n, share).otherwise(0.0).alias("disclosure"))
-    )
+    both = F.col("n_both") * (1 - F.lit(discount) / F.col("texts"))
+    share = F.log(n * both / (F.col("n_entity") * F.col("n_term"))) / F.log(n / F.col("n_entity"))
+    return together.join(term, "term").select(
+        *CLASS, "e.kind", "e.value", "term", F.when(F.col("n_entity") < n, share).otherwise(0.0).alias("disclosure"))
 
 
 def disclosing_terms(
-    docs: DataFrame, *, text_col: str = "text", threshold: float = GENERALISE, support: int = SUPPORT
+    docs: DataFrame, *, text_col: str = "text", threshold: float = GENERALISE, discount: float = DISCOUNT
 ) -> DataFrame:
     """Per distinct text with such terms: key and ``term``, the spans (start, end, hit, ``disclosure``)."""
     held = stored(entities(docs, text_col), "entities")
     near = surroundings(held)
-    strong = disclosures(docs, held, near, text_col=text_col, support=support).where(F.col("disclosure") >= threshold)
+    strong = disclosures(docs, near, text_col=text_col, discount=discount).where(F.col("disclosure") >= threshold)
     per_text = (
-        near.join(strong, ["kind", "value", "term"]).groupBy("k1", "k2", "term")
+        near.join(strong.drop("kind", "value"), [*CLASS, "term"]).groupBy("k1", "k2", "term")
         .agg(F.max("disclosure").alias("disclosure"))
         .groupBy("k1", "k2").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("known"))
     )
