@@ -40,29 +40,29 @@ def one_per_key(
 def mark_repeats(df: DataFrame, key: Column, order: Sequence[Column], name: str) -> DataFrame:
     """Add a flag that is true on every row of a key but its first in ``order``.
 
-    Done in two rankings.  The first ranks inside (key, input partition), so a
-    group is never larger than what one task read anyway; the leaders of these
-    slices are then ranked per key, at most one row per input partition.  Rows
-    already known to be repeats keep to their slice in the second ranking.
-    Rows with a blank key are never repeats; they are spread over the slices.
+    Keys are counted first, from the key alone and combined before the shuffle.  Rows of keys that occur once,
+    nearly all, are done then; only the others are ranked.  Full ties of ``order`` go by a hash of the row,
+    so the result does not depend on how rows are dealt.  Rows with a blank key are never repeats.
+
+    Ranking takes two steps.  The first is inside (key, input partition), so a group is never larger than
+    what one task read anyway; the leaders of these slices are then ranked per key, at most one row per input
+    partition.  Rows already known to be repeats keep to their slice in the second step.
     """
-    sliced = df.select(
-        "*",
-        F.nullif(key, F.lit("")).alias("_key"),
-        F.spark_partition_id().alias("_slice"),
-        F.monotonically_increasing_id().alias("_line"),
+    keyed = df.withColumn("_key", F.nullif(key, F.lit("")))
+    several = keyed.groupBy(F.col("_key").alias("_several")).agg(F.count("*").alias("_n")).where("_n > 1 AND _several IS NOT NULL")
+    known = keyed.join(several.select("_several"), F.col("_key") == F.col("_several"), "left")
+    once = known.where(F.col("_several").isNull()).withColumn(name, F.lit(False))
+    sliced = known.where(F.col("_several").isNotNull()).select(
+        "*", F.xxhash64(*df.columns).alias("_hash"),
+        F.spark_partition_id().alias("_slice"), F.monotonically_increasing_id().alias("_line"),
     )
-    # Blank keys get one group per row instead of one group for all of them.
-    group = F.coalesce(F.col("_key"), F.concat(F.lit("\u0000"), F.col("_line").cast("string")))
-    local = Window.partitionBy("_group", "_slice").orderBy(*order, F.col("_line"))
-    ranked = sliced.withColumn("_group", group).withColumn("_local", F.row_number().over(local))
+    # The line number decides between rows that are equal in every column only.
+    ranking = [*order, F.col("_hash"), F.col("_line")]
+    ranked = sliced.withColumn("_local", F.row_number().over(Window.partitionBy("_key", "_slice").orderBy(*ranking)))
     leader_or_slice = F.when(F.col("_local") == 1, F.lit(-1)).otherwise(F.col("_slice"))
-    overall = Window.partitionBy("_group", leader_or_slice).orderBy(*order, F.col("_line"))
-    ranked = ranked.withColumn("_overall", F.row_number().over(overall))
-    repeat = (F.col("_local") > 1) | (F.col("_overall") > 1)
-    return ranked.withColumn(name, repeat & F.col("_key").isNotNull()).drop(
-        "_key", "_slice", "_line", "_group", "_local", "_overall"
-    )
+    overall = F.row_number().over(Window.partitionBy("_key", leader_or_slice).orderBy(*ranking))
+    repeated = ranked.withColumn("_overall", overall).withColumn(name, (F.col("_local") > 1) | (F.col("_overall") > 1))
+    return once.select(*df.columns, name).union(repeated.select(*df.columns, name))
 
 
 def newest_rows(

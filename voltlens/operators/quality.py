@@ -121,16 +121,18 @@ def _reasons(rules) -> Column:
 
 def detect_quality_issues(raw: DataFrame) -> DataFrame:
     """Attach ``quality_issues`` from the 35 rules on single rows and repeated ids."""
-    marked = mark_repeats(
-        process_charging_time(raw),
+    require_columns(raw, ORDER_COLUMNS, "charging orders")
+    # Repeats are marked on the raw text, so that no value is parsed twice.
+    marked = process_charging_time(mark_repeats(
+        raw,
         key=trimmed("session_id"),
         order=[
-            F.col("_created_at").asc_nulls_last(),
-            F.col("_ended_at").asc_nulls_last(),
+            parse_wall_clock(F.col("created_at")).asc_nulls_last(),
+            parse_wall_clock(F.col("ended_at")).asc_nulls_last(),
             trimmed("station_id").asc_nulls_last(),
         ],
         name="_repeated",
-    )
+    ))
     return marked.withColumn(ISSUES, _reasons(_order_rules(CORRUPT in raw.columns))).drop("_repeated")
 
 
