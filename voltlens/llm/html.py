@@ -5,10 +5,13 @@ is walked once: invisible parts are skipped, white space collapses, blocks stand
 (paragraph-like ones with a blank line between), list items get markers and indentation, and the
 cells of a table row stand side by side in aligned columns.
 
-Invisible are: head, script, style, template, noscript and fallback content of embedded media; what
-``hidden``, ``display:none`` or ``visibility:hidden`` hides, in ``style`` attributes or in style sheets
-of the page (rules for a tag, class or id); closed dialogs; closed details but for their summary;
-hidden inputs; options that are not chosen.
+Invisible are: head, script, style, template, noscript and fallback content of embedded media, meters and bars;
+what ``hidden``, ``display:none`` or ``visibility:hidden`` hides, in ``style`` attributes or in style sheets
+of the page; closed dialogs; closed details but for their summary; hidden inputs; options that are not chosen
+in a closed choice (list boxes show all).  Texts in drawings and formulas are visible.
+
+Of style sheets, rules for a tag, class or id count that hold on a screen without conditions; for each of display
+and visibility the most specific rule decides, then the later one, and a ``style`` attribute before both.
 
 Work and memory are linear in the page: no recursion, at most ``OPEN`` elements are open, column widths beyond ``WIDEST`` and indents
 beyond ``DEEPEST`` levels are not padded.  Cases: null pages give null, empty pages an empty text; broken
@@ -35,8 +38,8 @@ OPEN = 512
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 UNSEEN = frozenset(
-    "head script style template noscript iframe noembed noframes object audio video canvas svg math datalist "
-    "title map meter progress".split()
+    "head script style template noscript iframe noembed noframes object audio video canvas datalist "
+    "title meter progress desc defs metadata annotation annotation-xml".split()
 )
 SPACED = frozenset(
     "p h1 h2 h3 h4 h5 h6 ul ol dl menu table blockquote pre figure hr fieldset form xmp".split()
@@ -76,9 +79,10 @@ INLINE = frozenset(
 MARKUP = re.compile(r"<(?:(!--)|([!?])|(/?)([A-Za-z][^\s/>]*))")
 ATTRIBUTE = re.compile(r"[\s/]*(?:([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?|=)")
 ENDS = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
-RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
 SELECTOR = re.compile(r"([a-z][a-z0-9]*)?([.#][\w-]+)?")
-HIDES = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+COMMENT = re.compile(r"/\*.*?(?:\*/|$)", re.S)
+SETS = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)", re.I)
+SCREEN = re.compile(r"@media\s+(?:only\s+)?(?:all|screen)\s*", re.I)
 BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -188,35 +192,71 @@ def close(open_: list[Element], tag: str) -> None:
             return
 
 
-def hidden_rules(root: Element) -> set[str]:
-    """Selectors (``tag``, ``.class``, ``#id``, ``tag.class``) that style sheets of the page hide."""
-    found: set[str] = set()
+def sheet_rules(sheet: str) -> list[tuple[str, str]]:
+    """Selectors and bodies of the rules of a style sheet that hold on a screen without conditions."""
+    found: list[tuple[str, str]] = []
+    held: list[bool] = []
+    start = 0
+    sheet = COMMENT.sub(" ", sheet)
+    for at in (m.start() for m in re.finditer("[{};]", sheet)):
+        if sheet[at] == ";":
+            start = start if held else at + 1
+            continue
+        head = sheet[start:at].strip()
+        if sheet[at] == "{":
+            if head.startswith("@"):
+                held.append(bool(SCREEN.fullmatch(head + " ")) and all(held))
+                start = at + 1
+            else:
+                end = sheet.find("}", at)
+                body = sheet[at + 1 : end if end >= 0 else len(sheet)]
+                if all(held) and "{" not in body:
+                    found.append((head, body))
+                held.append(False)
+                start = at + 1
+        else:
+            if held:
+                held.pop()
+            start = at + 1
+    return found
+
+
+def style_rules(root: Element) -> dict[str, list[tuple[tuple[int, int], str, str]]]:
+    """Per selector (``tag``, ``.class``, ``#id``, ``tag.class``) what style sheets of the page set, with its weight."""
+    found: dict[str, list] = {}
+    number = 0
     todo = [root]
     while todo:
         node = todo.pop()
         if node.tag == "style":
-            for selectors, body in RULE.findall("".join(k for k in node.kids if isinstance(k, str))):
-                if HIDES.search(body):
-                    names = (s.strip().lower() for s in selectors.split(","))
-                    found.update(s for s in names if s and SELECTOR.fullmatch(s))
-        todo.extend(k for k in node.kids if not isinstance(k, str))
+            for selectors, body in sheet_rules("".join(k for k in node.kids if isinstance(k, str))):
+                sets = [(p.lower(), v.lower()) for p, v in SETS.findall(body)]
+                for name in (s.strip().lower() for s in selectors.split(",")) if sets else ():
+                    if name and SELECTOR.fullmatch(name):
+                        number += 1
+                        weight = (100 * ("#" in name) + 10 * ("." in name) + (name[0] not in ".#"), number)
+                        found.setdefault(name, []).extend((weight, p, v) for p, v in sets)
+        todo.extend(k for k in reversed(node.kids) if not isinstance(k, str))
     return found
 
 
-def unseen(node: Element, rules: set[str]) -> bool:
+def unseen(node: Element, rules: dict[str, list]) -> bool:
     a, tag = node.attributes, node.tag
     if tag in UNSEEN or "hidden" in a and a["hidden"].lower() != "until-found":
         return True
     if tag == "dialog" and "open" not in a or tag == "input" and a.get("type", "").lower() == "hidden":
         return True
-    if "style" in a and HIDES.search(a["style"]):
-        return True
+    last: dict[str, str] = {}
     if rules:
         marks = ["." + c.lower() for c in a.get("class", "").split()]
         if "id" in a:
             marks.append("#" + a["id"].lower())
-        return tag in rules or any(m in rules or tag + m in rules for m in marks)
-    return False
+        names = {tag, *marks, *(tag + m for m in marks)}
+        for _, p, v in sorted(r for n in names if n in rules for r in rules[n]):
+            last[p] = v
+    if "style" in a:
+        last.update((p.lower(), v.lower()) for p, v in SETS.findall(a["style"]))
+    return last.get("display") == "none" or last.get("visibility") in ("hidden", "collapse")
 
 
 class Flow:
@@ -309,12 +349,21 @@ def marker(node: Element, lists: list[list]) -> str:
 
 
 def chosen(node: Element) -> list:
-    """What a closed choice shows: its selected option, else the first."""
+    """What a choice shows: a list box all options, each on a line, a closed one its selected option, else the first."""
     options, todo = [], [node]
     while todo:
         e = todo.pop()
-        options.extend(k for k in e.kids if not isinstance(k, str) and k.tag == "option")
-        todo.extend(k for k in e.kids if not isinstance(k, str) and k.tag == "optgroup")
+        if e.tag == "option":
+            options.append(e)
+        else:
+            todo.extend(k for k in reversed(e.kids) if not isinstance(k, str) and k.tag in ("option", "optgroup"))
+    if "multiple" in node.attributes or node.attributes.get("size", "").strip().lstrip("0") not in ("", "1"):
+        boxes = []
+        for option in options:
+            box = Element("div", {})
+            box.kids.append(option)
+            boxes.append(box)
+        return boxes
     marked = [o for o in options if "selected" in o.attributes]
     return (marked or options)[:1]
 
@@ -322,7 +371,7 @@ def chosen(node: Element) -> list:
 def render(page: str) -> str:
     """The visible text of a page."""
     root = tree(page)
-    rules = hidden_rules(root)
+    rules = style_rules(root)
     flow = Flow()
     flows, tables, lists = [flow], [], []
     pre = 0
