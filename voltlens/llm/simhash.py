@@ -24,9 +24,14 @@ similarity of ``SIMILAR`` = 0.8 or more of their sets of five-word shingles.  A
 search, so candidates come from ``BANDS`` bands of ``BAND`` minima of hashed shingles, and every candidate is judged by
 its exact shingle sets (64-bit hashes of shingles).  A pair of similarity 0.8 shares no band with probability
 (1 - 0.8^5)^32 = 3e-6, a closer one less often.  The members of a band are first judged against one of them, so a large
-group of near copies does not give its square of pairs.  Texts that then still share a band with others they are not joined
-to are compared by their rarest shingles (``prefix_pairs``), which misses no pair of 0.8 and spares texts that merely
+group of near copies does not give its square of pairs: each text against the lead of its largest band, then against the
+leads of its other bands as far as it is not joined to them.  Texts that then still share a band with others they are not
+joined to are compared by their rarest shingles (``prefix_pairs``), which misses no pair of 0.8 and spares texts that merely
 have common passages.
+
+Before shingle sets meet, sketches do (``can_be_similar``): a bit per value of a hash, set where an odd number of shingles
+has it.  The bits in which two sketches differ are at most the shingles that one set has and the other lacks, so a pair with
+more of them than a similarity of 0.8 allows is refused for certain, and none of 0.8 or more is.
 """
 
 from __future__ import annotations
@@ -36,7 +41,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,6 +62,8 @@ SET_BLOCK = 2048
 #: Bytes of shingle sets judged at once, and buckets in which the rarity of shingles is counted.
 PAIR_BYTES = 4 << 20
 RARITY = 1 << 18
+#: Bits of the sketch of a shingle set, in words of 64.
+SKETCH = 16 * 64
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -203,8 +210,25 @@ def set_id(hashes: np.ndarray) -> int:
     return v - (1 << 64) if v >> 63 else v
 
 
+def sketch(hashes: np.ndarray) -> list[int]:
+    """Parity of the number of hashes per value of their low bits, as signed 64-bit words."""
+    odd = np.bincount((hashes & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
+def can_be_similar(size_a: Column, size_b: Column, sketch_a: Column, sketch_b: Column) -> Column:
+    """False only for pairs below ``SIMILAR``: by sizes, and by the least number of shingles in just one of the two sets.
+
+    With n shingles in both and h in just one, the similarity is (n - h) / (n + h).
+    """
+    up, down = SIMILAR
+    apart = sum((F.bit_count(sketch_a[i].bitwiseXOR(sketch_b[i])) for i in range(SKETCH // 64)), F.lit(0))
+    sizes = down * F.least(size_a, size_b) >= up * F.greatest(size_a, size_b)
+    return sizes & ((down + up) * apart <= (down - up) * (size_a + size_b))
+
+
 def add_sets(docs: DataFrame, what: str | None = None, keep: Sequence[str] | None = None) -> DataFrame:
-    """``docs`` with ``fp``, the hash of the shingle set of ``text``, and its ``bands`` (with the set's ``size``) or ``shingles``."""
+    """``docs`` with ``fp``, the hash of the shingle set of ``text``, and its ``bands`` or ``shingles`` and ``sketch``, both with the set's ``size``."""
 
     def start():
         rng = np.random.default_rng(SEED)
@@ -222,13 +246,14 @@ def add_sets(docs: DataFrame, what: str | None = None, keep: Sequence[str] | Non
         def work(texts):
             sets = [shingle_set(t) for t in texts]
             more = {"bands": lambda: [[len(s) for s in sets], [bands(s) for s in sets]],
-                    "shingles": lambda: [[s.tobytes() for s in sets]]}
+                    "shingles": lambda: [[len(s) for s in sets], [sketch(s) for s in sets], [s.tobytes() for s in sets]]}
             return [[set_id(s) for s in sets], *(more[what]() if what else [])]
 
         return work
 
-    fields = {"bands": [T.StructField("size", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))],
-              "shingles": [T.StructField("shingles", T.BinaryType())]}
+    size, longs = T.StructField("size", T.LongType()), T.ArrayType(T.LongType())
+    fields = {"bands": [size, T.StructField("bands", longs)],
+              "shingles": [size, T.StructField("sketch", longs), T.StructField("shingles", T.BinaryType())]}
     return add_columns(docs, ["text"], [T.StructField("fp", T.LongType()), *fields.get(what, [])], start, keep)
 
 
@@ -254,12 +279,19 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(judge, "a long, b long")
 
 
+def sketched(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) that sizes and sketches do not refuse."""
+    first, second = (sets.select(F.col("fp").alias(c), F.col("size").alias(f"{c}_size"), F.col("sketch").alias(f"{c}_sketch")) for c in "ab")
+    met = pairs.join(first, "a").join(second, "b")
+    return met.where(can_be_similar(*(met[f"{c}_{what}"] for what in ("size", "sketch") for c in "ab"))).select("a", "b")
+
+
 def prefix_pairs(open_: DataFrame) -> DataFrame:
-    """Pairs of different roots that can be similar: of ``fp, root, shingles``, at least all pairs of ``SIMILAR``.
+    """Pairs of different roots that can be similar: of ``fp, root, sketch, shingles``, at least all pairs of ``SIMILAR``.
 
     Shingles are put in one order, rare ones first.  Two sets of similarity 4/5 share a shingle among the first
     fifth (and one) of each, so it is enough to look for common shingles there; texts that only have common passages
-    in common do not meet.  Rarity is counted in ``RARITY`` buckets, a table of bounded size; any order is right.
+    in common do not meet, and of those that meet sketches refuse most that are below.  Rarity is counted in ``RARITY`` buckets, a table of bounded size; any order is right.
     """
     up, down = SIMILAR
 
@@ -278,9 +310,9 @@ def prefix_pairs(open_: DataFrame) -> DataFrame:
 
     def first(batches):
         for batch in batches:
-            for part in chunks(batch, [2], PAIR_BYTES):
+            for part in chunks(batch, [3], PAIR_BYTES):
                 rows, shingles, sizes = [], [], []
-                for at, value in enumerate(part.column(2)):
+                for at, value in enumerate(part.column(3)):
                     own = np.frombuffer(value.as_buffer(), "<u8")
                     size = len(own) - -(-up * len(own) // down) + 1
                     order = np.lexsort((own, rarity[own & np.uint64(RARITY - 1)]))[:size]
@@ -289,18 +321,18 @@ def prefix_pairs(open_: DataFrame) -> DataFrame:
                     sizes.append(np.full(len(order), len(own)))
                 at = pa.array(np.concatenate(rows))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(at), part.column(1).take(at), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(shingles))],
-                    names=["fp", "root", "size", "shingle"])
+                    [*(part.column(i).take(at) for i in range(3)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(shingles))],
+                    names=["fp", "root", "sketch", "size", "shingle"])
 
     prefixes = stored(
-        open_.select("fp", "root", "shingles").where(F.octet_length("shingles") > 0)
-        .mapInArrow(first, "fp long, root long, size long, shingle long"), "prefixes")
+        open_.select("fp", "root", "sketch", "shingles").where(F.octet_length("shingles") > 0)
+        .mapInArrow(first, "fp long, root long, sketch array<long>, size long, shingle long"), "prefixes")
     meeting = prefixes.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("shingle")
     left = prefixes.join(meeting, "shingle", "left_semi")
-    right = left.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("fp", "root", "size")])
+    right = left.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("fp", "root", "size", "sketch")])
     return left.join(right, "shingle").where(
         (F.col("fp") < F.col("fp_b")) & (F.col("root") != F.col("root_b"))
-        & (down * F.least("size", "size_b") >= up * F.greatest("size", "size_b"))
+        & can_be_similar(*(F.col(c) for c in ("size", "size_b", "sketch", "sketch_b")))
     ).select(F.col("fp").alias("a"), F.col("fp_b").alias("b"))
 
 
@@ -312,15 +344,19 @@ def similar_classes(docs: DataFrame) -> DataFrame:
     entries = entries.select(F.xxhash64("i", "band").alias("key"), "fp", "size")
     # Another member of each band leads, so that no text leads the bands of a whole group.
     lead = entries.groupBy("key").agg(F.min_by("fp", F.xxhash64("fp", "key")).alias("lead"), F.count("*").alias("n"))
-    shared = stored(entries.join(lead.where("n > 1").drop("n"), "key"), "bands")
+    shared = stored(entries.join(lead.where("n > 1"), "key"), "bands")
     sets = stored(
         add_sets(docs, "shingles", []).join(shared.select("fp").distinct(), "fp", "left_semi")
-        .groupBy("fp").agg(F.first("shingles").alias("shingles")),
+        .groupBy("fp").agg(*(F.first(c).alias(c) for c in ("size", "sketch", "shingles"))),
         "shingles",
     )
-    pair = [F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")]
-    led = shared.where("fp <> lead").select(F.col("fp").alias("a"), F.col("lead").alias("b")).select(*pair).distinct()
-    good = stored(similar(led, sets), "similar")
+    led = shared.where("fp <> lead").groupBy(F.col("fp").alias("a"), F.col("lead").alias("b")).agg(F.max("n").alias("n"))
+    best = led.groupBy("a").agg(F.max(F.struct("n", "b")).alias("best"))
+    led = stored(led.join(best, "a").select("a", "b", (F.col("b") == F.col("best.b")).alias("first")), "led")
+    good = stored(similar(sketched(led.where("first").select("a", "b"), sets), sets), "similar")
+    roots = stored(star_edges(good), "roots")
+    others = parted(led.where("not first").select("a", "b"), roots)
+    good = good.union(stored(similar(sketched(others, sets), sets), "similar"))
     roots = stored(star_edges(good), "roots")
 
     # Texts in a band with others that they are not joined to yet; what is left between them is found exactly.
@@ -328,11 +364,19 @@ def similar_classes(docs: DataFrame) -> DataFrame:
     mixed = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
     open_ = rooted.join(mixed, "key", "left_semi").select("fp", "root").distinct()
     open_ = stored(open_.join(sets, "fp"), "open")
-    rest = prefix_pairs(open_).select(*pair).distinct().join(led, ["a", "b"], "left_anti")
+    rest = prefix_pairs(open_).distinct()
     every = star_edges(good.union(stored(similar(rest, sets), "similar")))
     return distinct.join(every, distinct["fp"] == every["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
 
 
+def parted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) whose texts have different roots so far, each once, the larger first."""
+    of_a, of_b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in "ab")
+    placed = pairs.join(of_a, "a", "left").join(of_b, "b", "left")
+    apart = placed.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b"))
+    return apart.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
 def keep_one_per_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` reduced to one row per class of similar texts, the same one as in ``keep_one_per_class``."""
     plain, back = plain_names(docs, doc_id=id_col, text=text_col)
