@@ -3,10 +3,10 @@
 A page is cut into tags and text, a tree is built with the end tags that HTML implies, and the tree
 is walked once: invisible parts are skipped, white space collapses, blocks stand on lines of their own
 (paragraph-like ones with a blank line between), list items get markers and indentation, and the
-cells of a table row stand side by side in aligned columns.
+cells of a table row stand side by side in aligned columns, right of cells that reach down from rows above.
 
 Invisible are: head, script, style, template, noscript and fallback content of embedded media, meters and bars;
-what ``hidden``, ``display:none`` or ``visibility:hidden`` hides, in ``style`` attributes or in style sheets
+what ``hidden``, ``display:none`` or ``visibility:hidden`` (but for ``visible`` parts inside) hides, in ``style`` attributes or in style sheets
 of the page; closed dialogs; closed details but for their summary; hidden inputs; options that are not chosen
 in a closed choice (list boxes show all).  Texts in drawings and formulas are visible.
 
@@ -14,7 +14,7 @@ Of style sheets, rules for a tag, class or id count that hold on a screen withou
 and visibility the most specific rule decides, then the later one, and a ``style`` attribute before both.
 
 Work and memory are linear in the page: no recursion, at most ``OPEN`` elements are open, column widths beyond ``WIDEST`` and indents
-beyond ``DEEPEST`` levels are not padded.  Cases: null pages give null, empty pages an empty text; broken
+beyond ``DEEPEST`` levels are not padded, and cells do not reach down beyond ``REACHING`` columns (their texts stay).  Cases: null pages give null, empty pages an empty text; broken
 markup (open quotes, stray end tags, misnesting) never fails; text outside cells of a table comes
 before the table.
 """
@@ -34,6 +34,8 @@ WIDEST = 40
 DEEPEST = 20
 #: Elements open at once; deeper ones become siblings.
 OPEN = 512
+#: Columns in which a cell can reach down over further rows.
+REACHING = 1000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -240,12 +242,13 @@ def style_rules(root: Element) -> dict[str, list[tuple[tuple[int, int], str, str
     return found
 
 
-def unseen(node: Element, rules: dict[str, list]) -> bool:
+def unseen(node: Element, rules: dict[str, list], dark: bool) -> bool | None:
+    """None if neither the element nor anything in it is shown, else whether its own texts are invisible (``dark``: its parent's are)."""
     a, tag = node.attributes, node.tag
     if tag in UNSEEN or "hidden" in a and a["hidden"].lower() != "until-found":
-        return True
+        return None
     if tag == "dialog" and "open" not in a or tag == "input" and a.get("type", "").lower() == "hidden":
-        return True
+        return None
     last: dict[str, str] = {}
     if rules:
         marks = ["." + c.lower() for c in a.get("class", "").split()]
@@ -256,7 +259,9 @@ def unseen(node: Element, rules: dict[str, list]) -> bool:
             last[p] = v
     if "style" in a:
         last.update((p.lower(), v.lower()) for p, v in SETS.findall(a["style"]))
-    return last.get("display") == "none" or last.get("visibility") in ("hidden", "collapse")
+    if last.get("display") == "none":
+        return None
+    return {"visible": False, "initial": False, "hidden": True, "collapse": True}.get(last.get("visibility"), dark)
 
 
 class Flow:
@@ -313,30 +318,54 @@ class Flow:
 
 class Table:
     def __init__(self):
-        self.rows: list[list[tuple[int, list[str]]]] = []
+        self.rows: list[list[tuple[int, int, list[str]]]] = []
+
+    def placed(self) -> list[list[tuple[int, int, list[str]]]]:
+        """Cells with their first column, right of what cells of earlier rows reach down to."""
+        taken: dict[int, tuple[int, int]] = {}  # first column -> row it ends before, columns
+        out = []
+        for number, row in enumerate(self.rows):
+            column, cells = 0, []
+            for span, down, lines in row:
+                while taken.get(column, (0, 0))[0] > number:
+                    column += taken[column][1]
+                cells.append((column, span, lines))
+                if down != 1 and column < REACHING:
+                    taken[column] = (number + down if down else len(self.rows), span)
+                column += span
+            out.append(cells)
+        return out
 
     def lines(self) -> list[str]:
-        """Rows with their cells side by side; a cell spans its columns."""
+        """Rows with their cells side by side; a cell spans its columns and stands in the first of its rows."""
+        rows = self.placed()
         widths: dict[int, int] = {}
-        for row in self.rows:
-            column = 0
-            for span, lines in row:
-                wide = max(map(len, lines), default=0)
-                if span == 1 and wide <= WIDEST:
-                    widths[column] = max(widths.get(column, 0), wide)
-                column += span
+        for column, span, lines in (cell for row in rows for cell in row):
+            wide = max(map(len, lines), default=0)
+            if span == 1 and wide <= WIDEST:
+                widths[column] = max(widths.get(column, 0), wide)
+
+        def room(column: int, span: int) -> int:
+            return min(sum(widths.get(c, 0) + 2 for c in range(column, column + span)) - 2, WIDEST * span)
+
         out: list[str] = []
-        for row in self.rows:
-            for at in range(max((len(lines) for _, lines in row), default=0)):
-                parts, column = [], 0
-                for span, lines in row:
-                    room = sum(widths.get(c, 0) + 2 for c in range(column, column + span)) - 2
-                    parts.append((lines[at] if at < len(lines) else "").ljust(min(room, WIDEST * span)))
-                    column += span
+        for row in rows:
+            for at in range(max((len(lines) for _, _, lines in row), default=0)):
+                parts, end = [], 0
+                for column, span, lines in row:
+                    if column > end:
+                        parts.append(" " * room(end, column - end))
+                    parts.append((lines[at] if at < len(lines) else "").ljust(room(column, span)))
+                    end = column + span
                 out.append("  ".join(parts).rstrip())
         return out
 
 
+def spans(node: Element, name: str, least: int, most: int) -> int:
+    value = node.attributes.get(name, "1").strip()
+    return min(int(value), most) if value.isdecimal() and len(value) < 10 and int(value) >= least else 1
+
+
 def marker(node: Element, lists: list[list]) -> str:
     if not lists or not lists[-1][0]:
         return "- "
@@ -375,21 +404,23 @@ def render(page: str) -> str:
     flow = Flow()
     flows, tables, lists = [flow], [], []
     pre = 0
-    todo: list = [(root, False)]
+    todo: list = [(root, False, False)]
     while todo:
-        node, leaving = todo.pop()
+        node, leaving, dark = todo.pop()
         if isinstance(node, str):
-            (flow.verbatim if pre else flow.text)(node)
+            if not dark:
+                (flow.verbatim if pre else flow.text)(node)
             continue
         tag = node.tag
         if not leaving:
-            if unseen(node, rules):
+            dark = unseen(node, rules, dark)
+            if dark is None:
                 continue
             kids = node.kids
             if tag == "br":
                 flow.end_line(keep=bool(flow.parts) or flow.gap == 0)
             elif tag == "input":
-                if node.attributes.get("type", "text").lower() in ("text", "search", "submit", "button", "reset"):
+                if not dark and node.attributes.get("type", "text").lower() in ("text", "search", "submit", "button", "reset"):
                     flow.text(" " + node.attributes.get("value", "") + " ")
             elif tag == "wbr":
                 pass
@@ -408,7 +439,7 @@ def render(page: str) -> str:
             elif tag == "li":
                 flow.marker = marker(node, lists)
                 flow.margin.append(len(flow.marker) if len(flow.margin) < DEEPEST else 0)
-                if not flow.margin[-1]:
+                if dark or not flow.margin[-1]:
                     flow.marker = ""
             elif tag == "dd":
                 flow.margin.append(2 if len(flow.margin) < DEEPEST else 0)
@@ -420,14 +451,13 @@ def render(page: str) -> str:
                 kids = chosen(node)
             elif tag == "details" and "open" not in node.attributes:
                 kids = [k for k in kids if not isinstance(k, str) and k.tag == "summary"][:1]
-            todo.append((node, True))
-            todo.extend((k, False) for k in reversed(kids))
+            todo.append((node, True, dark))
+            todo.extend((k, False, dark) for k in reversed(kids))
             continue
         if tag in CELLS and tables and tables[-1].rows and len(flows) > 1:
             lines = flows.pop().finish()
             flow = flows[-1]
-            span = node.attributes.get("colspan", "1").strip()
-            tables[-1].rows[-1].append((min(int(span), 1000) if span.isdecimal() and int(span) else 1, lines))
+            tables[-1].rows[-1].append((spans(node, "colspan", 1, 1000), spans(node, "rowspan", 0, 65_534), lines))
             continue
         if tag == "li" or tag == "dd":
             flow.end_line()
