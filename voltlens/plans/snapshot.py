@@ -7,6 +7,7 @@ rather than gathered into one document.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 from functools import reduce
 
@@ -47,13 +48,24 @@ def json_ready(df: DataFrame) -> DataFrame:
     return df.select(*[ready(name, kind) for name, kind in df.dtypes])
 
 
+def _json_value(name: str, kind: str) -> Column:
+    """A column as JSON text; numbers of any size in plain digits, without an exponent."""
+    column = F.col(name)
+    listed = F.to_json(F.array(column), {"ignoreNullFields": "false"})
+    text = F.substr(listed, F.lit(2), F.length(listed) - 2)
+    if kind == "double":
+        digits = F.regexp_replace(column.try_cast("decimal(38,18)").cast("string"), "(\\.[0-9]+?)0*$", "$1")
+        text = F.when(text.contains("E"), F.coalesce(digits, text)).otherwise(text)
+    return F.coalesce(F.when(column.isNotNull(), text), F.lit("null"))
+
+
 def section_rows(sections: Mapping[str, DataFrame]) -> DataFrame:
     """(section, payload) with one JSON object per row of every section."""
     def rows(name: str, df: DataFrame) -> DataFrame:
         ready = json_ready(df)
+        fields = [F.concat(F.lit(json.dumps(n, ensure_ascii=False) + ":"), _json_value(n, kind)) for n, kind in ready.dtypes]
         return ready.select(
-            F.lit(name).alias("section"),
-            F.to_json(F.struct(*ready.columns), {"ignoreNullFields": "false"}).alias("payload"),
+            F.lit(name).alias("section"), F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}")).alias("payload")
         )
 
     return reduce(DataFrame.unionByName, [rows(name, df) for name, df in sections.items()])
