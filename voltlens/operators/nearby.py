@@ -4,13 +4,12 @@ Positions lie on the unit sphere, cut into cubes of one side length, so neither
 line are special.  A station is filed in the 27 cubes around its own; a point looks into its own cube only and
 meets every station within one side length.  Where the k-th distance found is no longer than that, it is proven.
 The other points go on with sides twice as long, up to the whole sphere.  Every step is an equi-join on a
-cube; the first side length comes from the number of stations.
+cube; the first side length is the largest at which a station shares its cube with few others on average, so
+that stations which lie close together are not all compared with every point among them.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voltlens.functions import require_columns
@@ -19,6 +18,9 @@ from voltlens.session import written
 
 #: Cubes this long reach around the sphere from any point.
 WHOLE = 2.0
+#: Sides are halved this often at most, and begin where this many times the wanted stations share a cube.
+LEVELS = 20
+CROWD = 4
 #: Share of a side length within which a distance counts as proven, against rounding.
 SURE = 1 - 1e-9
 
@@ -54,10 +56,9 @@ def nearest_stations_of(points: DataFrame, stations: DataFrame, limit: int = 5)
     # Of stations at one place only the first ones by id can be among the closest.
     order = Window.partitionBy("_slat", "_slon").orderBy("id")
     placed = written(placed.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit).drop("_n"), "stations")
-    count = placed.count()
     open_ = points.select(lat.alias("_plat"), lon.alias("_plon")).where(_valid(F.col("_plat"), F.col("_plon"))).distinct()
-    spread = 2.0 ** math.ceil(math.log2(WHOLE / math.sqrt(max(count / (4 * limit), 1.0))))
-    side, found = min(WHOLE, spread), []
+    open_ = written(open_, "open")
+    side, found = _first_side(placed, limit), []
     while True:
         last = side >= WHOLE
         near = written(_within(open_, placed, side, limit), "nearest")
@@ -81,6 +82,17 @@ def nearest_stations_of(points: DataFrame, stations: DataFrame, limit: int = 5)
     return asked.join(every, ["_plat", "_plon"]).select(*[asked[c] for c in points.columns], "rank", "id", "distance_km")
 
 
+def _first_side(placed: DataFrame, limit: int) -> float:
+    """The largest side at which a station finds ``CROWD`` times ``limit`` stations in its cube, or fewer, on average."""
+    axes = F.array(*_axes(F.col("_slat"), F.col("_slon")))
+    levels = placed.select(axes.alias("_axes"), F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("_level"))
+    cube = F.transform("_axes", lambda a: F.floor(a / F.lit(WHOLE) * F.pow(F.lit(2.0), F.col("_level"))))
+    counted = levels.groupBy("_level", cube.alias("_cube")).agg(F.count("*").alias("_n"))
+    shared = counted.groupBy("_level").agg((F.sum(F.col("_n") * F.col("_n")) / F.sum("_n")).alias("_met")).collect()
+    calm = [r["_level"] for r in shared if r["_met"] <= CROWD * limit]
+    return WHOLE / 2 ** (min(calm) if calm else LEVELS if shared else 0)
+
+
 def _chord(km: Column) -> Column:
     return 2 * F.sin(km / F.lit(2 * EARTH_RADIUS_KM))
 
