@@ -20,8 +20,9 @@ have fingerprint zero and are linked like any other; repeated rows get the same
 never becomes a class id unless its whole class has none.
 
 The stage of the pipeline (``keep_one_per_similar``) has a setting of its own: texts are linked at a Jaccard
-similarity of ``SIMILAR`` = 0.8 or more of their sets of five-word shingles.  A Hamming radius for that is too wide to
-search, so candidates come from ``BANDS`` bands of ``BAND`` minima of hashed shingles, and every candidate is judged by
+similarity of ``SIMILAR`` = 0.8 or more of their sets of five-word shingles.  The search above goes first: fingerprints of
+the five-word shingles within ``MAX_BITS`` give pairs (``print_pairs``), each judged by its exact sets.  A Hamming radius that
+takes in all of 0.8 is too wide to search, so for texts that it does not join candidates come from ``BANDS`` bands of ``BAND`` minima of hashed shingles, and every candidate is judged by
 its exact shingle sets (64-bit hashes of shingles).  A pair of similarity 0.8 shares no band with probability
 (1 - 0.8^5)^32 = 3e-6, a closer one less often.  The members of a band are first judged against one of them, so a large
 group of near copies does not give its square of pairs: each text against the lead of its largest band, then against the
@@ -227,8 +228,17 @@ def can_be_similar(size_a: Column, size_b: Column, sketch_a: Column, sketch_b: C
     return sizes & ((down + up) * apart <= (down - up) * (size_a + size_b))
 
 
+def print_of(hashes: np.ndarray) -> int:
+    """SimHash fingerprint of a shingle set, as a signed long: a bit is 1 if set in over half the hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), SET_BLOCK):
+        part = hashes[at : at + SET_BLOCK].astype("<u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def add_sets(docs: DataFrame, what: str | None = None, keep: Sequence[str] | None = None) -> DataFrame:
-    """``docs`` with ``fp``, the hash of the shingle set of ``text``, and its ``bands`` or ``shingles`` and ``sketch``, both with the set's ``size``."""
+    """``docs`` with ``fp``, the hash of the shingle set of ``text``, and its ``bands`` and fingerprint ``mark`` or its ``shingles`` and ``sketch``, both with the set's ``size``."""
 
     def start():
         rng = np.random.default_rng(SEED)
@@ -245,14 +255,14 @@ def add_sets(docs: DataFrame, what: str | None = None, keep: Sequence[str] | Non
 
         def work(texts):
             sets = [shingle_set(t) for t in texts]
-            more = {"bands": lambda: [[len(s) for s in sets], [bands(s) for s in sets]],
+            more = {"bands": lambda: [[len(s) for s in sets], [print_of(s) for s in sets], [bands(s) for s in sets]],
                     "shingles": lambda: [[len(s) for s in sets], [sketch(s) for s in sets], [s.tobytes() for s in sets]]}
             return [[set_id(s) for s in sets], *(more[what]() if what else [])]
 
         return work
 
     size, longs = T.StructField("size", T.LongType()), T.ArrayType(T.LongType())
-    fields = {"bands": [size, T.StructField("bands", longs)],
+    fields = {"bands": [size, T.StructField("mark", T.LongType()), T.StructField("bands", longs)],
               "shingles": [size, T.StructField("sketch", longs), T.StructField("shingles", T.BinaryType())]}
     return add_columns(docs, ["text"], [T.StructField("fp", T.LongType()), *fields.get(what, [])], start, keep)
 
@@ -336,6 +346,15 @@ def prefix_pairs(open_: DataFrame) -> DataFrame:
     ).select(F.col("fp").alias("a"), F.col("fp_b").alias("b"))
 
 
+def print_pairs(marked: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Pairs (a, b) of the shingle sets ``fp`` by their fingerprints ``mark``: equal ones with one of them, those within ``MAX_BITS`` by ``links``."""
+    first = stored(marked.groupBy("mark").agg(F.min("fp").alias("lead")), "marks")
+    equal = marked.join(first, "mark").where("fp <> lead").select(F.col("fp").alias("a"), F.col("lead").alias("b"))
+    near = links(first.select(F.col("mark").alias("fp")), bucket_rows)
+    of_a, of_b = (first.select(F.col("mark").alias(c), F.col("lead").alias(f"{c}_fp")) for c in "ab")
+    return equal.union(near.join(of_a, "a").join(of_b, "b").select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b"))).distinct()
+
+
 def similar_classes(docs: DataFrame) -> DataFrame:
     """``doc_id, text`` -> one row per distinct shingle set: ``fp``, ``root`` and ``low`` (its smallest id)."""
     prints = stored(add_sets(docs, "bands", ["doc_id"]), "sets")
@@ -345,15 +364,21 @@ def similar_classes(docs: DataFrame) -> DataFrame:
     # Another member of each band leads, so that no text leads the bands of a whole group.
     lead = entries.groupBy("key").agg(F.min_by("fp", F.xxhash64("fp", "key")).alias("lead"), F.count("*").alias("n"))
     shared = stored(entries.join(lead.where("n > 1"), "key"), "bands")
+    marked = prints.where("size > 0").groupBy("fp").agg(F.first("mark").alias("mark"))
+    close = stored(print_pairs(marked), "close")
+    asked = shared.select("fp").union(close.select("a")).union(close.select("b")).distinct()
     sets = stored(
-        add_sets(docs, "shingles", []).join(shared.select("fp").distinct(), "fp", "left_semi")
+        add_sets(docs, "shingles", []).join(asked, "fp", "left_semi")
         .groupBy("fp").agg(*(F.first(c).alias(c) for c in ("size", "sketch", "shingles"))),
         "shingles",
     )
     led = shared.where("fp <> lead").groupBy(F.col("fp").alias("a"), F.col("lead").alias("b")).agg(F.max("n").alias("n"))
     best = led.groupBy("a").agg(F.max(F.struct("n", "b")).alias("best"))
     led = stored(led.join(best, "a").select("a", "b", (F.col("b") == F.col("best.b")).alias("first")), "led")
-    good = stored(similar(sketched(led.where("first").select("a", "b"), sets), sets), "similar")
+    good = stored(similar(sketched(close, sets), sets), "similar")
+    roots = stored(star_edges(good), "roots")
+    leading = parted(led.where("first").select("a", "b"), roots)
+    good = good.union(stored(similar(sketched(leading, sets), sets), "similar"))
     roots = stored(star_edges(good), "roots")
     others = parted(led.where("not first").select("a", "b"), roots)
     good = good.union(stored(similar(sketched(others, sets), sets), "similar"))
