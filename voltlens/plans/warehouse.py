@@ -3,12 +3,14 @@
     python -m voltlens.plans.warehouse --input-root RAW --warehouse-root OUT
 
 Each layer is written as Parquet and read back, so a later layer never
-recomputes an earlier one and survives the loss of executors.
+recomputes an earlier one and survives the loss of executors.  Tables of a layer that
+do not need each other are written side by side.
 """
 
 from __future__ import annotations
 
 import argparse
+from functools import partial
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +25,7 @@ from voltlens.operators.quality import (
     quality_summary,
     rejected_orders,
 )
-from voltlens.session import build_session
+from voltlens.session import build_session, side_by_side
 from voltlens.sources import RAW_TABLES, read_raw, read_typed_table, write_table
 
 # Large tables laid out by day so that date filters prune folders.
@@ -84,26 +86,35 @@ def build_warehouse(
 
     def store(layer: str, name: str, frame: DataFrame) -> DataFrame:
         path = f"{root}/{layer}/{name}"
-        write_table(frame, path, mode=mode, partition_by=FACT_PARTITIONS.get(name, ()) if layer == "dwd" else ())
+        days = FACT_PARTITIONS.get(name, ()) if layer == "dwd" else ()
+        if days:  # else every task writes a file per day
+            frame = frame.hint("rebalance", *days)
+        write_table(frame, path, mode=mode, partition_by=days)
         return read_typed_table(spark, path)
 
-    ods = {name: store("ods", name, read_raw(spark, name, inputs[name])) for name in RAW_TABLES}
-    dwd: dict[str, DataFrame] = {}
-    for name, frame in dwd_dimensions(ods).items():
-        dwd[name] = store("dwd", name, frame)
-
-    # Three results share the checked rows; disk-backed cache, recomputable from ods.
-    checked = checked_orders(ods["charging_orders"], dwd).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        dwd["charging_orders"] = store("dwd", "charging_orders", order_facts(checked))
-        store("dwd", "charging_rejects", rejected_orders(checked))
-        store("ads", "data_quality", quality_summary(checked))
-    finally:
-        checked.unpersist()
-
-    for path, frame in result_tables(dwd).items():
-        layer, name = path.split("/")
-        store(layer, name, frame)
+    def store_all(layer: str, frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        return dict(zip(frames, side_by_side(spark, [partial(store, layer, *item) for item in frames.items()]), strict=True))
+
+    ods = store_all("ods", {name: read_raw(spark, name, inputs[name]) for name in RAW_TABLES})
+    dims = dwd_dimensions(ods)
+    status = {"device_status_log": dims.pop("device_status_log")}
+    dwd = store_all("dwd", dims)
+
+    def store_orders() -> dict[str, DataFrame]:
+        # Three results share the checked rows; disk-backed cache, recomputable from ods, filled by the first of them.
+        checked = checked_orders(ods["charging_orders"], dwd).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            store("ads", "data_quality", quality_summary(checked))
+            kept = store_all("dwd", {"charging_orders": order_facts(checked), "charging_rejects": rejected_orders(checked)})
+        finally:
+            checked.unpersist()
+        return kept
+
+    # No check of an order looks at the status log.
+    for made in side_by_side(spark, [store_orders, partial(store_all, "dwd", status)]):
+        dwd |= made
+
+    side_by_side(spark, [partial(store, *path.split("/"), frame) for path, frame in result_tables(dwd).items()])
 
 
 def parse_args(argv=None) -> argparse.Namespace:
