@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from voltlens.session import side_by_side
+
 # Section name -> (table, sort columns, single row).
 SECTIONS: dict[str, tuple[str, tuple[str, ...], bool]] = {
     "overview": ("ads/overall_charging_kpis", (), True),
@@ -84,8 +86,11 @@ def snapshot_sections(spark: SparkSession, warehouse_root: str) -> dict[str, Dat
 def write_snapshot(spark: SparkSession, warehouse_root: str, target: str) -> str:
     """Write every section as JSON lines under ``target`` and a manifest beside them."""
     target = target.rstrip("/")
-    for name, frame in snapshot_sections(spark, warehouse_root).items():
+
+    def write(name: str, frame: DataFrame) -> None:
         json_ready(frame).write.mode("overwrite").json(f"{target}/{name}", ignoreNullFields=False)
+
+    side_by_side(spark, [partial(write, *item) for item in snapshot_sections(spark, warehouse_root).items()])
     manifest = spark.range(0, 1, 1, 1).select(
         F.lit(0).alias("code"),
         F.lit("ok").alias("msg"),
