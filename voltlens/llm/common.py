@@ -16,6 +16,8 @@ from voltlens.session import shared_folder
 
 #: Texts of this many bytes together are handled at once inside an Arrow batch.
 CHUNK_BYTES = 8 << 20
+#: Bytes of an Arrow batch, about: batches of 10,000 rows, the default, take some 30 MB on both sides of the pipe.
+BATCH_BYTES = 4 << 20
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -33,6 +35,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session from now on end at ``BATCH_BYTES``, so what a task holds outside the heap does not follow the length of texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by ``stored``; nothing that still reads it may run later."""
     spark = df.sparkSession
@@ -68,6 +75,7 @@ def add_columns(
     Columns of ``df`` with the name of a new field are replaced; ``keep`` names the columns that
     stay (default: all).  A column that is read and stays travels once.
     """
+    small_batches(df.sparkSession)
     new = {f.name.lower() for f in fields}
     stay = [
         f for f in df.schema.fields
