@@ -49,6 +49,16 @@ def discard(df: DataFrame) -> None:
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def clear_up(spark: SparkSession) -> None:
+    """Let the driver collect its garbage between the steps of a long operator.
+
+    Only then does Spark drop the shuffles and broadcasts of finished queries, and the driver's heap, which otherwise
+    grows with the number of queries planned, shrinks to what is in use.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_key(text: Column) -> list[Column]:
     """Two independent hashes of a text."""
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("voltlens"), text).alias("k2")]

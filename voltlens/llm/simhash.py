@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voltlens.llm.common import add_columns, chunks, plain_names, stored
+from voltlens.llm.common import add_columns, chunks, clear_up, plain_names, stored
 from voltlens.llm.components import star_edges
 
 SHINGLE = 3
@@ -366,6 +366,7 @@ def similar_classes(docs: DataFrame) -> DataFrame:
     shared = stored(entries.join(lead.where("n > 1"), "key"), "bands")
     marked = prints.where("size > 0").groupBy("fp").agg(F.first("mark").alias("mark"))
     close = stored(print_pairs(marked), "close")
+    clear_up(docs.sparkSession)
     asked = shared.select("fp").union(close.select("a")).union(close.select("b")).distinct()
     sets = stored(
         add_sets(docs, "shingles", []).join(asked, "fp", "left_semi")
@@ -375,14 +376,13 @@ def similar_classes(docs: DataFrame) -> DataFrame:
     led = shared.where("fp <> lead").groupBy(F.col("fp").alias("a"), F.col("lead").alias("b")).agg(F.max("n").alias("n"))
     best = led.groupBy("a").agg(F.max(F.struct("n", "b")).alias("best"))
     led = stored(led.join(best, "a").select("a", "b", (F.col("b") == F.col("best.b")).alias("first")), "led")
-    good = stored(similar(sketched(close, sets), sets), "similar")
-    roots = stored(star_edges(good), "roots")
+    clear_up(docs.sparkSession)
+    # Each step adds its pairs to the classes known so far, as links between their roots.
+    roots = star_edges(similar(sketched(close, sets), sets))
     leading = parted(led.where("first").select("a", "b"), roots)
-    good = good.union(stored(similar(sketched(leading, sets), sets), "similar"))
-    roots = stored(star_edges(good), "roots")
+    roots = stored(star_edges(similar(sketched(leading, sets), sets), roots), "roots")
     others = parted(led.where("not first").select("a", "b"), roots)
-    good = good.union(stored(similar(sketched(others, sets), sets), "similar"))
-    roots = stored(star_edges(good), "roots")
+    roots = stored(star_edges(similar(sketched(others, sets), sets), roots), "roots")
 
     # Texts in a band with others that they are not joined to yet; what is left between them is found exactly.
     rooted = shared.join(roots, shared["fp"] == roots["node"], "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
@@ -390,7 +390,8 @@ def similar_classes(docs: DataFrame) -> DataFrame:
     open_ = rooted.join(mixed, "key", "left_semi").select("fp", "root").distinct()
     open_ = stored(open_.join(sets, "fp"), "open")
     rest = prefix_pairs(open_).distinct()
-    every = star_edges(good.union(stored(similar(rest, sets), "similar")))
+    clear_up(docs.sparkSession)
+    every = star_edges(similar(rest, sets), roots)
     return distinct.join(every, distinct["fp"] == every["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
 
 
