@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from voltlens.sources.readers import read_inferred_csv
 
 MODES = ("overwrite", "append", "error", "ignore")
+#: Most rows of a packed CSV file.
+PACKED_ROWS = 250_000
 
 
 def write_table(
@@ -18,9 +20,13 @@ def write_table(
     mode: str = "overwrite",
     files: int | None = None,
     partition_by: Sequence[str] = (),
+    compression: str | None = None,
 ) -> str:
     """Write ``df`` as CSV or snappy Parquet and return ``path``.
 
+    ``compression`` packs CSV files (``gzip``, say); readers know them by their names.  A packed file is read
+    by one task, so none holds more than ``PACKED_ROWS`` rows.
+
     ``files`` sets the number of output files.  It redistributes the finished
     rows, so that asking for one file does not make the work above it run in
     one task.
@@ -29,6 +35,8 @@ def write_table(
         raise ValueError(f"format must be csv or parquet, not {fmt!r}")
     if mode not in MODES:
         raise ValueError(f"mode must be one of {', '.join(MODES)}")
+    if compression and fmt != "csv":
+        raise ValueError("compression is for csv; parquet is written with snappy")
     if files is not None:
         if files < 1:
             raise ValueError("files must be at least 1")
@@ -36,6 +44,8 @@ def write_table(
     writer = df.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+    if compression:
+        writer = writer.option("maxRecordsPerFile", PACKED_ROWS)
     if fmt == "parquet":
         writer.parquet(path, compression="snappy")
     else:
@@ -45,6 +55,7 @@ def write_table(
             encoding="UTF-8",
             timestampFormat="yyyy-MM-dd HH:mm:ss",
             dateFormat="yyyy-MM-dd",
+            compression=compression,
         )
     return path
 
